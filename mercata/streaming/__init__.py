@@ -1,0 +1,7 @@
+"""Streaming: intentionally empty.
+
+Every analysis in scope reads batch tables (daily partitions, snapshots, lists) and produces a
+report; none consumes an unbounded stream, uses watermarks or keeps state between micro-batches.
+The jobs are plain DataFrame plans, so a caller that wants them on a schedule re-runs them per
+day partition; nothing streaming-specific is needed.
+"""
