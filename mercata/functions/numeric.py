@@ -28,3 +28,12 @@ def half_even(c, scale: int = 0) -> Column:
 def safe_ratio(num, den) -> Column:
     """num / den as DOUBLE, NULL when den is 0 or NULL (instead of a division error)."""
     return F.try_divide(_c(num).cast("double"), _c(den).cast("double"))
+
+
+def report_round(c, scale: int = 4) -> Column:
+    """Round a DOUBLE for reporting: via DECIMAL(38,6), then half-up to ``scale`` places.
+
+    Going through the 6-place decimal first makes the result independent of the engine's binary
+    rounding of values that sit on a tie (x.xxxx5 averages are common).
+    """
+    return F.round(_c(c).cast("decimal(38,6)"), scale).cast("double")

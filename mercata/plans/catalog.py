@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercata.functions.numeric import round_half_up
+from mercata.functions.numeric import report_round
 from mercata.params import Params
+from mercata.plans import segmentation as seg
 from mercata.plans import top_owners as top
 from mercata.sources.tables import Tables
 
@@ -84,18 +85,18 @@ def _pivot_type(spark, t):
 @register("rating_quality")
 def _quality(spark, t):
     q = top.rating_quality(t, P.top)
-    return q.withColumn("share", round_half_up("share", 4))
+    return q.withColumn("share", report_round("share"))
 
 
 @register("rating_quality_3m")
 def _quality_3m(spark, t):
     q = top.rating_quality(t, P.top, recent=True)
-    return q.withColumn("share", round_half_up("share", 4))
+    return q.withColumn("share", report_round("share"))
 
 
 @register("rating_qualified")
 def _rating_qualified(spark, t):
-    return top.rating_qualified(t, P.top).withColumn("share", round_half_up("share", 4))
+    return top.rating_qualified(t, P.top).withColumn("share", report_round("share"))
 
 
 @register("gmv_qualified")
@@ -111,3 +112,73 @@ def _top_categories(spark, t):
 @register("top_owner_report")
 def _top_owner_report(spark, t):
     return top.top_owner_report(spark, t, P.top)
+
+
+# ---------------------------------------------------------------- segmentation
+def _r4(df, *cols):
+    for c in cols:
+        df = df.withColumn(c, report_round(c))
+    return df
+
+
+_PROFILE_ORDER = ["nip", "seller_id", "actual_account_status", "last_date_account_status", "company_history",
+                  "seller_segment", "new_meta", "maincat", "yesterday", "sum_GMV", "avg_GMV", "avg_count_deals",
+                  "avg_count_offers", "min_date", "count_month_sales", "count_month_offers"]
+
+
+@register("monthly_offer_panel")
+def _offer_panel(spark, t):
+    return seg.monthly_offer_panel(t, P.seg)
+
+
+@register("monthly_sales_panel")
+def _sales_panel(spark, t):
+    return seg.monthly_sales_panel(t, P.seg)
+
+
+@register("main_category")
+def _main_category(spark, t):
+    return seg.main_category(seg.monthly_sales_panel(t, P.seg))
+
+
+@register("current_account_status")
+def _current_status(spark, t):
+    return seg.current_account_status(t)
+
+
+@register("seller_profile")
+def _seller_profile(spark, t):
+    return _r4(seg.seller_profile(t, P.seg), "avg_count_deals", "avg_count_offers") \
+        .select(*_PROFILE_ORDER)
+
+
+@register("profile_with_total")
+def _profile_total(spark, t):
+    full = seg.profile_with_total(seg.seller_profile(t, P.seg))
+    return _r4(full, "avg_count_deals", "avg_count_offers").select(*_PROFILE_ORDER)
+
+
+@register("verified_owner_rollup")
+def _owner_rollup(spark, t):
+    r = seg.verified_owner_rollup(seg.profile_with_total(seg.seller_profile(t, P.seg)))
+    return _r4(r, "avg_count_deals", "avg_count_offers")
+
+
+def _thresholds(t):
+    full = seg.profile_with_total(seg.seller_profile(t, P.seg))
+    return seg.segment_thresholds(seg.verified_owner_rollup(full), P.seg)
+
+
+@register("segment_thresholds")
+def _segment_thresholds(spark, t):
+    return _r4(_thresholds(t), "small", "medium", "large", "VIP")
+
+
+@register("thresholds_long")
+def _thresholds_long(spark, t):
+    return _r4(seg.thresholds_long(_thresholds(t)), "quartile")
+
+
+@register("assign_segment")
+def _assign_segment(spark, t):
+    return seg.assign_segment(t, P.seg)

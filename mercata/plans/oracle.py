@@ -16,6 +16,22 @@ def _d(x) -> str:
     return f"DATE '{x.isoformat()}'"
 
 
+def r4(x: str) -> str:
+    """Report rounding of a DOUBLE: via DECIMAL(38,6), half-up to 4 places, back to DOUBLE."""
+    return f"CAST(ROUND(CAST({x} AS DECIMAL(38,6)), 4) AS DOUBLE)"
+
+
+def avg_dec(x: str) -> str:
+    """Exact AVG of a DECIMAL(.., 2) column, rounded half-up to 6 decimals (a decimal AVG).
+
+    DuckDB's AVG over DECIMAL returns DOUBLE; integer arithmetic on cents keeps it exact.
+    """
+    s = f"CAST(SUM({x}) * 100 AS HUGEINT)"
+    n = f"NULLIF(COUNT({x}), 0)"
+    return (f"(CAST(CASE WHEN {s} >= 0 THEN ({s} * 20000 + {n}) // (2 * {n}) "
+            f"ELSE -((-{s}) * 20000 + {n}) // (2 * {n}) END AS DECIMAL(38,0)) * CAST(0.000001 AS DECIMAL(7,6)))")
+
+
 # name -> (definition, dependencies)
 VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "sales": ("""
@@ -266,16 +282,16 @@ ORACLE: dict[str, str] = {
     "gmv_pivot_type": top("SELECT nip, CAST(gmv_B2B AS DOUBLE) AS gmv_B2B, "
                           "CAST(gmv_B2C AS DOUBLE) AS gmv_B2C FROM pivot_type"),
     "rating_quality": top("SELECT nip, CAST(positive AS BIGINT) AS positive, rated, "
-                          "ROUND(share, 4) AS share FROM quality"),
+                          "CAST(ROUND(CAST(share AS DECIMAL(38,6)), 4) AS DOUBLE) AS share FROM quality"),
     "rating_quality_3m": top("SELECT nip, CAST(positive AS BIGINT) AS positive, rated, "
-                             "ROUND(share, 4) AS share FROM quality_3m"),
-    "rating_qualified": top("SELECT nip, ROUND(share, 4) AS share FROM rated_owners"),
+                             "CAST(ROUND(CAST(share AS DECIMAL(38,6)), 4) AS DOUBLE) AS share FROM quality_3m"),
+    "rating_qualified": top("SELECT nip, CAST(ROUND(CAST(share AS DECIMAL(38,6)), 4) AS DOUBLE) AS share FROM rated_owners"),
     "gmv_qualified": top("SELECT nip, CAST(months_over AS BIGINT) AS months_over FROM nipy"),
     "top_categories": top("SELECT nip, new_meta, CAST(gmv AS DOUBLE) AS gmv, new_ca_name_1, "
                           "CAST(gmv1 AS DOUBLE) AS gmv1, second_new_meta, "
                           "CAST(second_new_meta_gmv AS DOUBLE) AS second_new_meta_gmv FROM top_cats"),
     "top_owner_report": top(f"""
-        SELECT n.nip, ROUND(q.share, 4) AS rating_share, ROUND(q3.share, 4) AS rating_share_3m,
+        SELECT n.nip, CAST(ROUND(CAST(q.share AS DECIMAL(38,6)), 4) AS DOUBLE) AS rating_share, CAST(ROUND(CAST(q3.share AS DECIMAL(38,6)), 4) AS DOUBLE) AS rating_share_3m,
                CAST(ROUND(a.gmv, 2) AS DOUBLE) AS gmv12m,
                tc.new_meta, CAST(tc.gmv AS DOUBLE) AS gmv, tc.new_ca_name_1, CAST(tc.gmv1 AS DOUBLE) AS gmv1,
                tc.second_new_meta, CAST(tc.second_new_meta_gmv AS DOUBLE) AS second_new_meta_gmv,
@@ -291,3 +307,154 @@ ORACLE: dict[str, str] = {
         LEFT JOIN pivot_type pt ON pt.nip = n.nip
         LEFT JOIN pivot_recent pr ON pr.nip = n.nip"""),
 }
+
+
+# ---------------------------------------------------------------- segmentation
+S = P.seg
+_SW = f"BETWEEN {_d(S.date_from)} AND {_d(S.date_to)}"
+_LIM = SEGMENT_DEAL_LIMITS
+_SEG_STATUS_UNVERIFIED = "(actual_account_status IS NULL OR actual_account_status NOT IN ('company', 'ver'))"
+
+SEG_CTES = f"""
+seg_offers_daily AS (
+    SELECT o.day, o.seller_id, ct.new_meta,
+           CASE WHEN v.account_id IS NOT NULL AND u.segment = 1 THEN 'small'
+                WHEN v.account_id IS NOT NULL AND u.segment = 2 THEN 'medium'
+                WHEN v.account_id IS NOT NULL AND u.segment = 3 THEN 'large'
+                WHEN v.account_id IS NOT NULL AND u.segment = 4 THEN 'VIP'
+                ELSE NULL END AS seller_segment,
+           o.offers
+    FROM offers_by_category o
+    LEFT JOIN category_tree ct ON ct.ca_id_leaf = o.category_leaf
+    LEFT JOIN verified_sellers v ON v.account_id = o.seller_id AND v.day = o.day
+    LEFT JOIN segment_monthly u ON u.us_id = o.seller_id AND CAST(strftime(o.day, '%Y%m') AS INTEGER) = u.month_
+    WHERE o.day {_SW}),
+seg_offers AS (
+    SELECT strftime(day, '%Y%m') AS year_month, seller_id, new_meta, seller_segment,
+           ROUND(AVG(offers), 0) AS offers, MIN(day) AS min_date
+    FROM (SELECT day, seller_id, new_meta, seller_segment, SUM(offers) AS offers
+          FROM seg_offers_daily GROUP BY 1, 2, 3, 4
+          UNION ALL
+          SELECT day, seller_id, 'Total', seller_segment, SUM(offers)
+          FROM seg_offers_daily WHERE new_meta IS NOT NULL GROUP BY day, seller_id, seller_segment)
+    GROUP BY 1, 2, 3, 4),
+seg_orders_base AS (
+    SELECT strftime(s.day, '%Y%m') AS year_month, s.seller_id, ct.new_meta, s.price, s.offer_id
+    FROM sales s
+    LEFT JOIN category_tree ct ON ct.ca_id_leaf = s.category_id
+    LEFT JOIN test_users tu ON tu.us_id = s.seller_id
+    WHERE s.day {_SW} AND tu.us_id IS NULL),
+seg_orders AS (
+    SELECT year_month, seller_id, new_meta, SUM(price) AS GMV, COUNT(offer_id) AS count_deals
+    FROM seg_orders_base GROUP BY 1, 2, 3
+    UNION ALL
+    SELECT year_month, seller_id, 'Total', SUM(price), COUNT(offer_id)
+    FROM seg_orders_base WHERE new_meta IS NOT NULL GROUP BY 1, 2),
+seg_maincat AS (
+    SELECT seller_id, new_meta AS maincat FROM (
+        SELECT seller_id, new_meta,
+               RANK() OVER (PARTITION BY seller_id ORDER BY SUM(GMV) DESC, new_meta) AS ranking
+        FROM seg_orders WHERE new_meta IS DISTINCT FROM 'Total' GROUP BY 1, 2)
+    WHERE ranking = 1),
+seg_status AS (
+    SELECT a.cis_user_id, a.cis_status, a.cis_from_date,
+           CASE WHEN c.cis_user_id IS NULL THEN 0 ELSE 1 END AS company
+    FROM account_status_history a
+    LEFT JOIN (SELECT DISTINCT cis_user_id FROM account_status_history WHERE cis_status = 'company') c
+           ON c.cis_user_id = a.cis_user_id
+    WHERE a.cis_historical = 'N'),
+seg_yesterday AS (
+    SELECT DISTINCT seller_id FROM offers_by_category WHERE day = {_d(S.yesterday)}),
+seg_profile AS (
+    SELECT n.nip, o.seller_id, s.cis_status AS actual_account_status,
+           s.cis_from_date AS last_date_account_status, s.company AS company_history,
+           o.seller_segment, o.new_meta, m.maincat,
+           CASE WHEN y.seller_id IS NULL THEN 0 ELSE 1 END AS yesterday,
+           SUM(r.GMV) AS sum_GMV, {avg_dec('r.GMV')} AS avg_GMV, AVG(r.count_deals) AS avg_count_deals,
+           AVG(o.offers) AS avg_count_offers, MIN(o.min_date) AS min_date,
+           COUNT(DISTINCT r.year_month) AS count_month_sales, COUNT(DISTINCT o.year_month) AS count_month_offers
+    FROM seg_offers o
+    LEFT JOIN seg_orders r ON o.seller_id = r.seller_id AND r.new_meta = o.new_meta AND r.year_month = o.year_month
+    LEFT JOIN seg_status s ON s.cis_user_id = o.seller_id
+    LEFT JOIN seg_yesterday y ON y.seller_id = o.seller_id
+    LEFT JOIN seg_maincat m ON m.seller_id = o.seller_id
+    LEFT JOIN owner_map n ON n.ud_us_id = o.seller_id
+    GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9),
+seg_full AS (
+    SELECT nip, seller_id, actual_account_status, last_date_account_status, company_history, seller_segment,
+           new_meta, maincat, yesterday, sum_GMV, COALESCE(avg_GMV, 0) AS avg_GMV,
+           COALESCE(avg_count_deals, 0) AS avg_count_deals, COALESCE(avg_count_offers, 0) AS avg_count_offers,
+           min_date, COALESCE(count_month_sales, 0) AS count_month_sales,
+           COALESCE(count_month_offers, 0) AS count_month_offers
+    FROM seg_profile),
+seg_rollup AS (
+    SELECT nip, seller_segment, new_meta, SUM(avg_GMV) AS avg_GMV, SUM(avg_count_deals) AS avg_count_deals,
+           AVG(avg_count_offers) AS avg_count_offers
+    FROM seg_full
+    WHERE actual_account_status IN ('company', 'ver')
+      AND nip IS NOT NULL AND seller_segment IS NOT NULL AND new_meta IS NOT NULL
+    GROUP BY 1, 2, 3),
+seg_thresholds AS (
+    SELECT new_meta,
+           {", ".join(f"quantile_cont(CAST(avg_GMV AS DOUBLE), {S.quantile}) FILTER (WHERE seller_segment = '{s}' AND avg_count_deals >= {_LIM[s]}) AS {s}" for s in ("small", "medium", "large", "VIP"))}
+    FROM seg_rollup GROUP BY new_meta),
+seg_categories AS (
+    SELECT seller_id, COUNT(DISTINCT new_meta) AS category_count
+    FROM seg_profile WHERE new_meta IS DISTINCT FROM 'Total' AND {_SEG_STATUS_UNVERIFIED}
+    GROUP BY seller_id),
+seg_assigned AS (
+    SELECT f.seller_id, f.actual_account_status, f.last_date_account_status, f.company_history, f.new_meta,
+           f.maincat, f.sum_GMV, f.min_date,
+           round_even(f.avg_GMV, 0) AS avg_GMV, round_even(f.avg_count_deals, 0) AS avg_count_deals,
+           round_even(f.avg_count_offers, 0) AS avg_count_offers,
+           f.yesterday, f.count_month_sales, f.count_month_offers,
+           CASE WHEN f.avg_GMV >= t.VIP AND f.avg_count_deals >= {_LIM['VIP']} THEN 'VIP'
+                WHEN f.avg_GMV >= t.large AND f.avg_count_deals >= {_LIM['large']} THEN 'large'
+                WHEN f.avg_GMV >= t.medium AND f.avg_count_deals >= {_LIM['medium']} THEN 'medium'
+                WHEN f.avg_GMV >= t.small AND f.avg_count_deals >= {_LIM['small']} THEN 'small'
+                ELSE 'lack' END AS new_segment,
+           c.category_count
+    FROM seg_full f
+    LEFT JOIN seg_thresholds t ON t.new_meta = f.new_meta
+    LEFT JOIN seg_categories c ON c.seller_id = f.seller_id
+    WHERE {_SEG_STATUS_UNVERIFIED.replace('actual_account_status', 'f.actual_account_status')})
+"""
+SEG_VIEWS = ("offers_by_category", "category_tree", "verified_sellers", "segment_monthly", "sales", "test_users",
+             "account_status_history", "owner_map")
+
+
+def seg(body: str) -> str:
+    return sql(body, *SEG_VIEWS, ctes=SEG_CTES)
+
+
+_PROFILE_COLS = """nip, seller_id, actual_account_status, last_date_account_status,
+    CAST(company_history AS BIGINT) AS company_history, seller_segment, new_meta, maincat,
+    CAST(yesterday AS BIGINT) AS yesterday, CAST(sum_GMV AS DOUBLE) AS sum_GMV,
+    CAST(avg_GMV AS DOUBLE) AS avg_GMV, CAST(ROUND(CAST(avg_count_deals AS DECIMAL(38,6)), 4) AS DOUBLE) AS avg_count_deals,
+    CAST(ROUND(CAST(avg_count_offers AS DECIMAL(38,6)), 4) AS DOUBLE) AS avg_count_offers, min_date, count_month_sales, count_month_offers"""
+
+ORACLE.update({
+    "monthly_offer_panel": seg("SELECT year_month, seller_id, new_meta, seller_segment, offers, min_date FROM seg_offers"),
+    "monthly_sales_panel": seg("SELECT year_month, seller_id, new_meta, CAST(GMV AS DOUBLE) AS GMV, count_deals "
+                               "FROM seg_orders"),
+    "main_category": seg("SELECT seller_id, maincat FROM seg_maincat"),
+    "current_account_status": seg("SELECT cis_user_id, cis_status, cis_from_date, CAST(company AS BIGINT) AS company "
+                                  "FROM seg_status"),
+    "seller_profile": seg(f"SELECT {_PROFILE_COLS} FROM seg_profile"),
+    "profile_with_total": seg(f"SELECT {_PROFILE_COLS} FROM seg_full"),
+    "verified_owner_rollup": seg("SELECT nip, seller_segment, new_meta, CAST(avg_GMV AS DOUBLE) AS avg_GMV, "
+                                 "CAST(ROUND(CAST(avg_count_deals AS DECIMAL(38,6)), 4) AS DOUBLE) AS avg_count_deals, "
+                                 "CAST(ROUND(CAST(avg_count_offers AS DECIMAL(38,6)), 4) AS DOUBLE) AS avg_count_offers FROM seg_rollup"),
+    "segment_thresholds": seg("SELECT new_meta, CAST(ROUND(CAST(small AS DECIMAL(38,6)), 4) AS DOUBLE) AS small, CAST(ROUND(CAST(medium AS DECIMAL(38,6)), 4) AS DOUBLE) AS medium, "
+                              "CAST(ROUND(CAST(large AS DECIMAL(38,6)), 4) AS DOUBLE) AS large, CAST(ROUND(CAST(VIP AS DECIMAL(38,6)), 4) AS DOUBLE) AS VIP FROM seg_thresholds"),
+    "thresholds_long": seg("SELECT new_meta, segment, CAST(ROUND(CAST(quartile AS DECIMAL(38,6)), 4) AS DOUBLE) AS quartile FROM seg_thresholds "
+                           "UNPIVOT INCLUDE NULLS (quartile FOR segment IN (small, medium, large, VIP))"),
+    "assign_segment": seg("""
+        SELECT seller_id, actual_account_status, last_date_account_status,
+               CAST(company_history AS BIGINT) AS company_history, new_meta, maincat,
+               CAST(sum_GMV AS DOUBLE) AS sum_GMV, min_date, CAST(avg_GMV AS DOUBLE) AS avg_GMV,
+               CAST(avg_count_deals AS DOUBLE) AS avg_count_deals, CAST(avg_count_offers AS DOUBLE) AS avg_count_offers,
+               CAST(yesterday AS BIGINT) AS yesterday, count_month_sales, count_month_offers, new_segment,
+               category_count
+        FROM seg_assigned"""),
+})

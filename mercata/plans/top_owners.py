@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from mercata.functions.cases import flag
 from mercata.functions.dates import month_key
-from mercata.functions.numeric import round_half_up, safe_ratio
+from mercata.functions.numeric import report_round, round_half_up, safe_ratio
 from mercata.operators import joins, reshape, windows
 from mercata.operators.aggregates import count_periods_at_least, positive_share
 from mercata.params import TopOwnerParams
@@ -194,8 +194,8 @@ def top_owner_report(spark, t: Tables, p: TopOwnerParams, materialize: bool = Tr
         hub = hub.checkpoint(eager=True)
     rated = rating_qualified(t, p)
     nipy = gmv_qualified(hub, rated, p).select("nip")
-    q = rating_quality(t, p).select(F.col("nip"), round_half_up("share", 4).alias("rating_share"))
-    q3 = rating_quality(t, p, recent=True).select(F.col("nip"), round_half_up("share", 4).alias("rating_share_3m"))
+    q = rating_quality(t, p).select(F.col("nip"), report_round("share").alias("rating_share"))
+    q3 = rating_quality(t, p, recent=True).select(F.col("nip"), report_round("share").alias("rating_share_3m"))
     annual = net_gmv_annual(hub, p).select("nip", round_half_up("gmv", 2).alias("gmv12m"))
     out = (nipy.join(q, "nip")
            .join(top_categories(hub, p), "nip")
