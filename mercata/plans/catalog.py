@@ -14,7 +14,11 @@ from pyspark.sql import types as T
 
 from mercata.functions.numeric import report_round
 from mercata.params import Params
+from mercata.plans import accounts as acct
+from mercata.plans import follow_up as follow
+from mercata.plans import ledger
 from mercata.plans import segmentation as seg
+from mercata.plans import status
 from mercata.plans import top_owners as top
 from mercata.sources.tables import Tables
 
@@ -182,3 +186,82 @@ def _thresholds_long(spark, t):
 @register("assign_segment")
 def _assign_segment(spark, t):
     return seg.assign_segment(t, P.seg)
+
+
+# ---------------------------------------------------------------- status change
+@register("yearly_status_change")
+def _yearly(spark, t):
+    return status.yearly_status_change(t, P.status)
+
+
+@register("status_change_summary")
+def _status_summary(spark, t):
+    return status.status_change_summary(status.yearly_status_change(t, P.status))
+
+
+@register("status_change_share")
+def _status_share(spark, t):
+    s = status.status_change_share(status.status_change_summary(status.yearly_status_change(t, P.status)))
+    return _r4(s, "share")
+
+
+@register("status_head_sample")
+def _status_head(spark, t):
+    return status.head_sample(status.yearly_status_change(t, P.status))
+
+
+@register("only_classified_sellers")
+def _only_classified(spark, t):
+    return status.only_classified_sellers(status.yearly_status_change(t, P.status), 2001)
+
+
+# ---------------------------------------------------------------- accounts and owners
+@register("account_enrichment")
+def _account_enrichment(spark, t):
+    return acct.account_enrichment(t, P.acct)
+
+
+@register("owner_active_offers")
+def _owner_offers(spark, t):
+    return acct.owner_active_offers(t, P.acct)
+
+
+@register("attendee_enrichment")
+def _attendees(spark, t):
+    return acct.attendee_enrichment(t, P.acct)
+
+
+@register("owner_activity_flags")
+def _activity_flags(spark, t):
+    return acct.owner_activity_flags(t, P.acct)
+
+
+@register("active_owner_count")
+def _active_count(spark, t):
+    return acct.active_owner_count(acct.owner_activity_flags(t, P.acct))
+
+
+@register("owner_last_login")
+def _last_login(spark, t):
+    return acct.owner_last_login(t, P.acct)
+
+
+@register("login_recency_summary")
+def _login_summary(spark, t):
+    return acct.login_recency_summary(acct.owner_last_login(t, P.acct), P.acct)
+
+
+# ---------------------------------------------------------------- ledger and follow-ups
+@register("order_refund_ledger")
+def _ledger(spark, t):
+    return ledger.order_refund_ledger(t, P.ledger)
+
+
+@register("fee_summary")
+def _fees(spark, t):
+    return follow.fee_summary(t, P.follow)
+
+
+@register("forecast_panel")
+def _forecast(spark, t):
+    return follow.forecast_panel(t, P.follow)

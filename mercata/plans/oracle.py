@@ -458,3 +458,271 @@ ORACLE.update({
                category_count
         FROM seg_assigned"""),
 })
+
+
+# ---------------------------------------------------------------- status change
+ST = P.status
+_STW = f"BETWEEN {_d(ST.date_from)} AND {_d(ST.date_to)}"
+STATUS_CTES = f"""
+st_offers AS (
+    SELECT seller_id, year(day) AS year, SUM(offers) AS sum_of_offers,
+           SUM(offers_no_classifieds) AS sum_of_offers_no_clasifieds
+    FROM offers_total WHERE day {_STW} GROUP BY 1, 2),
+st_verified AS (
+    SELECT account_id, year(day) AS year FROM verified_sellers WHERE day {_STW} GROUP BY 1, 2),
+st_yearly AS (
+    SELECT seller_id, year, verified,
+           verified - LAG(verified) OVER (PARTITION BY seller_id ORDER BY seller_id, year) AS verified_status,
+           sum_of_offers, sum_of_offers_no_clasifieds
+    FROM (SELECT o.seller_id, o.year, o.sum_of_offers, o.sum_of_offers_no_clasifieds,
+                 CASE WHEN v.account_id IS NULL THEN 0 ELSE 1 END AS verified,
+                 CASE WHEN tu.us_id IS NULL THEN 0 ELSE 1 END AS test_account
+          FROM st_offers o
+          LEFT JOIN st_verified v ON v.account_id = o.seller_id AND v.year = o.year
+          LEFT JOIN test_users tu ON tu.us_id = o.seller_id)
+    WHERE test_account = 0),
+st_prep AS (
+    SELECT seller_id, year, verified, COALESCE(verified_status, 0) AS verified_status,
+           COALESCE(sum_of_offers, 0) AS sum_of_offers,
+           COALESCE(sum_of_offers_no_clasifieds, 0) AS sum_of_offers_no_clasifieds,
+           CASE WHEN sum_of_offers > 0 AND sum_of_offers_no_clasifieds = 0 THEN 1 ELSE 0 END AS only_clasifieds
+    FROM st_yearly),
+st_summary AS (
+    SELECT year, verified_status, only_clasifieds, SUM(sum_of_offers) AS sum_of_offers,
+           SUM(sum_of_offers_no_clasifieds) AS sum_of_offers_no_clasifieds, COUNT(seller_id) AS count_seller_id,
+           CASE WHEN verified_status = 1 THEN 'regular -> company' WHEN verified_status = 0 THEN 'no change'
+                ELSE 'company -> regular' END AS verified_status_desc,
+           CASE WHEN only_clasifieds = 1 THEN 'yes' ELSE 'no' END AS only_clasifieds_desc
+    FROM st_prep GROUP BY 1, 2, 3),
+st_share AS (
+    SELECT year, verified_status, verified_status_desc, n AS count_seller_id,
+           n / SUM(n) OVER (PARTITION BY year) AS share
+    FROM (SELECT year, verified_status, verified_status_desc, SUM(count_seller_id) AS n
+          FROM st_summary GROUP BY 1, 2, 3))
+"""
+
+
+def status(body: str) -> str:
+    return sql(body, "offers_total", "verified_sellers", "test_users", ctes=STATUS_CTES)
+
+
+_YEARLY_COLS = ("seller_id, year, CAST(verified AS BIGINT) AS verified, CAST(verified_status AS BIGINT) AS verified_status, "
+                "CAST(sum_of_offers AS BIGINT) AS sum_of_offers, "
+                "CAST(sum_of_offers_no_clasifieds AS BIGINT) AS sum_of_offers_no_clasifieds")
+
+ORACLE.update({
+    "yearly_status_change": status(f"SELECT {_YEARLY_COLS} FROM st_yearly"),
+    "status_change_summary": status("""
+        SELECT year, CAST(verified_status AS BIGINT) AS verified_status, CAST(only_clasifieds AS BIGINT) AS only_clasifieds,
+               CAST(sum_of_offers AS BIGINT) AS sum_of_offers,
+               CAST(sum_of_offers_no_clasifieds AS BIGINT) AS sum_of_offers_no_clasifieds,
+               count_seller_id, verified_status_desc, only_clasifieds_desc
+        FROM st_summary"""),
+    "status_change_share": status(f"""
+        SELECT year, CAST(verified_status AS BIGINT) AS verified_status, verified_status_desc,
+               CAST(count_seller_id AS BIGINT) AS count_seller_id, {r4('share')} AS share
+        FROM st_share"""),
+    "status_head_sample": status(f"SELECT {_YEARLY_COLS} FROM st_yearly ORDER BY seller_id, year LIMIT 1000"),
+    "only_classified_sellers": status("""
+        SELECT seller_id, year, CAST(verified AS BIGINT) AS verified, CAST(verified_status AS BIGINT) AS verified_status,
+               CAST(sum_of_offers AS BIGINT) AS sum_of_offers,
+               CAST(sum_of_offers_no_clasifieds AS BIGINT) AS sum_of_offers_no_clasifieds,
+               CAST(only_clasifieds AS BIGINT) AS only_clasifieds
+        FROM st_prep WHERE only_clasifieds = 1 AND year = 2001"""),
+})
+
+
+# ---------------------------------------------------------------- accounts and owners
+A = P.acct
+ACCOUNT_CTES = f"""
+ac_consents AS (
+    SELECT userid, consentname, channel FROM consents
+    WHERE day = {_d(A.events_yesterday)} AND approved = true
+      AND consentname IN ('marketing', 'testing-invites') AND channel IN ('PHONE', 'EMAIL')),
+ac_base AS (
+    SELECT l.*, u.login, u.account_status, u.account_type
+    FROM account_list l LEFT JOIN users u ON l.us_id = u.account_id),
+ac_gmv AS (
+    SELECT b.us_id, SUM(g.GMV_ref) AS gmv_30dni
+    FROM net_gmv_daily g JOIN ac_base b ON g.account_id = b.us_id
+    WHERE g.dt BETWEEN {_d(A.sales_yesterday)} - INTERVAL 29 DAY AND {_d(A.sales_yesterday)}
+    GROUP BY 1),
+ac_enriched AS (
+    SELECT b.*, g.gmv_30dni, o.offers,
+           CASE WHEN zm.userid IS NOT NULL THEN 'yes' ELSE 'no' END AS consent_marketing_phone,
+           CASE WHEN zt.userid IS NOT NULL THEN 'yes' ELSE 'no' END AS consent_testing_email
+    FROM ac_base b
+    LEFT JOIN ac_gmv g ON b.us_id = g.us_id
+    LEFT JOIN offers_total o ON g.us_id = o.seller_id AND o.day = {_d(A.sales_yesterday)}
+    LEFT JOIN (SELECT DISTINCT userid FROM ac_consents WHERE consentname = 'marketing' AND channel IN ('PHONE')) zm
+           ON zm.userid = b.us_id
+    LEFT JOIN (SELECT DISTINCT userid FROM ac_consents WHERE consentname = 'testing-invites' AND channel IN ('EMAIL')) zt
+           ON zt.userid = b.us_id),
+at_offers AS (SELECT DISTINCT seller_id FROM offers_total WHERE day = {_d(A.sales_yesterday)}),
+at_gmv AS (
+    SELECT account_id, MIN(dt) AS first_sale_date, COUNT(DISTINCT dt) AS days_with_sales,
+           SUM(GMV_ref) AS sum_gmv, {avg_dec('GMV_ref')} AS avg_gmv
+    FROM net_gmv_daily WHERE dt >= {_d(A.gmv_open_from)} GROUP BY account_id),
+at_logins AS (SELECT DISTINCT id, account_name FROM webinar_attendance),
+at_webinars AS (
+    SELECT id, COUNT(*) AS attendances, string_agg(webinar_title, ', ' ORDER BY webinar_title) AS webinar_titles,
+           MIN(webinar_title) AS webinar_title
+    FROM webinar_attendance GROUP BY id),
+attendees AS (
+    SELECT u.login, u.account_id AS id, n.nip, l.account_name, u.account_create_date,
+           g.first_sale_date, g.days_with_sales, ROUND(g.sum_gmv, 2) AS sum_GMV_ref,
+           ROUND(g.avg_gmv, 2) AS daily_avg_GMV,
+           CASE WHEN o.seller_id IS NULL THEN 'no' ELSE 'yes' END AS have_offer_yesterday,
+           w.webinar_titles, w.webinar_title, w.attendances
+    FROM users u
+    LEFT JOIN owner_map n ON n.ud_us_id = u.account_id
+    RIGHT JOIN at_logins l ON l.id = u.account_id
+    LEFT JOIN at_gmv g ON g.account_id = u.account_id
+    LEFT JOIN at_offers o ON o.seller_id = u.account_id
+    LEFT JOIN at_webinars w ON w.id = u.account_id
+    WHERE u.account_id IS NOT NULL),
+af_base AS (
+    SELECT v.account_id, n.nip, s.segment,
+           CASE WHEN m.userid IS NULL THEN 0 ELSE 1 END AS marketing,
+           CASE WHEN tu.us_id IS NULL THEN 0 ELSE 1 END AS test_account,
+           COALESCE(o.offers, 0) AS offers
+    FROM verified_accounts v
+    LEFT JOIN owner_map n ON n.ud_us_id = v.account_id
+    LEFT JOIN segment_monthly s ON s.us_id = v.account_id AND s.month_ = {A.activity_month}
+    LEFT JOIN test_users tu ON tu.us_id = v.account_id
+    LEFT JOIN (SELECT userid FROM consents
+               WHERE day = {_d(A.activity_day)} AND consentname = 'marketing' AND approved = true
+               GROUP BY userid) m ON m.userid = v.account_id
+    LEFT JOIN (SELECT seller_id, SUM(offers) AS offers FROM offers_total
+               WHERE day = {_d(A.sales_yesterday)} GROUP BY seller_id) o ON o.seller_id = v.account_id
+    WHERE v.day = {_d(A.activity_day)}),
+af_flags AS (
+    SELECT nip, segment, segment_desc,
+           CASE WHEN marketing > 0 THEN 1 ELSE 0 END AS marketing,
+           CASE WHEN offers > 0 THEN 1 ELSE 0 END AS active_yesterday
+    FROM (SELECT nip, segment,
+                 CASE segment WHEN 1 THEN 'small' WHEN 2 THEN 'medium' WHEN 3 THEN 'large' WHEN 4 THEN 'VIP' END
+                     AS segment_desc,
+                 SUM(marketing) AS marketing, SUM(offers) AS offers
+          FROM af_base WHERE test_account = 0 GROUP BY nip, segment)),
+ll AS (
+    SELECT nip, ever_offer, MAX(success_login_timestamp) AS max_log, COUNT(account_id) AS accounts
+    FROM (SELECT v.account_id, n.nip,
+                 CASE WHEN tu.us_id IS NULL THEN 0 ELSE 1 END AS test_account,
+                 CASE WHEN o.seller_id IS NULL THEN 0 ELSE 1 END AS ever_offer,
+                 l.success_login_timestamp
+          FROM verified_accounts v
+          LEFT JOIN owner_map n ON n.ud_us_id = v.account_id
+          LEFT JOIN test_users tu ON tu.us_id = v.account_id
+          LEFT JOIN last_logins l ON l.account_id = v.account_id
+          LEFT JOIN (SELECT DISTINCT seller_id FROM offers_total) o ON o.seller_id = v.account_id
+          WHERE v.day = {_d(A.events_yesterday)})
+    WHERE test_account = 0
+    GROUP BY nip, ever_offer)
+"""
+ACCOUNT_VIEWS = ("consents", "account_list", "users", "net_gmv_daily", "offers_total", "webinar_attendance",
+                 "owner_map", "verified_accounts", "segment_monthly", "test_users", "last_logins", "owner_list")
+
+
+def acct(body: str) -> str:
+    return sql(body, *ACCOUNT_VIEWS, ctes=ACCOUNT_CTES)
+
+
+ORACLE.update({
+    "account_enrichment": acct("""
+        SELECT us_id, list_segment, list_balance, login, account_status, account_type,
+               CAST(gmv_30dni AS DOUBLE) AS gmv_30dni, offers, consent_marketing_phone, consent_testing_email
+        FROM ac_enriched"""),
+    "owner_active_offers": acct(f"""
+        SELECT n.nip, CAST(SUM(o.offers) AS BIGINT) AS offers
+        FROM offers_total o
+        JOIN owner_map n ON n.ud_us_id = o.seller_id
+        JOIN owner_list l ON l.nip = n.nip
+        WHERE o.day = {_d(A.sales_yesterday)}
+        GROUP BY n.nip"""),
+    "attendee_enrichment": acct("""
+        SELECT login, id, nip, account_name, account_create_date, first_sale_date, days_with_sales,
+               CAST(sum_GMV_ref AS DOUBLE) AS sum_GMV_ref, CAST(daily_avg_GMV AS DOUBLE) AS daily_avg_GMV,
+               have_offer_yesterday, webinar_titles, webinar_title, attendances
+        FROM attendees"""),
+    "owner_activity_flags": acct("""
+        SELECT nip, CAST(segment AS BIGINT) AS segment, segment_desc, CAST(marketing AS BIGINT) AS marketing,
+               CAST(active_yesterday AS BIGINT) AS active_yesterday
+        FROM af_flags"""),
+    "active_owner_count": acct("SELECT COUNT(*) AS rows FROM af_flags WHERE active_yesterday = 1"),
+    "owner_last_login": acct("SELECT nip, CAST(ever_offer AS BIGINT) AS ever_offer, max_log, accounts FROM ll"),
+    "login_recency_summary": acct(f"""
+        SELECT CAST(ever_offer AS BIGINT) AS ever_offer, CAST(recent_login AS BIGINT) AS recent_login,
+               COUNT(nip) AS owners, CAST(SUM(accounts) AS BIGINT) AS accounts
+        FROM (SELECT *, CASE WHEN COALESCE(max_log, TIMESTAMP '{A.login_never}') >= TIMESTAMP '{A.login_cutoff}'
+                             THEN 1 ELSE 0 END AS recent_login FROM ll)
+        GROUP BY 1, 2"""),
+})
+
+
+# ---------------------------------------------------------------- ledger
+L = P.ledger
+_LW = f"BETWEEN {_d(L.date_from)} AND {_d(L.date_to)}"
+ORACLE["order_refund_ledger"] = sql(f"""
+    SELECT 'refund' AS typ, n.nip AS ud_nip, r.order_id, r.offer_id, CAST(r.refund_quantity AS BIGINT) AS refund_quantity,
+           CAST(r.refunded_gmv AS DOUBLE) AS refunded_gmv, CAST(o.o_orderdate AS DATE) AS order_date,
+           CAST(r.refund_finish_date AS DATE) AS refund_date
+    FROM refunds r
+    JOIN orders o ON o.o_orderkey = r.order_id
+    JOIN lg_nip n ON n.ud_us_id = r.seller_id
+    WHERE r.day {_LW}
+    UNION ALL
+    SELECT 'order', n.nip, s.deal_id, s.offer_id, CAST(s.quantity AS BIGINT), CAST(s.price AS DOUBLE),
+           CAST(s.buyingtime AS DATE), NULL
+    FROM sales_b s
+    JOIN lg_nip n ON n.ud_us_id = s.seller_id
+    WHERE s.day {_LW}""", "refunds", "sales_b", "owner_map",
+    ctes=f"lg_nip AS (SELECT * FROM owner_map WHERE nip = '{L.owner}')")
+
+
+# ---------------------------------------------------------------- follow-ups
+FU = P.follow
+FOLLOW_CTES = f"""
+fu_vips AS (SELECT l.nip, m.ud_us_id AS id FROM owner_list l LEFT JOIN owners m ON m.nip = l.nip),
+fs_billings AS (
+    SELECT f.account_id AS id, f.short_type, t.my_group_desc, f.gross_amount, strftime(f.day, '%Y%m') AS month
+    FROM fees f JOIN fee_types t ON f.short_type = t.id AND t.my_group_desc IS NOT NULL
+    WHERE f.day BETWEEN {_d(FU.fee_start)} AND {_d(FU.fee_stop)} AND f.marketplace = '{FU.marketplace}'),
+fee_q AS (
+    SELECT * FROM (
+        SELECT b.month, v.nip, b.short_type, b.my_group_desc, SUM(b.gross_amount) AS amount
+        FROM fs_billings b JOIN fu_vips v ON v.id = b.id
+        GROUP BY 1, 2, 3, 4)
+    WHERE abs(amount) > 0),
+fc_dates AS (
+    SELECT strftime(d, '%Y%m') AS month
+    FROM (SELECT unnest(generate_series({_d(FU.forecast_start)}, {_d(FU.forecast_stop)}, INTERVAL 1 MONTH)) AS d)),
+fc_grid AS (SELECT l.nip, d.month FROM owner_list l CROSS JOIN fc_dates d),
+fc_offers AS (
+    SELECT strftime(date, '%Y%m') AS month, nip, CAST(ROUND(CAST(AVG(offers) AS DECIMAL(38,6)), 2) AS DOUBLE) AS offers
+    FROM (SELECT o.day AS date, v.nip, SUM(o.offers) AS offers
+          FROM offers_total o JOIN fu_vips v ON v.id = o.seller_id
+          WHERE o.day BETWEEN {_d(FU.forecast_start)} AND {_d(FU.forecast_stop)}
+          GROUP BY 1, 2)
+    GROUP BY 1, 2),
+fc_gmv AS (
+    SELECT strftime(g.dt, '%Y%m') AS month, v.nip, SUM(g.GMV_ref) AS gmv
+    FROM net_gmv_daily g RIGHT JOIN fu_vips v ON v.id = g.account_id
+    WHERE g.dt BETWEEN {_d(FU.forecast_start)} AND {_d(FU.forecast_stop)}
+    GROUP BY 1, 2),
+forecast AS (
+    SELECT t.nip, t.month, COALESCE(o.offers, 0) AS offers, COALESCE(g.gmv, 0) AS gmv
+    FROM fc_grid t
+    LEFT JOIN fc_offers o ON o.month = t.month AND o.nip = t.nip
+    LEFT JOIN fc_gmv g ON g.nip = o.nip AND g.month = o.month)
+"""
+
+
+def follow(body: str) -> str:
+    return sql(body, "owner_list", "owners", "fees", "fee_types", "offers_total", "net_gmv_daily", ctes=FOLLOW_CTES)
+
+
+ORACLE.update({
+    "fee_summary": follow("SELECT month, nip, short_type, my_group_desc, CAST(amount AS DOUBLE) AS amount FROM fee_q"),
+    "forecast_panel": follow("SELECT nip, month, CAST(offers AS DOUBLE) AS offers, CAST(gmv AS DOUBLE) AS gmv FROM forecast"),
+})
