@@ -17,6 +17,7 @@ from mercata.functions.cases import case_ladder, decode
 from mercata.functions.dates import month_key, month_number
 from mercata.functions.numeric import half_even
 from mercata.operators import joins, reshape, scans, windows
+from mercata.operators.quantiles import exact_quantile
 from mercata.operators.aggregates import group_dropna, with_total
 from mercata.params import SEGMENTS, SegmentationParams
 from mercata.sources import views as V
@@ -134,9 +135,11 @@ def segment_thresholds(rollup: DataFrame, p: SegmentationParams) -> DataFrame:
     """Category x segment matrix: lower quartile of owner GMV among owners whose deal count
     reaches the segment's limit (exact, linearly interpolated quantile; empty cell = NULL)."""
     limit = decode(F.col("seller_segment"), p.limits)
-    qualifying = F.when(F.col("avg_count_deals") >= limit, F.col("avg_GMV").cast("double"))
-    return rollup.groupBy("new_meta").pivot("seller_segment", list(SEGMENTS)) \
-        .agg(F.percentile(qualifying, p.quantile))
+    cells = rollup.where(F.col("avg_count_deals") >= limit)
+    q = exact_quantile(cells, ["new_meta", "seller_segment"], "avg_GMV", p.quantile, "q")
+    categories = rollup.select("new_meta").distinct()
+    matrix = q.groupBy("new_meta").pivot("seller_segment", list(SEGMENTS)).agg(F.first("q"))
+    return categories.join(matrix, "new_meta", "left")
 
 
 def thresholds_long(matrix: DataFrame) -> DataFrame:
