@@ -16,7 +16,7 @@ from mercata.functions.numeric import report_round
 from mercata.params import Params
 from mercata.plans import accounts as acct
 from mercata.plans import follow_up as follow
-from mercata.plans import ledger
+from mercata.plans import ledger, primitives
 from mercata.plans import segmentation as seg
 from mercata.plans import status
 from mercata.plans import top_owners as top
@@ -265,3 +265,12 @@ def _fees(spark, t):
 @register("forecast_panel")
 def _forecast(spark, t):
     return follow.forecast_panel(t, P.follow)
+
+
+# ---------------------------------------------------------------- single operators
+def _primitive(name, fn):
+    register(name)(lambda spark, t: fn(t))
+
+
+for _name, _fn in primitives.QUERIES.items():
+    _primitive(_name, _fn)

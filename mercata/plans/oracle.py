@@ -726,3 +726,63 @@ ORACLE.update({
     "fee_summary": follow("SELECT month, nip, short_type, my_group_desc, CAST(amount AS DOUBLE) AS amount FROM fee_q"),
     "forecast_panel": follow("SELECT nip, month, CAST(offers AS DOUBLE) AS offers, CAST(gmv AS DOUBLE) AS gmv FROM forecast"),
 })
+
+
+# ---------------------------------------------------------------- single operators
+_SALES_META = f"""
+sm AS (SELECT s.*, ct.new_meta FROM sales s LEFT JOIN category_tree ct ON ct.ca_id_leaf = s.category_id
+       WHERE s.day {_TW})"""
+ORACLE.update({
+    "scan_date_range": sql(f"""
+        SELECT day, COUNT(*) AS lines, CAST(SUM(price) AS DOUBLE) AS gmv
+        FROM sales WHERE day {_TW} GROUP BY day""", "sales"),
+    "scan_day_snapshot": sql(f"""
+        SELECT userid, consentname, channel, approved FROM consents WHERE day = {_d(A.events_yesterday)}""",
+                             "consents"),
+    "filter_null_safe_not_equal": sql("""
+        SELECT cis_status, COUNT(*) AS accounts FROM account_status_history
+        WHERE cis_historical = 'N' AND cis_status IS DISTINCT FROM 'company' AND cis_status IS DISTINCT FROM 'ver'
+        GROUP BY 1""", "account_status_history"),
+    "filter_drops_nulls": sql("""
+        SELECT cis_status, COUNT(*) AS accounts FROM account_status_history
+        WHERE cis_historical = 'N' AND cis_status <> 'company'
+        GROUP BY 1""", "account_status_history"),
+    "existence_flag": sql("""
+        SELECT c.c_custkey AS account_id, CASE WHEN s.seller_id IS NULL THEN 0 ELSE 1 END AS is_seller
+        FROM customer c LEFT JOIN (SELECT DISTINCT seller_id FROM sales) s ON s.seller_id = c.c_custkey""",
+                          "sales"),
+    "restrict_to_list": sql("""
+        SELECT nip, COUNT(*) AS accounts FROM owner_map WHERE nip IN (SELECT nip FROM owner_list) GROUP BY nip""",
+                            "owner_map", "owner_list"),
+    "grouping_total": sql("""
+        SELECT strftime(day, '%Y%m') AS month, new_meta, CAST(SUM(price) AS DOUBLE) AS gmv, COUNT(*) AS lines
+        FROM sm GROUP BY 1, 2
+        UNION ALL
+        SELECT strftime(day, '%Y%m'), 'Total', CAST(SUM(price) AS DOUBLE), COUNT(*)
+        FROM sm WHERE new_meta IS NOT NULL GROUP BY 1""", "sales", "category_tree", ctes=_SALES_META),
+    "union_by_name": sql("""
+        SELECT strftime(day, '%Y%m') AS month, new_meta, CAST(SUM(price) AS DOUBLE) AS gmv FROM sm GROUP BY 1, 2
+        UNION ALL
+        SELECT strftime(day, '%Y%m'), NULL, CAST(SUM(price) AS DOUBLE) FROM sm GROUP BY 1""",
+                         "sales", "category_tree", ctes=_SALES_META),
+    "group_quantile": sql(f"""
+        SELECT new_meta, {r4('quantile_cont(CAST(gmv AS DOUBLE), 0.25)')} AS q1,
+               {r4('quantile_cont(CAST(gmv AS DOUBLE), 0.5)')} AS median
+        FROM (SELECT seller_id, new_meta, SUM(price) AS gmv FROM sm GROUP BY 1, 2)
+        GROUP BY new_meta""", "sales", "category_tree", ctes=_SALES_META),
+    "lag_delta": sql("""
+        SELECT seller_id, year, CAST(gmv AS DOUBLE) AS gmv,
+               CAST(gmv - LAG(gmv) OVER (PARTITION BY seller_id ORDER BY year) AS DOUBLE) AS gmv_change
+        FROM (SELECT seller_id, year(day) AS year, SUM(price) AS gmv FROM sales GROUP BY 1, 2)""", "sales"),
+    "round_modes": sql(f"""
+        SELECT seller_id, year, {r4('avg_quantity')} AS avg_quantity, ROUND(avg_quantity, 0) AS half_up,
+               round_even(avg_quantity, 0) AS half_even
+        FROM (SELECT l_suppkey AS seller_id, year(l_shipdate) AS year, AVG(l_quantity) AS avg_quantity
+              FROM lineitem GROUP BY 1, 2)"""),
+    "safe_ratio_daily": sql(f"""
+        SELECT user_id, day, purchases, errors, {r4('purchases / NULLIF(errors, 0)')} AS ratio
+        FROM (SELECT user_id, CAST(ts AS DATE) AS day,
+                     COUNT(*) FILTER (WHERE event_type = 'purchase') AS purchases,
+                     COUNT(*) FILTER (WHERE event_type = 'error') AS errors
+              FROM events GROUP BY 1, 2)"""),
+})
