@@ -155,7 +155,9 @@ def _ladder(p: SegmentationParams):
 
 def assign_segment(t: Tables, p: SegmentationParams) -> DataFrame:
     """New segment of unverified sellers (NULL status counts as unverified) from the thresholds."""
-    profile = seller_profile(t, p)
+    # The profile feeds three branches (thresholds, unverified rows, category counts); it is
+    # materialised once so the panels behind it are not recomputed per branch.
+    profile = seller_profile(t, p).checkpoint(eager=True)
     full = profile_with_total(profile)
     thresholds = segment_thresholds(verified_owner_rollup(full), p)
     unverified = full.where(~_is_verified() | F.col("actual_account_status").isNull())
