@@ -153,7 +153,7 @@ def _current_status(spark, t):
 @register("seller_profile")
 def _seller_profile(spark, t):
     return _r4(seg.seller_profile(t, P.seg), "avg_count_deals", "avg_count_offers") \
-        .select(*_PROFILE_ORDER)
+        .select(*_PROFILE_ORDER).orderBy("seller_id")
 
 
 @register("profile_with_total")
@@ -191,7 +191,7 @@ def _assign_segment(spark, t):
 # ---------------------------------------------------------------- status change
 @register("yearly_status_change")
 def _yearly(spark, t):
-    return status.yearly_status_change(t, P.status)
+    return status.yearly_status_change(t, P.status).orderBy("seller_id", "year")
 
 
 @register("status_change_summary")
@@ -218,7 +218,7 @@ def _only_classified(spark, t):
 # ---------------------------------------------------------------- accounts and owners
 @register("account_enrichment")
 def _account_enrichment(spark, t):
-    return acct.account_enrichment(t, P.acct)
+    return acct.account_enrichment(t, P.acct).orderBy("login", "us_id")
 
 
 @register("owner_active_offers")
@@ -264,7 +264,7 @@ def _fees(spark, t):
 
 @register("forecast_panel")
 def _forecast(spark, t):
-    return follow.forecast_panel(t, P.follow)
+    return follow.forecast_panel(t, P.follow).orderBy("nip", "month")
 
 
 # ---------------------------------------------------------------- single operators

@@ -160,7 +160,7 @@ def rating_qualified(t: Tables, p: TopOwnerParams) -> DataFrame:
 def gmv_qualified(gmv_monthly: DataFrame, rated_owners: DataFrame, p: TopOwnerParams) -> DataFrame:
     """Qualified owners with monthly net GMV >= limit in at least ``min_months`` months."""
     per_month = gmv_monthly.groupBy("nip", "month").agg(F.sum("gmv").alias("gmv"))
-    j = per_month.join(rated_owners.select("nip"), "nip")
+    j = joins.restrict(per_month, rated_owners, "nip")
     return j.groupBy("nip").agg(count_periods_at_least(F.col("gmv"), p.monthly_gmv_limit).alias("months_over")) \
         .where(F.col("months_over") >= p.min_months)
 
