@@ -99,7 +99,7 @@ def owner_activity_flags(t: Tables, p: AccountParams) -> DataFrame:
     v = scans.snapshot(V.verified_accounts(t), "day", p.activity_day).select("account_id")
     v = _not_test(v, t, "account_id")
     v = v.join(V.owner_map(t).select(F.col("ud_us_id").alias("account_id"), "nip"), "account_id", "left")
-    seg = V.segment_monthly(t).where(F.col("month_") == p.activity_month) \
+    seg = V.segment_monthly(t, p.activity_day, p.activity_day).where(F.col("month_") == p.activity_month) \
         .select(F.col("us_id").alias("account_id"), "segment")
     v = v.join(seg, "account_id", "left")
     v = joins.existence_flag(v, _consent_users(t, p.activity_day, V.CONSENT_MARKETING), "account_id", "userid",

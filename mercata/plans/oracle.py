@@ -76,7 +76,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "owner_map": ("""
         SELECT c_custkey AS ud_us_id, CAST(c_nationkey AS VARCHAR) AS nip FROM customer""", ()),
     "owners": ("SELECT * FROM owner_map WHERE nip IS NOT NULL", ("owner_map",)),
-    "test_users": ("SELECT c_custkey AS us_id FROM customer WHERE c_custkey % 17 = 0", ()),
+    "test_users": ("SELECT c_custkey AS us_id FROM customer WHERE c_acctbal < 0", ()),
     "account_status_history": ("""
         SELECT c_custkey AS cis_user_id,
                CASE WHEN c_custkey % 5 = 0 THEN 'company' WHEN c_custkey % 5 = 1 THEN 'ver'

@@ -43,7 +43,7 @@ def monthly_offer_panel(t: Tables, p: SegmentationParams) -> DataFrame:
     ver = V.verified_sellers(t, p.date_from, p.date_to) \
         .select(F.col("account_id").alias("seller_id"), "day", F.lit(True).alias("verified"))
     o = joins.same_day_join(o, ver, ["seller_id"], "day")
-    seg = V.segment_monthly(t).select(F.col("us_id").alias("seller_id"), "month_", "segment")
+    seg = V.segment_monthly(t, p.date_from, p.date_to).select(F.col("us_id").alias("seller_id"), "month_", "segment")
     o = o.withColumn("month_", month_number("day")).join(seg, ["seller_id", "month_"], "left")
     label = F.when(F.col("verified"), decode(F.col("segment"), SEGMENT_CODES))
     o = o.withColumn("seller_segment", label)

@@ -18,9 +18,10 @@ offers_total                 lineitem: listed lines per (day, seller) + non-clas
 verified_sellers             lineitem: (seller, day) with a finished line in a verified year
 verified_accounts            events: (user, day) with a 'signup'
 segment_monthly              (id, yyyymm) of sellers' lines and users' events; code = id % 4 + 1
+                             (optionally bounded to a date range, so a job reads only its months)
 category_tree                part: leaf = partkey, meta = p_type, level-1 name = p_brand
 owner_map                    customer: account -> owner tax id (its nation key)
-test_users                   customer ids divisible by 17
+test_users                   customers with a negative balance (internal / test accounts)
 account_status_history       customer: current row ('N') + an older 'company' row for id % 3 = 0
 users                        customer + last login (max event time)
 consents                     events 'signup' / 'click' as marketing / testing-invite consents
@@ -38,10 +39,13 @@ join); the owner tax id stays a STRING.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercata.functions.dates import day_of, month_key, month_number
+from mercata.params import add_months
 from mercata.sources.tables import Tables
 
 MONEY = "decimal(18,2)"
@@ -160,11 +164,18 @@ def verified_accounts(t: Tables, start=None, stop=None) -> DataFrame:
     return ev.distinct()
 
 
-def segment_monthly(t: Tables) -> DataFrame:
-    sellers = t.lineitem.select(F.col("l_suppkey").alias("us_id"), month_number("l_shipdate").alias("month_"))
-    users = t.events.select(F.col("user_id").alias("us_id"), month_number("ts").alias("month_"))
-    return (sellers.unionByName(users).distinct()
-            .withColumn("segment", (F.col("us_id") % 4 + 1).cast("int")))
+def segment_monthly(t: Tables, start=None, stop=None) -> DataFrame:
+    """Monthly segment per account; with ``start``/``stop`` only the whole months covering that
+    range are derived (the bounds reach both scans)."""
+    li = t.lineitem.select(F.col("l_suppkey").alias("us_id"), day_of("l_shipdate").alias("d"))
+    ev = t.events.select(F.col("user_id").alias("us_id"), day_of("ts").alias("d"))
+    if start is not None:
+        first = start.replace(day=1)
+        last = add_months(stop, 1) - dt.timedelta(days=1)
+        li = li.where(_between(F.col("d"), first, last))
+        ev = ev.where(_between(F.col("d"), first, last))
+    both = li.unionByName(ev).select("us_id", month_number("d").alias("month_")).distinct()
+    return both.withColumn("segment", (F.col("us_id") % 4 + 1).cast("int"))
 
 
 def category_tree(t: Tables) -> DataFrame:
@@ -179,7 +190,7 @@ def owner_map(t: Tables) -> DataFrame:
 
 
 def test_users(t: Tables) -> DataFrame:
-    return t.customer.where(F.col("c_custkey") % 17 == 0).select(F.col("c_custkey").alias("us_id"))
+    return t.customer.where(F.col("c_acctbal") < 0).select(F.col("c_custkey").alias("us_id"))
 
 
 def account_status_history(t: Tables) -> DataFrame:
@@ -289,7 +300,3 @@ def webinar_attendance(t: Tables) -> DataFrame:
         F.concat(F.lit("webinar-"), (F.col("event_id") % 4).cast("string")).alias("webinar_title"),
     )
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("F", "Column", "DataFrame", "Tables",
-                                                                  "annotations", "day_of", "month_key",
-                                                                  "month_number")]
