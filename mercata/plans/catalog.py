@@ -18,6 +18,7 @@ from mercata.plans import accounts as acct
 from mercata.plans import follow_up as follow
 from mercata.plans import ledger, primitives
 from mercata.plans import segmentation as seg
+from mercata.plans import sql_form
 from mercata.plans import status
 from mercata.plans import top_owners as top
 from mercata.sources.tables import Tables
@@ -226,6 +227,11 @@ def _owner_offers(spark, t):
     return acct.owner_active_offers(t, P.acct)
 
 
+@register("owner_active_offers_sql")
+def _owner_offers_sql(spark, t):
+    return sql_form.owner_active_offers_sql(t, P.acct)
+
+
 @register("attendee_enrichment")
 def _attendees(spark, t):
     return acct.attendee_enrichment(t, P.acct)

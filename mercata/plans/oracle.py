@@ -786,3 +786,5 @@ ORACLE.update({
                      COUNT(*) FILTER (WHERE event_type = 'error') AS errors
               FROM events GROUP BY 1, 2)"""),
 })
+
+ORACLE["owner_active_offers_sql"] = ORACLE["owner_active_offers"]

@@ -7,31 +7,37 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+# Runtime SQL settings the plans assume; each is applied only when the deployment left it unset.
+DEFAULTS = {
+    "spark.sql.session.timeZone": "UTC",                 # DATE(ts) / month keys never depend on the host
+    "spark.sql.adaptive.enabled": "true",                # runtime re-planning (join strategy, coalescing)
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",       # split hot keys of inner / left joins
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+}
+
 
 def get_session(master: str | None = None, shuffle_partitions: int | None = None,
                 app_name: str = "mercata") -> SparkSession:
     """Return (or create) a session configured for the plans.
 
-    On a cluster the master, memory and shuffle sizing come from spark-submit; the
-    builder only fills in what is unset.  UTC is pinned so DATE/TIMESTAMP_NTZ casts
-    never depend on the host zone.
+    On a cluster, master, executor sizing, ``spark.sql.shuffle.partitions`` (or AQE's
+    ``initialPartitionNum``) and ``spark.checkpoint.dir`` come from spark-submit; only unset
+    settings are filled in.  A local session also gets the UI switched off.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    builder = (
-        builder
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-    )
-    if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if master is None or master.startswith("local"):
+        builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    explicit = spark.sparkContext.getConf()
+    for key, value in DEFAULTS.items():
+        if not explicit.contains(key):
+            spark.conf.set(key, value)
+    if shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
     ensure_checkpoint_dir(spark)
     return spark
 
