@@ -788,3 +788,69 @@ ORACLE.update({
 })
 
 ORACLE["owner_active_offers_sql"] = ORACLE["owner_active_offers"]
+
+_SW2 = f"BETWEEN {_d(S.date_from)} AND {_d(S.date_to)}"
+ORACLE.update({
+    "scan_open_range": sql(f"""
+        SELECT account_id, COUNT(DISTINCT dt) AS days, CAST(SUM(GMV_ref) AS DOUBLE) AS gmv
+        FROM net_gmv_daily WHERE dt >= {_d(A.gmv_open_from)} GROUP BY 1""", "net_gmv_daily"),
+    "scan_trailing_30d": sql(f"""
+        SELECT account_id, CAST(SUM(GMV_ref) AS DOUBLE) AS gmv_30d FROM net_gmv_daily
+        WHERE dt BETWEEN {_d(A.sales_yesterday)} - INTERVAL 29 DAY AND {_d(A.sales_yesterday)} GROUP BY 1""",
+                             "net_gmv_daily"),
+    "filter_in_list": sql("""
+        SELECT consentname, channel, COUNT(DISTINCT userid) AS accounts FROM consents
+        WHERE approved AND consentname IN ('marketing', 'testing-invites') AND channel IN ('PHONE')
+        GROUP BY 1, 2""", "consents"),
+    "filter_multi": sql(f"""
+        SELECT seller_id, COUNT(*) AS lines FROM sales
+        WHERE day {_TW} AND quantity >= 45 AND price >= 50000 GROUP BY 1""", "sales"),
+    "join_same_day": sql(f"""
+        SELECT strftime(o.day, '%Y%m') AS month, CAST(SUM(o.offers) AS BIGINT) AS offers,
+               CAST(SUM(CASE WHEN v.account_id IS NOT NULL THEN o.offers ELSE 0 END) AS BIGINT) AS verified_offers
+        FROM offers_total o
+        LEFT JOIN verified_sellers v ON v.account_id = o.seller_id AND v.day = o.day
+        WHERE o.day {_SW2} GROUP BY 1""", "offers_total", "verified_sellers"),
+    "join_month_key": sql(f"""
+        SELECT CAST(year(o.day) * 100 + month(o.day) AS BIGINT) AS month_, CAST(u.segment AS BIGINT) AS segment,
+               CAST(SUM(o.offers) AS BIGINT) AS offers
+        FROM offers_total o
+        LEFT JOIN segment_monthly u ON u.us_id = o.seller_id AND u.month_ = year(o.day) * 100 + month(o.day)
+        WHERE o.day {_SW2} GROUP BY 1, 2""", "offers_total", "segment_monthly"),
+    "exclude_test_accounts": sql(f"""
+        SELECT strftime(day, '%Y%m') AS month, CAST(SUM(price) AS DOUBLE) AS gmv FROM sales
+        WHERE day {_TW} AND seller_id NOT IN (SELECT us_id FROM test_users) GROUP BY 1""", "sales", "test_users"),
+    "left_join_filtered_right": sql(f"""
+        SELECT strftime(r.day, '%Y%m') AS month, COUNT(*) AS refunds, COUNT(h.order_offer_id) AS with_order_in_window
+        FROM refunds r LEFT JOIN order_headers h ON h.order_offer_id = r.order_offer_id AND h.day {_TW}
+        WHERE r.day {_TW} GROUP BY 1""", "refunds", "order_headers"),
+    "agg_basic": sql(f"""
+        SELECT seller_id, CAST(SUM(price) AS DOUBLE) AS gmv, CAST({avg_dec('price')} AS DOUBLE) AS avg_price,
+               CAST(MIN(price) AS DOUBLE) AS min_price, CAST(MAX(price) AS DOUBLE) AS max_price,
+               COUNT(*) AS lines, MIN(day) AS first_day
+        FROM sales WHERE day {_TW} GROUP BY 1""", "sales"),
+    "agg_distinct": sql(f"""
+        SELECT seller_id, COUNT(DISTINCT offer_id) AS offers, COUNT(DISTINCT day) AS days,
+               COUNT(DISTINCT strftime(day, '%Y%m')) AS months
+        FROM sales WHERE day {_TW} GROUP BY 1""", "sales"),
+    "group_nunique": sql("SELECT seller_id, COUNT(DISTINCT new_meta) AS categories FROM sm GROUP BY 1",
+                         "sales", "category_tree", ctes=_SALES_META),
+    "group_drop_null_keys": sql("""
+        SELECT a.cis_status, o.nip, COUNT(*) AS accounts
+        FROM account_status_history a JOIN owner_map o ON a.cis_user_id = o.ud_us_id
+        WHERE a.cis_historical = 'N' AND a.cis_status IS NOT NULL AND o.nip IS NOT NULL
+        GROUP BY 1, 2""", "account_status_history", "owner_map"),
+    "share_of_group": sql(f"""
+        SELECT month, new_meta, CAST(gmv AS DOUBLE) AS gmv,
+               {r4('CAST(gmv AS DOUBLE) / CAST(SUM(gmv) OVER (PARTITION BY month) AS DOUBLE)')} AS share
+        FROM (SELECT strftime(day, '%Y%m') AS month, new_meta, SUM(price) AS gmv FROM sm GROUP BY 1, 2)""",
+                          "sales", "category_tree", ctes=_SALES_META),
+    "distinct_rows": sql(f"""
+        SELECT strftime(day, '%Y%m') AS month, COUNT(*) AS seller_days
+        FROM (SELECT DISTINCT account_id, day FROM verified_sellers WHERE day {_SW2}) GROUP BY 1""",
+                         "verified_sellers"),
+    "dates_month_year": sql("""
+        SELECT year(CAST(ts AS DATE)) AS year, strftime(CAST(ts AS DATE), '%Y%m') AS month, CAST(ts AS DATE) AS day,
+               COUNT(*) AS events
+        FROM events GROUP BY 1, 2, 3"""),
+})

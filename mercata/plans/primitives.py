@@ -7,9 +7,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercata.functions.dates import month_key, year_of
+from mercata.functions.dates import month_key, month_number, year_of
 from mercata.functions.numeric import half_even, report_round, round_half_up, safe_ratio
-from mercata.operators import joins, scans, sets, windows
+from mercata.operators import aggregates, joins, scans, sets, windows
 from mercata.operators.aggregates import with_total
 from mercata.operators.quantiles import exact_quantile
 from mercata.params import Params
@@ -113,6 +113,118 @@ def safe_ratio_daily(t: Tables) -> DataFrame:
     return e.withColumn("ratio", report_round(safe_ratio("purchases", "errors")))
 
 
+def scan_open_range(t: Tables) -> DataFrame:
+    """Net GMV since a date (open-ended range), per account."""
+    g = scans.open_range(V.net_gmv_daily(t), "dt", P.acct.gmv_open_from)
+    return g.groupBy("account_id").agg(F.count_distinct("dt").alias("days"), F.sum("GMV_ref").alias("gmv"))
+
+
+def scan_trailing_30d(t: Tables) -> DataFrame:
+    """Net GMV of the 30 days ending yesterday (both ends included), per account."""
+    g = scans.trailing_days(V.net_gmv_daily(t), "dt", P.acct.sales_yesterday, P.acct.gmv_days)
+    return g.groupBy("account_id").agg(F.sum("GMV_ref").alias("gmv_30d"))
+
+
+def filter_in_list(t: Tables) -> DataFrame:
+    """Approved consents of chosen names and channels (IN lists), accounts per name and channel."""
+    c = V.consents(t).where(F.col("approved") & F.col("consentname").isin(V.CONSENT_MARKETING, V.CONSENT_TESTING)
+                            & F.col("channel").isin("PHONE"))
+    return c.groupBy("consentname", "channel").agg(F.count_distinct("userid").alias("accounts"))
+
+
+def filter_multi(t: Tables) -> DataFrame:
+    """Large lines (conjunction of range, quantity and price predicates) per seller."""
+    s = scans.date_range(V.sales(t), "day", P.top.date_start, P.top.date_stop)
+    s = s.where((F.col("quantity") >= 45) & (F.col("price") >= 50000))
+    return s.groupBy("seller_id").agg(F.count(F.lit(1)).alias("lines"))
+
+
+def join_same_day(t: Tables) -> DataFrame:
+    """Offers of days on which the seller was verified (fact day = snapshot day), per month."""
+    o = V.offers_total(t, P.seg.date_from, P.seg.date_to)
+    v = V.verified_sellers(t, P.seg.date_from, P.seg.date_to) \
+        .select(F.col("account_id").alias("seller_id"), "day", F.lit(1).alias("verified_day"))
+    j = joins.same_day_join(o, v, ["seller_id"], "day")
+    return j.groupBy(month_key("day").alias("month")).agg(
+        F.sum("offers").alias("offers"),
+        F.sum(F.when(F.col("verified_day") == 1, F.col("offers")).otherwise(0)).alias("verified_offers"))
+
+
+def join_month_key(t: Tables) -> DataFrame:
+    """Offers by the seller's segment of the month (derived yyyymm joined to the stored month)."""
+    o = V.offers_total(t, P.seg.date_from, P.seg.date_to).withColumn("month_", month_number("day"))
+    seg = V.segment_monthly(t, P.seg.date_from, P.seg.date_to) \
+        .select(F.col("us_id").alias("seller_id"), "month_", "segment")
+    j = o.join(seg, ["seller_id", "month_"], "left")
+    return j.groupBy("month_", "segment").agg(F.sum("offers").alias("offers"))
+
+
+def exclude_test_accounts(t: Tables) -> DataFrame:
+    """Monthly GMV of the window without test accounts (anti-join)."""
+    s = joins.exclude(scans.date_range(V.sales(t), "day", P.top.date_start, P.top.date_stop),
+                      V.test_users(t), "seller_id", "us_id")
+    return s.groupBy(month_key("day").alias("month")).agg(F.sum("price").alias("gmv"))
+
+
+def left_join_filtered_right(t: Tables) -> DataFrame:
+    """Refunds per month, split by whether their order lies in the window (predicate on the right
+    side of a left join, so no refund is lost)."""
+    r = V.refunds(t, P.top.date_start, P.top.date_stop)
+    h = V.order_headers(t, P.top.date_start, P.top.date_stop).select("order_offer_id", F.lit(1).alias("in_window"))
+    j = r.join(h, "order_offer_id", "left")
+    return j.groupBy(month_key("day").alias("month")).agg(
+        F.count(F.lit(1)).alias("refunds"), F.count("in_window").alias("with_order_in_window"))
+
+
+def agg_basic(t: Tables) -> DataFrame:
+    """Sum / mean / min / max / count of line prices per seller in the window."""
+    s = scans.date_range(V.sales(t), "day", P.top.date_start, P.top.date_stop)
+    return s.groupBy("seller_id").agg(
+        F.sum("price").alias("gmv"), F.avg("price").alias("avg_price"), F.min("price").alias("min_price"),
+        F.max("price").alias("max_price"), F.count(F.lit(1)).alias("lines"), F.min("day").alias("first_day"))
+
+
+def agg_distinct(t: Tables) -> DataFrame:
+    """Distinct offers, days and months per seller (exact distinct counts)."""
+    s = scans.date_range(V.sales(t), "day", P.top.date_start, P.top.date_stop)
+    return s.groupBy("seller_id").agg(F.count_distinct("offer_id").alias("offers"),
+                                      F.count_distinct("day").alias("days"),
+                                      F.count_distinct(month_key("day")).alias("months"))
+
+
+def group_nunique(t: Tables) -> DataFrame:
+    """Number of distinct meta categories sold per seller in the window."""
+    return _window_sales_by_meta(t).groupBy("seller_id").agg(F.count_distinct("new_meta").alias("categories"))
+
+
+def group_drop_null_keys(t: Tables) -> DataFrame:
+    """Current accounts per status and owner, rows with a NULL status not forming a group."""
+    s = _current_status(t).join(V.owner_map(t), F.col("cis_user_id") == F.col("ud_us_id"))
+    s = aggregates.group_dropna(s, ["cis_status", "nip"])
+    return s.groupBy("cis_status", "nip").agg(F.count(F.lit(1)).alias("accounts"))
+
+
+def share_of_group(t: Tables) -> DataFrame:
+    """Share of each meta category in the month's GMV."""
+    g = _window_sales_by_meta(t).groupBy(month_key("day").alias("month"), "new_meta") \
+        .agg(F.sum("price").alias("gmv"))
+    s = windows.share_of_group(g, ["month"], "gmv", "share")
+    return s.withColumn("share", report_round("share"))
+
+
+def distinct_rows(t: Tables) -> DataFrame:
+    """Distinct verified (seller, day) pairs counted per month."""
+    v = V.verified_sellers(t, P.seg.date_from, P.seg.date_to)
+    return v.groupBy(month_key("day").alias("month")).agg(F.count(F.lit(1)).alias("seller_days"))
+
+
+def dates_month_year(t: Tables) -> DataFrame:
+    """Events per calendar year, month key and date."""
+    e = t.events.select(F.to_date("ts").alias("day"))
+    return e.groupBy(year_of("day").alias("year"), month_key("day").alias("month"), "day") \
+        .agg(F.count(F.lit(1)).alias("events"))
+
+
 QUERIES = {
     "scan_date_range": scan_date_range,
     "scan_day_snapshot": scan_day_snapshot,
@@ -126,4 +238,19 @@ QUERIES = {
     "lag_delta": lag_delta,
     "round_modes": round_modes,
     "safe_ratio_daily": safe_ratio_daily,
+    "scan_open_range": scan_open_range,
+    "scan_trailing_30d": scan_trailing_30d,
+    "filter_in_list": filter_in_list,
+    "filter_multi": filter_multi,
+    "join_same_day": join_same_day,
+    "join_month_key": join_month_key,
+    "exclude_test_accounts": exclude_test_accounts,
+    "left_join_filtered_right": left_join_filtered_right,
+    "agg_basic": agg_basic,
+    "agg_distinct": agg_distinct,
+    "group_nunique": group_nunique,
+    "group_drop_null_keys": group_drop_null_keys,
+    "share_of_group": share_of_group,
+    "distinct_rows": distinct_rows,
+    "dates_month_year": dates_month_year,
 }
