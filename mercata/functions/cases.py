@@ -31,11 +31,6 @@ def flag(cond: Column, yes=1, no=0) -> Column:
     return F.when(cond, F.lit(yes)).otherwise(F.lit(no))
 
 
-def present(c) -> Column:
-    """Existence test of a left-joined marker column (the reference wrote COALESCE(x, sentinel) = sentinel)."""
-    return (F.col(c) if isinstance(c, str) else c).isNotNull()
-
-
 def any_flag(c) -> Column:
     """Aggregate: 1 if any value of the group is > 0 else 0 (sum > 0 of non-negative counts)."""
     col = F.col(c) if isinstance(c, str) else c

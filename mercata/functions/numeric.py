@@ -1,4 +1,4 @@
-"""Rounding modes, money and safe ratios."""
+"""Rounding modes and safe ratios."""
 
 from __future__ import annotations
 
@@ -10,11 +10,6 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def money(c) -> Column:
-    """Money leaves the plan as DOUBLE; inside it is summed as DECIMAL(18,2) (exact)."""
-    return _c(c).cast("double")
-
-
 def round_half_up(c, scale: int = 0) -> Column:
     """SQL ROUND: half away from zero."""
     return F.round(_c(c), scale)

@@ -26,11 +26,6 @@ def with_total(df: DataFrame, keys: Sequence[str], cat: str, label: str = "Total
          .otherwise(F.array(F.col(cat), F.lit(label)))))
 
 
-def ratio_of_sums(num: Column, den: Column) -> Column:
-    """``sum(num) / sum(den)`` as DOUBLE; an empty denominator gives NULL instead of an error."""
-    return F.try_divide(F.sum(num).cast("double"), F.sum(den).cast("double"))
-
-
 def positive_share(flag_col: str) -> Column:
     """Share of TRUE among non-NULL values of a nullable boolean (``IS TRUE`` / count(col))."""
     c = F.col(flag_col)

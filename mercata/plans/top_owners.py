@@ -102,7 +102,7 @@ def net_gmv_monthly(t: Tables, p: TopOwnerParams) -> DataFrame:
 
 def net_gmv_annual(gmv_monthly: DataFrame, p: TopOwnerParams) -> DataFrame:
     """Net GMV per owner from the start up to, excluding, the running month."""
-    return gmv_monthly.where(F.col("month") != p.running_month).groupBy("nip").agg(F.sum("gmv").alias("gmv"))
+    return closed_months(gmv_monthly, p).groupBy("nip").agg(F.sum("gmv").alias("gmv"))
 
 
 def gmv_pivot_recent(spark, gmv_monthly: DataFrame, p: TopOwnerParams) -> DataFrame:
@@ -168,11 +168,12 @@ def gmv_qualified(gmv_monthly: DataFrame, rated_owners: DataFrame, p: TopOwnerPa
 def category_ranks(gmv_monthly: DataFrame, p: TopOwnerParams, with_sub: bool = False) -> DataFrame:
     """RANK of categories per owner by net GMV (ties broken by the meta name only), running month excluded."""
     keys = ["nip", "new_meta"] + (["new_ca_name_1"] if with_sub else [])
-    g = scans_not_running(gmv_monthly, p).groupBy(*keys).agg(F.sum("gmv").alias("gmv_main"))
+    g = closed_months(gmv_monthly, p).groupBy(*keys).agg(F.sum("gmv").alias("gmv_main"))
     return windows.ranked(g, ["nip"], [F.desc("gmv_main"), F.asc("new_meta")], "ranking")
 
 
-def scans_not_running(gmv_monthly: DataFrame, p: TopOwnerParams) -> DataFrame:
+def closed_months(gmv_monthly: DataFrame, p: TopOwnerParams) -> DataFrame:
+    """Hub rows of finished months (the running month excluded; NULL months drop too)."""
     return gmv_monthly.where(F.col("month") != p.running_month)
 
 
