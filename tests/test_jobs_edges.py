@@ -118,3 +118,49 @@ def test_forecast_grid_is_complete_and_gaps_are_zero(make_tables):
     assert rows[("1", "200107")] == (1.0, 0.0)   # only a returned line: offers but no net GMV
     assert rows[("1", "200106")] == (0.0, 0.0)
     assert rows[("3", "200108")] == (0.0, 0.0)
+
+
+def test_ratings_weighted_by_verified_days(make_tables):
+    # Every event is a rating ('error' negative, others positive); 'signup' days are verified days.
+    # Account 4 (owner 2): 3 verified days, 5 ratings (4 positive); account 5 (owner 2): 1 day, 1 positive.
+    ev = [(1, TS(2024, 1, 2), 4, "signup", 1.0, "{}"), (2, TS(2024, 1, 3), 4, "signup", 1.0, "{}"),
+          (3, TS(2024, 1, 4), 4, "click", 1.0, "{}"), (4, TS(2024, 1, 4), 4, "error", 1.0, "{}"),
+          (5, TS(2024, 1, 9), 5, "signup", 1.0, "{}"), (6, TS(2024, 1, 6), 4, "signup", 1.0, "{}")]
+    t = make_tables(customer=[(4, "c4", 2, 1.0, "X"), (5, "c5", 2, 1.0, "X")], events=ev)
+    p = TopOwnerParams(min_rating_share=0.0)
+    # each rating counts once per verified day of its account: (4*3 + 1) / (5*3 + 1)
+    q = top_owners.rating_qualified(t, p).collect()
+    assert [(r.nip, round(r.share, 6)) for r in q] == [("2", round(13 / 16, 6))]
+    u = top_owners.rating_quality(t, p).collect()
+    assert [(r.nip, r.positive, r.rated) for r in u] == [("2", 5, 6)]
+
+
+def test_empty_quantile_cell_falls_through_the_ladder(spark):
+    from mercata.params import SegmentationParams
+    from mercata.plans import segmentation
+    p = SegmentationParams()
+    rollup = spark.createDataFrame(
+        [("1", "small", "A", 10.0, 5.0, 1.0), ("2", "small", "A", 30.0, 5.0, 1.0),
+         ("3", "VIP", "A", 99.0, 1.0, 1.0),          # below the VIP deal limit: the VIP cell stays empty
+         ("4", "small", "B", 7.0, 0.5, 1.0)],        # below the small limit: category B has no cell at all
+        "nip string, seller_segment string, new_meta string, avg_GMV double, avg_count_deals double, "
+        "avg_count_offers double")
+    m = {r.new_meta: r for r in segmentation.segment_thresholds(rollup, p).collect()}
+    assert set(m) == {"A", "B"}
+    assert m["A"].small == 15.0 and m["A"].VIP is None and m["A"].medium is None
+    assert m["B"].small is None
+    probe = spark.createDataFrame([("A", 20.0, 10.0), ("A", 5.0, 10.0), ("B", 1e9, 1e9)],
+                                  "new_meta string, avg_GMV double, avg_count_deals double")
+    j = probe.join(segmentation.segment_thresholds(rollup, p), "new_meta", "left") \
+        .withColumn("seg", segmentation._ladder(p))
+    assert sorted((r.new_meta, r.avg_GMV, r.seg) for r in j.collect()) == \
+        [("A", 5.0, "lack"), ("A", 20.0, "small"), ("B", 1e9, "lack")]
+
+
+def test_forecast_gmv_on_spine_option(make_tables):
+    t = make_tables(nation=[(1, "n1", 1)], customer=[(5, "c5", 1, 1.0, "X")],
+                    lineitem=[(1, 9, 5, 1, 1.0, 10.0, 0.0, 0.0, "N", "F", TS(2001, 8, 3))])
+    p = FollowUpParams(forecast_start=dt.date(2001, 8, 1), forecast_stop=dt.date(2001, 8, 31))
+    a = {(r.nip, r.month): float(r.gmv) for r in follow_up.forecast_panel(t, p).collect()}
+    b = {(r.nip, r.month): float(r.gmv) for r in follow_up.forecast_panel(t, p, join_gmv_on_spine=True).collect()}
+    assert a == b == {("1", "200108"): 10.0}
