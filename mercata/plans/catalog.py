@@ -67,6 +67,11 @@ def _net_monthly(spark, t):
     return top.net_gmv_monthly(t, P.top)
 
 
+@register("join_full_outer_net")
+def _full_outer_net(spark, t):
+    return top.net_gmv_full_outer(top.gross_by_cell(t, P.top), top.refund_by_cell(t, P.top))
+
+
 @register("net_gmv_annual")
 def _net_annual(spark, t):
     return top.net_gmv_annual(top.net_gmv_monthly(t, P.top), P.top)

@@ -37,7 +37,8 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "sales": ("""
         SELECT CAST(l_shipdate AS DATE) AS day, l_suppkey AS seller_id, l_partkey AS offer_id,
                l_orderkey AS deal_id, l_orderkey AS order_offer_id, l_partkey AS category_id,
-               CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l_quantity AS INTEGER) AS quantity
+               CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l_quantity AS INTEGER) AS quantity,
+               l_returnflag = 'R' AS returned
         FROM lineitem""", ()),
     "sales_b": ("""
         SELECT s.*, o.o_custkey AS buyer_id, o.o_orderdate AS buyingtime
@@ -854,3 +855,5 @@ ORACLE.update({
                COUNT(*) AS events
         FROM events GROUP BY 1, 2, 3"""),
 })
+
+ORACLE["join_full_outer_net"] = ORACLE["net_gmv_monthly"]

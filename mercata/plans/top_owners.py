@@ -8,7 +8,8 @@ Scale notes
 * Order lines are reduced to (seller, month, leaf, order type) before the owner map and the
   category tree are joined: both are one row per key, so summing first is exact and the
   dimension joins see the reduced cells instead of every line.
-* The two cell tables are unique on the five keys; their full outer join is 1:1 per cell.
+* Gross and refund cells come from one scan of the window's lines and are netted per cell by
+  presence flags (no self join); ``net_gmv_full_outer`` keeps the literal full outer join form.
 * The hub is read seven times by the flagship; ``top_owner_report`` materialises it once with
   ``checkpoint()`` into ``spark.checkpoint.dir`` (lineage cut, survives executor loss).
 """
@@ -77,15 +78,67 @@ def refund_by_cell(t: Tables, p: TopOwnerParams) -> DataFrame:
     return _to_cells(r, t, "refunded_gmv", "ref_gmv")
 
 
+def _side_cells(t: Tables, p: TopOwnerParams) -> DataFrame:
+    """Gross and refund cells from one scan of the window's order lines.
+
+    Refunds are the returned lines of the same window, so one pass over the lines and one join to
+    the order headers serve both sides: every line contributes its price to the order side (buyer
+    type of its order), a returned line also to the refund side, whose buyer counts only when the
+    order itself lies in the window (else B2C, as with the separate refund query).
+    """
+    s = V.sales(t, p.date_start, p.date_stop)
+    hdr = t.orders.select(F.col("o_orderkey").alias("deal_id"), F.col("o_custkey").alias("buyer_id"),
+                          F.to_date("o_orderdate").alias("order_day"))
+    s = s.join(hdr, "deal_id", "left").join(_buyer_type(t), "buyer_id", "left")
+    in_window = F.col("order_day").between(F.lit(p.date_start), F.lit(p.date_stop))
+    sale = F.when(F.col("order_day").isNotNull(), F.struct(F.lit("o").alias("side"), _order_type().alias("t")))
+    refund = F.when(F.col("returned"), F.struct(
+        F.lit("r").alias("side"), F.when(in_window, _order_type()).otherwise("B2C").alias("t")))
+    parts = s.select("seller_id", "day", "category_id", "price",
+                     F.explode(F.filter(F.array(sale, refund), lambda x: x.isNotNull())).alias("c"))
+    parts = parts.select("seller_id", "day", "category_id", "price",
+                         F.col("c.side").alias("side"), F.col("c.t").alias("order_type"))
+    reduced = parts.groupBy("seller_id", month_key("day").alias("month"), "category_id", "order_type", "side") \
+        .agg(F.sum("price").alias("amount"))
+    cells = reduced.join(owners(t), reduced.seller_id == F.col("ud_us_id"))
+    tree = V.category_tree(t)
+    cells = cells.join(tree, cells.category_id == tree.ca_id_leaf, "left")
+    return cells.groupBy(*CELL, "side").agg(F.sum("amount").alias("amount"))
+
+
 def net_gmv_monthly(t: Tables, p: TopOwnerParams) -> DataFrame:
-    """Gross minus refunds per cell over a full outer join.
+    """Gross minus refunds per cell, with the report's full-outer-join semantics.
+
+    Owner and month come from the order side only, so refund-only cells end in one NULL
+    owner/month row per (type, category, level-1) with a NULL amount, and a NULL category never
+    matches a NULL category.  Both sides come from one pass (``_side_cells``) and are combined per
+    cell by presence flags instead of a self join, so the line scan and its joins run once:
 
-    Faithful to the report: owner and month come from the order side only, so refund-only cells
-    end in one NULL owner/month row per category and type with a NULL amount; a NULL category
-    never matches a NULL category.
+    * order side present: the cell, amount = gmv - refunds if all keys are known else gmv;
+    * refund side present without a matching order side (absent, or a NULL key): a refund-only row.
     """
-    o = gross_by_cell(t, p).alias("o")
-    r = refund_by_cell(t, p).alias("r")
+    c = _side_cells(t, p).groupBy(*CELL).agg(
+        F.sum(F.when(F.col("side") == "o", F.col("amount"))).alias("gmv"),
+        F.sum(F.when(F.col("side") == "r", F.col("amount"))).alias("ref_gmv"),
+        F.max(F.col("side") == "o").alias("has_o"),
+        F.max(F.col("side") == "r").alias("has_r"))
+    complete = F.col("new_meta").isNotNull() & F.col("new_ca_name_1").isNotNull()
+    order_row = F.when(F.col("has_o"), F.struct(
+        F.col("nip").alias("n"), F.col("month").alias("m"),
+        F.when(complete, F.col("gmv") - F.coalesce(F.col("ref_gmv"), F.lit(0))).otherwise(F.col("gmv")).alias("v")))
+    refund_only = F.when(F.col("has_r") & (~F.col("has_o") | ~complete), F.struct(
+        F.lit(None).cast("string").alias("n"), F.lit(None).cast("string").alias("m"),
+        F.lit(None).cast("decimal(38,2)").alias("v")))
+    rows = c.select("order_type", "new_meta", "new_ca_name_1",
+                    F.explode(F.filter(F.array(order_row, refund_only), lambda x: x.isNotNull())).alias("r"))
+    return rows.groupBy(F.col("r.n").alias("nip"), F.col("r.m").alias("month"), "order_type", "new_meta",
+                        "new_ca_name_1").agg(F.sum("r.v").alias("gmv"))
+
+
+def net_gmv_full_outer(gross: DataFrame, refunds: DataFrame) -> DataFrame:
+    """The report's literal form: order cells FULL OUTER JOIN refund cells on the five keys."""
+    o = gross.alias("o")
+    r = refunds.alias("r")
     cond = [F.col(f"o.{k}") == F.col(f"r.{k}") for k in CELL]
     j = o.join(r, cond, "full_outer").select(
         F.col("o.nip").alias("nip"),

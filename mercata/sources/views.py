@@ -80,6 +80,7 @@ def sales(t: Tables, start=None, stop=None, with_buyer: bool = False) -> DataFra
         F.col("l_partkey").alias("category_id"),
         F.col("l_extendedprice").cast(MONEY).alias("price"),
         F.col("l_quantity").cast("int").alias("quantity"),
+        (F.col("l_returnflag") == "R").alias("returned"),
     )
     if start is not None:
         df = df.where(_between(F.col("day"), start, stop))
