@@ -210,6 +210,25 @@ def rating_qualified(t: Tables, p: TopOwnerParams) -> DataFrame:
     return g.where(F.col("share") >= p.min_rating_share)
 
 
+def owner_ratings(t: Tables, p: TopOwnerParams) -> DataFrame:
+    """Per owner from one scan of the ratings window: positive share over the whole window
+    (``share``), over the recent window (``share_3m``) and weighted by verified days
+    (``weighted_share``; NULL for owners whose rated accounts had no verified day).  Each share
+    is NULL when there is no opinion to divide by."""
+    days = V.verified_accounts(t, p.rating_start, p.rating_stop).groupBy("account_id") \
+        .agg(F.count(F.lit(1)).alias("w"))
+    r = _rated(t, p.rating_start, p.rating_stop)
+    r = r.join(days, r.opponent_id == days.account_id, "left")
+    pos = F.col("recommend").eqNullSafe(True)
+    opinion = F.col("recommend").isNotNull()
+    recent = F.to_date("create_date") >= F.lit(p.rating_recent_start)
+    return r.groupBy("nip").agg(
+        safe_ratio(F.count_if(pos), F.count_if(opinion)).alias("share"),
+        safe_ratio(F.count_if(pos & recent), F.count_if(opinion & recent)).alias("share_3m"),
+        safe_ratio(F.sum(F.when(pos, F.col("w")).otherwise(0)),
+                   F.sum(F.when(opinion, F.col("w")).otherwise(0))).alias("weighted_share"))
+
+
 def gmv_qualified(gmv_monthly: DataFrame, rated_owners: DataFrame, p: TopOwnerParams) -> DataFrame:
     """Qualified owners with monthly net GMV >= limit in at least ``min_months`` months."""
     per_month = gmv_monthly.groupBy("nip", "month").agg(F.sum("gmv").alias("gmv"))
@@ -246,16 +265,18 @@ def top_owner_report(spark, t: Tables, p: TopOwnerParams, materialize: bool = Tr
     hub = net_gmv_monthly(t, p)
     if materialize:
         hub = hub.checkpoint(eager=True)
-    rated = rating_qualified(t, p)
+    ratings = owner_ratings(t, p)
+    rated = ratings.where(F.col("weighted_share") >= p.min_rating_share)
     nipy = gmv_qualified(hub, rated, p).select("nip")
-    q = rating_quality(t, p).select(F.col("nip"), report_round("share").alias("rating_share"))
-    q3 = rating_quality(t, p, recent=True).select(F.col("nip"), report_round("share").alias("rating_share_3m"))
+    q = ratings.select("nip", report_round("share").alias("rating_share"),
+                       report_round("share_3m").alias("rating_share_3m"))
     annual = net_gmv_annual(hub, p).select("nip", round_half_up("gmv", 2).alias("gmv12m"))
     out = (nipy.join(q, "nip")
            .join(top_categories(hub, p), "nip")
            .join(annual, "nip", "left")
-           .join(q3, "nip", "left")
            .join(gmv_pivot_months(hub, p), "nip", "left")
            .join(gmv_pivot_type(hub), "nip", "left")
            .join(gmv_pivot_recent(spark, hub, p), "nip", "left"))
-    return out
+    first = ["nip", "rating_share", "rating_share_3m", "gmv12m", "new_meta", "gmv", "new_ca_name_1", "gmv1",
+             "second_new_meta", "second_new_meta_gmv"]
+    return out.select(*first, *[c for c in out.columns if c not in first])

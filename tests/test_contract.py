@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 def test_entry_returns_rows(spark):
     df = entry.entry(spark)
     assert df.count() > 0
-    assert df.columns[:3] == ["nip", "rating_share", "new_meta"]
+    assert df.columns[:5] == ["nip", "rating_share", "rating_share_3m", "gmv12m", "new_meta"]
 
 
 def test_every_query_has_oracle_sql():
