@@ -279,7 +279,10 @@ def fees(t: Tables, start=None, stop=None) -> DataFrame:
 
 
 def fee_types(spark) -> DataFrame:
-    return spark.createDataFrame(FEE_GROUPS, "id string, my_group_desc string")
+    """The fixed fee-type list as a JVM-side relation (no Python rows to ship)."""
+    rows = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(v).cast("string").alias("my_group_desc"))
+                     for k, v in FEE_GROUPS])
+    return spark.range(1).select(F.inline(rows))
 
 
 def owner_list(t: Tables) -> DataFrame:
