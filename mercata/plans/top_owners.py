@@ -45,14 +45,14 @@ def _order_type() -> F.Column:
     return F.when(F.col("account_type") == "company", "B2B").otherwise("B2C")
 
 
-def _to_cells(lines: DataFrame, t: Tables, amount: str, out: str) -> DataFrame:
-    """(seller, day, leaf, order_type, amount) lines -> owner cells."""
-    reduced = lines.groupBy("seller_id", month_key("day").alias("month"), "category_id", "order_type") \
+def _to_cells(lines: DataFrame, t: Tables, amount: str, out: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(seller, day, leaf, order_type, amount, *extra) lines -> owner cells (+ extra keys)."""
+    reduced = lines.groupBy("seller_id", month_key("day").alias("month"), "category_id", "order_type", *extra) \
         .agg(F.sum(amount).alias(out))
     cells = reduced.join(owners(t), reduced.seller_id == F.col("ud_us_id"))
     tree = V.category_tree(t)
     cells = cells.join(tree, cells.category_id == tree.ca_id_leaf, "left")
-    return cells.groupBy(*CELL).agg(F.sum(out).alias(out))
+    return cells.groupBy(*CELL, *extra).agg(F.sum(out).alias(out))
 
 
 def gross_by_cell(t: Tables, p: TopOwnerParams) -> DataFrame:
@@ -98,12 +98,7 @@ def _side_cells(t: Tables, p: TopOwnerParams) -> DataFrame:
                      F.explode(F.filter(F.array(sale, refund), lambda x: x.isNotNull())).alias("c"))
     parts = parts.select("seller_id", "day", "category_id", "price",
                          F.col("c.side").alias("side"), F.col("c.t").alias("order_type"))
-    reduced = parts.groupBy("seller_id", month_key("day").alias("month"), "category_id", "order_type", "side") \
-        .agg(F.sum("price").alias("amount"))
-    cells = reduced.join(owners(t), reduced.seller_id == F.col("ud_us_id"))
-    tree = V.category_tree(t)
-    cells = cells.join(tree, cells.category_id == tree.ca_id_leaf, "left")
-    return cells.groupBy(*CELL, "side").agg(F.sum("amount").alias("amount"))
+    return _to_cells(parts, t, "price", "amount", ("side",))
 
 
 def net_gmv_monthly(t: Tables, p: TopOwnerParams) -> DataFrame:
