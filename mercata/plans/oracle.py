@@ -749,7 +749,7 @@ ORACLE.update({
         WHERE cis_historical = 'N' AND cis_status <> 'company'
         GROUP BY 1""", "account_status_history"),
     "existence_flag": sql("""
-        SELECT c.c_custkey AS account_id, CASE WHEN s.seller_id IS NULL THEN 0 ELSE 1 END AS is_seller
+        SELECT c.c_custkey AS account_id, CAST(CASE WHEN s.seller_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS is_seller
         FROM customer c LEFT JOIN (SELECT DISTINCT seller_id FROM sales) s ON s.seller_id = c.c_custkey""",
                           "sales"),
     "restrict_to_list": sql("""
