@@ -10,8 +10,10 @@ per-partition block offsets:
    row position in the low bits); the result is checkpointed so the ids are fixed.
 2. per (group, partition) block: row count and first position (a small table, one row per
    partition a group spans); a running sum over the blocks of a group gives its offset.
-3. rank = block offset + position - first position; the rows at ranks floor(p) and ceil(p),
-   p = (n - 1) * q, are picked by an equi-join, and interpolated.
+3. only the blocks holding ranks floor(p) and ceil(p), p = (n - 1) * q, are kept (at most two
+   per group); their rows are found by an equi-join on (group, partition), ranked as
+   block offset + position - first position, and the two values are interpolated.  The only
+   shuffle of all values is the range sort.
 
 Matches pandas ``quantile`` / Spark ``percentile`` / SQL ``quantile_cont`` (linear method).
 """
@@ -49,12 +51,17 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, nam
         .withColumn("_p", (F.col("_n") - 1) * F.lit(float(q))) \
         .withColumn("_lo", F.floor("_p")).withColumn("_hi", F.ceil("_p"))
 
-    b = blocks.select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col("_part").alias("_b_part"),
-                      "_offset", "_first")
-    ranked = ordered.join(b, [ordered[k].eqNullSafe(b[f"_b_{k}"]) for k in keys] + [ordered["_part"] == b["_b_part"]]) \
-        .withColumn("_rank", F.col("_offset") + F.col("_pos") - F.col("_first"))
+    # Keep only the (at most two) blocks per group that hold rank floor(p) or ceil(p): a small
+    # table, so the join back to the sorted values moves only those blocks' rows.
     tg = targets.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_p", "_lo", "_hi")
-    picked = ranked.join(tg, [ranked[k].eqNullSafe(tg[f"_t_{k}"]) for k in keys]) \
+    holds = lambda r: (F.col(r) >= F.col("_offset")) & (F.col(r) < F.col("_offset") + F.col("_cnt"))
+    marks = blocks.join(tg, [blocks[k].eqNullSafe(tg[f"_t_{k}"]) for k in keys]) \
+        .where(holds("_lo") | holds("_hi")) \
+        .select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col("_part").alias("_b_part"),
+                "_offset", "_first", "_p", "_lo", "_hi")
+    picked = ordered.join(marks, [ordered[k].eqNullSafe(marks[f"_b_{k}"]) for k in keys]
+                          + [ordered["_part"] == marks["_b_part"]]) \
+        .withColumn("_rank", F.col("_offset") + F.col("_pos") - F.col("_first")) \
         .where((F.col("_rank") == F.col("_lo")) | (F.col("_rank") == F.col("_hi")))
     agg = picked.groupBy(*keys).agg(
         F.max(F.when(F.col("_rank") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
