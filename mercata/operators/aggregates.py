@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mercata.params import TOTAL_LABEL
+
 
 def group_dropna(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """pandas ``groupby`` semantics: rows with a NULL key do not form a group."""
     return df.dropna(subset=list(keys))
 
 
-def with_total(df: DataFrame, keys: Sequence[str], cat: str, label: str = "Total") -> DataFrame:
+def with_total(df: DataFrame, keys: Sequence[str], cat: str, label: str = TOTAL_LABEL) -> DataFrame:
     """Attach a second copy of every row whose ``cat`` is known, labelled ``label``.
 
     Feeding the result to one ``groupBy(*keys, cat)`` aggregates the per-category grain and the

@@ -11,6 +11,8 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mercata.params import CURRENT_ROW
+
 
 def date_range(df: DataFrame, col: str, start, stop) -> DataFrame:
     """``col BETWEEN start AND stop`` (both ends included)."""
@@ -35,6 +37,6 @@ def distinct_keys(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols).distinct()
 
 
-def current_rows(df: DataFrame, marker: str, current: str = "N") -> DataFrame:
+def current_rows(df: DataFrame, marker: str, current: str = CURRENT_ROW) -> DataFrame:
     """Current version of each row of a history table."""
     return df.where(F.col(marker) == current)

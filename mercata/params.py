@@ -32,11 +32,22 @@ def month_keys(start: D, stop: D) -> list[str]:
     return out
 
 
-# Deal-count limit per seller segment used by the quartile thresholds and the
-# segment ladder.  The analyst script used 5 / 10 / 15 / 30 deals per month on production
-# volumes; the supplied tables have ~1 deal per seller-month, so the same ladder is scaled.
+# ---------------------------------------------------------------- fixed values
+# Values the reports depend on, stated once:
+#   seller segments, in code order 1..4;
+#   deal-count limit per segment for the quartile thresholds and the segment ladder (the analyst
+#     used 5 / 10 / 15 / 30 deals per month on production volumes; the supplied tables have about
+#     one deal per seller-month, so the same ladder is scaled to 1 / 1.5 / 2 / 3);
+#   order types (B2B when the buyer account type is 'company');
+#   account statuses that count as verified; the label of the all-categories grain;
+#   the current-row marker of history tables.
+SEGMENTS = ("small", "medium", "large", "VIP")
 SEGMENT_DEAL_LIMITS = {"small": 1.0, "medium": 1.5, "large": 2.0, "VIP": 3.0}
-SEGMENTS = ("small", "medium", "large", "VIP")  # fixed order, codes 1..4
+ORDER_TYPES = ("B2B", "B2C")
+COMPANY_ACCOUNT = "company"
+VERIFIED_STATUSES = ("company", "ver")
+TOTAL_LABEL = "Total"
+CURRENT_ROW = "N"
 
 
 @dataclass(frozen=True)
@@ -48,7 +59,6 @@ class TopOwnerParams:
     rating_start: D = D(2024, 1, 1)        # ratings live on the account-event calendar
     rating_stop: D = D(2024, 1, 30)
     rating_recent_start: D = D(2024, 1, 16)
-    ratings_snapshot: D = D(2024, 1, 30)
     min_rating_share: float = 0.75
     monthly_gmv_limit: float = 900_000.0
     min_months: int = 6

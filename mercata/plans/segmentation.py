@@ -19,11 +19,11 @@ from mercata.functions.numeric import half_even
 from mercata.operators import joins, reshape, scans, windows
 from mercata.operators.quantiles import exact_quantile
 from mercata.operators.aggregates import group_dropna, with_total
-from mercata.params import SEGMENTS, SegmentationParams
+from mercata.params import SEGMENTS, TOTAL_LABEL, VERIFIED_STATUSES, SegmentationParams
 from mercata.sources import views as V
 from mercata.sources.tables import Tables
 
-TOTAL = "Total"
+TOTAL = TOTAL_LABEL
 SEGMENT_CODES = {i + 1: s for i, s in enumerate(SEGMENTS)}
 
 
@@ -47,7 +47,7 @@ def monthly_offer_panel(t: Tables, p: SegmentationParams) -> DataFrame:
     o = o.withColumn("month_", month_number("day")).join(seg, ["seller_id", "month_"], "left")
     label = F.when(F.col("verified"), decode(F.col("segment"), SEGMENT_CODES))
     o = o.withColumn("seller_segment", label)
-    daily = with_total(o, ["day", "seller_id", "seller_segment"], "new_meta") \
+    daily = with_total(o, ["day", "seller_id", "seller_segment"], "new_meta", TOTAL) \
         .groupBy("day", "seller_id", "new_meta", "seller_segment").agg(F.sum("offers").alias("offers"))
     return daily.groupBy(month_key("day").alias("year_month"), "seller_id", "new_meta", "seller_segment").agg(
         F.round(F.avg("offers"), 0).alias("offers"), F.min("day").alias("min_date"))
@@ -59,7 +59,7 @@ def monthly_sales_panel(t: Tables, p: SegmentationParams) -> DataFrame:
     tree = V.category_tree(t).select("ca_id_leaf", "new_meta")
     s = s.join(tree, s.category_id == tree.ca_id_leaf, "left")
     s = joins.exclude(s, V.test_users(t), "seller_id", "us_id")
-    s = with_total(s, ["seller_id"], "new_meta")
+    s = with_total(s, ["seller_id"], "new_meta", TOTAL)
     return s.groupBy(month_key("day").alias("year_month"), "seller_id", "new_meta").agg(
         F.sum("price").alias("GMV"), F.count("offer_id").alias("count_deals"))
 
@@ -117,7 +117,7 @@ def profile_with_total(profile: DataFrame) -> DataFrame:
 
 
 def _is_verified():
-    return F.col("actual_account_status").isin("company", "ver")
+    return F.col("actual_account_status").isin(*VERIFIED_STATUSES)
 
 
 def verified_owner_rollup(full: DataFrame) -> DataFrame:

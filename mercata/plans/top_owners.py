@@ -24,12 +24,11 @@ from mercata.functions.dates import month_key
 from mercata.functions.numeric import report_round, round_half_up, safe_ratio
 from mercata.operators import joins, reshape, windows
 from mercata.operators.aggregates import count_periods_at_least, positive_share
-from mercata.params import TopOwnerParams
+from mercata.params import COMPANY_ACCOUNT, ORDER_TYPES, TopOwnerParams
 from mercata.sources import views as V
 from mercata.sources.tables import Tables
 
 CELL = ["nip", "month", "new_meta", "new_ca_name_1", "order_type"]
-ORDER_TYPES = ["B2B", "B2C"]
 
 
 def owners(t: Tables) -> DataFrame:
@@ -42,7 +41,8 @@ def _buyer_type(t: Tables) -> DataFrame:
 
 
 def _order_type() -> F.Column:
-    return F.when(F.col("account_type") == "company", "B2B").otherwise("B2C")
+    b2b, b2c = ORDER_TYPES
+    return F.when(F.col("account_type") == COMPANY_ACCOUNT, b2b).otherwise(b2c)
 
 
 def _to_cells(lines: DataFrame, t: Tables, amount: str, out: str, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -93,7 +93,7 @@ def _side_cells(t: Tables, p: TopOwnerParams) -> DataFrame:
     in_window = F.col("order_day").between(F.lit(p.date_start), F.lit(p.date_stop))
     sale = F.when(F.col("order_day").isNotNull(), F.struct(F.lit("o").alias("side"), _order_type().alias("t")))
     refund = F.when(F.col("returned"), F.struct(
-        F.lit("r").alias("side"), F.when(in_window, _order_type()).otherwise("B2C").alias("t")))
+        F.lit("r").alias("side"), F.when(in_window, _order_type()).otherwise(ORDER_TYPES[1]).alias("t")))
     parts = s.select("seller_id", "day", "category_id", "price",
                      F.explode(F.filter(F.array(sale, refund), lambda x: x.isNotNull())).alias("c"))
     parts = parts.select("seller_id", "day", "category_id", "price",
