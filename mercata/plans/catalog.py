@@ -216,6 +216,11 @@ def _status_head(spark, t):
     return status.head_sample(status.yearly_status_change(t, P.status))
 
 
+@register("status_head_summary")
+def _status_head_summary(spark, t):
+    return status.status_change_summary(status.head_sample(status.yearly_status_change(t, P.status)))
+
+
 @register("only_classified_sellers")
 def _only_classified(spark, t):
     return status.only_classified_sellers(status.yearly_status_change(t, P.status), 2001)

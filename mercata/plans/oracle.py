@@ -857,3 +857,20 @@ ORACLE.update({
 })
 
 ORACLE["join_full_outer_net"] = ORACLE["net_gmv_monthly"]
+
+ORACLE["status_head_summary"] = status("""
+    SELECT year, CAST(verified_status AS BIGINT) AS verified_status, CAST(only_clasifieds AS BIGINT) AS only_clasifieds,
+           CAST(s_offers AS BIGINT) AS sum_of_offers, CAST(s_no_clas AS BIGINT) AS sum_of_offers_no_clasifieds,
+           count_seller_id,
+           CASE WHEN verified_status = 1 THEN 'regular -> company' WHEN verified_status = 0 THEN 'no change'
+                ELSE 'company -> regular' END AS verified_status_desc,
+           CASE WHEN only_clasifieds = 1 THEN 'yes' ELSE 'no' END AS only_clasifieds_desc
+    FROM (SELECT year, verified_status, only_clasifieds, SUM(sum_of_offers) AS s_offers,
+                 SUM(sum_of_offers_no_clasifieds) AS s_no_clas, COUNT(seller_id) AS count_seller_id
+          FROM (SELECT seller_id, year, COALESCE(verified_status, 0) AS verified_status,
+                       COALESCE(sum_of_offers, 0) AS sum_of_offers,
+                       COALESCE(sum_of_offers_no_clasifieds, 0) AS sum_of_offers_no_clasifieds,
+                       CASE WHEN sum_of_offers > 0 AND sum_of_offers_no_clasifieds = 0 THEN 1 ELSE 0 END
+                           AS only_clasifieds
+                FROM (SELECT * FROM st_yearly ORDER BY seller_id, year LIMIT 1000))
+          GROUP BY year, verified_status, only_clasifieds)""")
