@@ -83,7 +83,9 @@ def seller_profile(t: Tables, p: SegmentationParams) -> DataFrame:
     """Per owner, seller, status, segment, category (| Total): GMV sums / means over months,
     mean deals and offers, first day, active yesterday, months with sales / offers."""
     offers = monthly_offer_panel(t, p)
-    sales = monthly_sales_panel(t, p)
+    # The sales panel feeds the join and the main-category ranking; it is a small aggregate, so it
+    # is materialised once instead of scanning the window's lines a second time.
+    sales = monthly_sales_panel(t, p).checkpoint(eager=True)
     orders = sales.withColumn("sales_month", F.col("year_month"))
     j = offers.join(orders, ["seller_id", "new_meta", "year_month"], "left")
     status = current_account_status(t).select(

@@ -23,13 +23,15 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
     On a cluster, master, executor sizing, ``spark.sql.shuffle.partitions`` (or AQE's
     ``initialPartitionNum``) and ``spark.checkpoint.dir`` come from spark-submit; only unset
-    settings are filled in.  A local session also gets the UI switched off.
+    settings are filled in.  An explicitly local session also gets the UI switched off and its
+    checkpoint files cleaned when no longer referenced.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    if master is None or master.startswith("local"):
-        builder = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    if master and master.startswith("local"):
+        builder = (builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+                   .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     explicit = spark.sparkContext.getConf()
