@@ -136,6 +136,8 @@ def verified_owner_rollup(full: DataFrame) -> DataFrame:
 def segment_thresholds(rollup: DataFrame, p: SegmentationParams) -> DataFrame:
     """Category x segment matrix: lower quartile of owner GMV among owners whose deal count
     reaches the segment's limit (exact, linearly interpolated quantile; empty cell = NULL)."""
+    # The rollup (owners x segment x category) feeds the quantile and the category list.
+    rollup = rollup.checkpoint(eager=True)
     limit = decode(F.col("seller_segment"), p.limits)
     cells = rollup.where(F.col("avg_count_deals") >= limit)
     q = exact_quantile(cells, ["new_meta", "seller_segment"], "avg_GMV", p.quantile, "q")
