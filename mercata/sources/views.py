@@ -44,7 +44,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercata.functions.dates import day_of, month_key, month_number
+from mercata.functions.dates import day_of, month_number
 from mercata.params import add_months
 from mercata.sources.tables import Tables
 

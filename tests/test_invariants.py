@@ -5,7 +5,7 @@ owner ratings agree with the standalone rating queries."""
 import pytest
 from pyspark.sql import functions as F
 
-from mercata.params import FollowUpParams, Params, month_keys
+from mercata.params import Params, month_keys
 from mercata.plans import follow_up, status, top_owners
 from mercata.sources import views as V
 from mercata.sources.tables import Tables
