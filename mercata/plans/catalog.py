@@ -229,7 +229,7 @@ def _only_classified(spark, t):
 # ---------------------------------------------------------------- accounts and owners
 @register("account_enrichment")
 def _account_enrichment(spark, t):
-    return acct.account_enrichment(t, P.acct).orderBy("login", "us_id")
+    return acct.account_enrichment(t, P.acct).orderBy("list_segment", "us_id")
 
 
 @register("owner_active_offers")
