@@ -174,6 +174,26 @@ def gmv_pivot_type(gmv_monthly: DataFrame) -> DataFrame:
     return reshape.named_pivot(g, ["nip"], "order_type", ORDER_TYPES, F.sum("gmv"), "gmv_")
 
 
+def owner_wide(gmv_monthly: DataFrame, p: TopOwnerParams) -> DataFrame:
+    """Per owner in one aggregation: annual GMV (running month excluded) and the three pivots
+    (every month, B2B / B2C over the whole period, B2B / B2C over the last three full months).
+
+    With the value lists known, a pivot cell is a conditional sum, so the three pivots and the
+    annual total share one shuffle of the hub; results equal ``gmv_pivot_*`` / ``net_gmv_annual``.
+    """
+    m, t = F.col("month"), F.col("order_type")
+
+    def cell(cond):
+        return round_half_up(F.sum(F.when(cond, F.col("gmv"))), 2)
+
+    recent = m.isin(p.recent_months)
+    return gmv_monthly.groupBy("nip").agg(
+        round_half_up(F.sum(F.when(m != p.running_month, F.col("gmv"))), 2).alias("gmv12m"),
+        *[cell(m == k).alias(f"gmv_{k}") for k in p.pivot_months],
+        *[cell(t == k).alias(f"gmv_{k}") for k in ORDER_TYPES],
+        *[cell((t == k) & recent).alias(f"gmv_{k}_3m") for k in ORDER_TYPES])
+
+
 def _rated(t: Tables, start, stop) -> DataFrame:
     r = V.ratings(t)
     r = r.where(F.to_date("create_date").between(F.lit(start), F.lit(stop)))
@@ -265,13 +285,9 @@ def top_owner_report(spark, t: Tables, p: TopOwnerParams, materialize: bool = Tr
     nipy = gmv_qualified(hub, rated, p).select("nip")
     q = ratings.select("nip", report_round("share").alias("rating_share"),
                        report_round("share_3m").alias("rating_share_3m"))
-    annual = net_gmv_annual(hub, p).select("nip", round_half_up("gmv", 2).alias("gmv12m"))
     out = (nipy.join(q, "nip")
            .join(top_categories(hub, p), "nip")
-           .join(annual, "nip", "left")
-           .join(gmv_pivot_months(hub, p), "nip", "left")
-           .join(gmv_pivot_type(hub), "nip", "left")
-           .join(gmv_pivot_recent(spark, hub, p), "nip", "left"))
+           .join(owner_wide(hub, p), "nip", "left"))
     first = ["nip", "rating_share", "rating_share_3m", "gmv12m", "new_meta", "gmv", "new_ca_name_1", "gmv1",
              "second_new_meta", "second_new_meta_gmv"]
     return out.select(*first, *[c for c in out.columns if c not in first])

@@ -66,3 +66,17 @@ def test_one_pass_ratings_agree_with_standalone_queries(t):
             and r.weighted_share >= P.top.min_rating_share} == set(qualified)
     for nip, s in qualified.items():
         assert combined[nip].weighted_share == pytest.approx(s, abs=1e-12)
+
+
+def test_wide_owner_aggregate_equals_pivots_and_annual(spark, t):
+    hub = top_owners.net_gmv_monthly(t, P.top)
+    wide = {r.nip: r.asDict() for r in top_owners.owner_wide(hub, P.top).collect()}
+    parts = [top_owners.gmv_pivot_months(hub, P.top), top_owners.gmv_pivot_type(hub),
+             top_owners.gmv_pivot_recent(spark, hub, P.top)]
+    for part in parts:
+        for r in part.collect():
+            for c, v in r.asDict().items():
+                if c != "nip":
+                    assert wide[r.nip][c] == v, (r.nip, c)
+    for r in top_owners.net_gmv_annual(hub, P.top).collect():
+        assert wide[r.nip]["gmv12m"] == round(r.gmv, 2)
