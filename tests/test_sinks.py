@@ -32,3 +32,12 @@ def test_csv_source_parses_dates(spark, tmp_path):
                   date_columns={"last_date_account_status": "yyyy-MM-dd"})
     got = sorted((r.seller_id, r.last_date_account_status) for r in df.collect())
     assert got == [(1, dt.date(2021, 3, 4)), (2, None)]
+
+
+def test_cli_writes_a_job_partitioned_by_month(spark, tmp_path):
+    from mercata.__main__ import main
+    out = tmp_path / "fees"
+    main(["fee_summary", "--tables", SF, "--out", str(out)])
+    back = spark.read.parquet(str(out))
+    assert {p.name for p in out.iterdir() if p.name.startswith("month=")} == {"month=202401"}
+    assert back.count() > 0 and "amount" in back.columns
