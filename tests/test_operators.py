@@ -146,7 +146,7 @@ def test_exact_quantile_matches_percentile_with_hot_group(spark, q):
     random.seed(7)
     data = [("hot", float(random.randint(0, 500))) for _ in range(3000)]
     data += [(f"g{i % 40}", random.random() * 100) for i in range(6000)]
-    data += [("one", 5.0), ("ties", 2.0), ("ties", 2.0), ("ties", 2.0), ("nulls", None)]
+    data += [("one", 5.0), ("ties", 2.0), ("ties", 2.0), ("ties", 2.0), ("nulls", None), (None, 1.0), (None, 4.0)]
     df = spark.createDataFrame(data, "g string, v double").repartition(16)
     got = {r.g: r.q for r in exact_quantile(df, ["g"], "v", q, "q").collect()}
     want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", q).alias("q")).collect() if r.q is not None}
