@@ -278,6 +278,22 @@ def _fees(spark, t):
     return follow.fee_summary(t, P.follow)
 
 
+def _qualified_owners(t):
+    """Owners qualified by the top-owner report, handed to the follow-ups as a DataFrame."""
+    hub = top.net_gmv_monthly(t, P.top)
+    return top.gmv_qualified(hub, top.rating_qualified(t, P.top), P.top).select("nip")
+
+
+@register("fee_summary_qualified")
+def _fees_qualified(spark, t):
+    return follow.fee_summary(t, P.follow, owner_list=_qualified_owners(t))
+
+
+@register("forecast_panel_qualified")
+def _forecast_qualified(spark, t):
+    return follow.forecast_panel(t, P.follow, owner_list=_qualified_owners(t)).orderBy("nip", "month")
+
+
 @register("forecast_panel")
 def _forecast(spark, t):
     return follow.forecast_panel(t, P.follow).orderBy("nip", "month")

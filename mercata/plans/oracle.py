@@ -874,3 +874,20 @@ ORACLE["status_head_summary"] = status("""
                            AS only_clasifieds
                 FROM (SELECT * FROM st_yearly ORDER BY seller_id, year LIMIT 1000))
           GROUP BY year, verified_status, only_clasifieds)""")
+
+
+# The follow-ups for the owners qualified by the top-owner report (the list handed over).
+_QUALIFIED_FOLLOW = TOP_CTES.rstrip().rstrip(",") + ",\nqualified_list AS (SELECT nip FROM nipy),\n" + \
+    FOLLOW_CTES.replace("FROM owner_list l", "FROM qualified_list l")
+
+
+def follow_qualified(body: str) -> str:
+    return sql(body, *TOP_VIEWS, "fees", "fee_types", "offers_total", "net_gmv_daily", ctes=_QUALIFIED_FOLLOW)
+
+
+ORACLE.update({
+    "fee_summary_qualified": follow_qualified(
+        "SELECT month, nip, short_type, my_group_desc, CAST(amount AS DOUBLE) AS amount FROM fee_q"),
+    "forecast_panel_qualified": follow_qualified(
+        "SELECT nip, month, CAST(offers AS DOUBLE) AS offers, CAST(gmv AS DOUBLE) AS gmv FROM forecast"),
+})
