@@ -20,7 +20,7 @@ Matches pandas ``quantile`` / Spark ``percentile`` / SQL ``quantile_cont`` (line
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,14 +28,11 @@ from pyspark.sql import functions as F
 _LOW_BITS = (1 << 33) - 1
 
 
-def _on(keys: Sequence[str], left: DataFrame, right: DataFrame, extra: Sequence[str] = ()):
-    cond = [left[k].eqNullSafe(right[k]) for k in keys]
-    cond += [left[k] == right[k] for k in extra]
-    return cond
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Mapping[str, float]) -> DataFrame:
+    """One row per group with at least one non-NULL value: ``keys..., <name> for name in qs``.
 
-
-def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str = "quantile") -> DataFrame:
-    """One row per group with at least one non-NULL value: ``keys..., name``."""
+    All probabilities share one range sort, one checkpoint and one block table.
+    """
     keys = list(keys)
     v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
     ordered = v.orderBy(*keys, "_v").withColumn("_id", F.monotonically_increasing_id())
@@ -47,25 +44,33 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, nam
     before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
 
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in qs.items()])
     targets = blocks.groupBy(*keys).agg(F.sum("_cnt").alias("_n")) \
-        .withColumn("_p", (F.col("_n") - 1) * F.lit(float(q))) \
+        .select(*keys, "_n", F.explode(wanted).alias("_w")) \
+        .select(*keys, F.col("_w.name").alias("_name"), ((F.col("_n") - 1) * F.col("_w.q")).alias("_p")) \
         .withColumn("_lo", F.floor("_p")).withColumn("_hi", F.ceil("_p"))
 
-    # Keep only the (at most two) blocks per group that hold rank floor(p) or ceil(p): a small
+    # Keep only the blocks holding a target rank (at most two per group and probability): a small
     # table, so the join back to the sorted values moves only those blocks' rows.
-    tg = targets.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_p", "_lo", "_hi")
+    tg = targets.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_name", "_p", "_lo", "_hi")
     holds = lambda r: (F.col(r) >= F.col("_offset")) & (F.col(r) < F.col("_offset") + F.col("_cnt"))
     marks = blocks.join(tg, [blocks[k].eqNullSafe(tg[f"_t_{k}"]) for k in keys]) \
         .where(holds("_lo") | holds("_hi")) \
         .select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col("_part").alias("_b_part"),
-                "_offset", "_first", "_p", "_lo", "_hi")
+                "_offset", "_first", "_name", "_p", "_lo", "_hi")
     picked = ordered.join(marks, [ordered[k].eqNullSafe(marks[f"_b_{k}"]) for k in keys]
                           + [ordered["_part"] == marks["_b_part"]]) \
         .withColumn("_rank", F.col("_offset") + F.col("_pos") - F.col("_first")) \
         .where((F.col("_rank") == F.col("_lo")) | (F.col("_rank") == F.col("_hi")))
-    agg = picked.groupBy(*keys).agg(
+    per_q = picked.groupBy(*keys, "_name").agg(
         F.max(F.when(F.col("_rank") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
         F.max(F.when(F.col("_rank") == F.col("_hi"), F.col("_v"))).alias("_vhi"),
         F.max("_p").alias("_p"), F.max("_lo").alias("_lo"))
-    return agg.select(*keys, (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_p") - F.col("_lo")))
-                      .alias(name))
+    per_q = per_q.select(*keys, "_name",
+                         (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_p") - F.col("_lo"))).alias("_q"))
+    return per_q.groupBy(*keys).pivot("_name", list(qs)).agg(F.first("_q"))
+
+
+def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str = "quantile") -> DataFrame:
+    """One row per group with at least one non-NULL value: ``keys..., name``."""
+    return exact_quantiles(df, keys, value, {name: q})

@@ -11,7 +11,7 @@ from mercata.functions.dates import month_key, month_number, year_of
 from mercata.functions.numeric import half_even, report_round, round_half_up, safe_ratio
 from mercata.operators import aggregates, joins, scans, sets, windows
 from mercata.operators.aggregates import with_total
-from mercata.operators.quantiles import exact_quantile
+from mercata.operators.quantiles import exact_quantiles
 from mercata.params import Params
 from mercata.sources import views as V
 from mercata.sources.tables import Tables
@@ -84,10 +84,8 @@ def union_by_name(t: Tables) -> DataFrame:
 def group_quantile(t: Tables) -> DataFrame:
     """Lower quartile and median of seller GMV per meta category (exact, interpolated)."""
     g = _window_sales_by_meta(t).groupBy("seller_id", "new_meta").agg(F.sum("price").alias("gmv"))
-    q1 = exact_quantile(g, ["new_meta"], "gmv", 0.25, "q1")
-    q2 = exact_quantile(g, ["new_meta"], "gmv", 0.5, "median")
-    return q1.join(q2, "new_meta").select("new_meta", report_round("q1").alias("q1"),
-                                          report_round("median").alias("median"))
+    q = exact_quantiles(g, ["new_meta"], "gmv", {"q1": 0.25, "median": 0.5})
+    return q.select("new_meta", report_round("q1").alias("q1"), report_round("median").alias("median"))
 
 
 def lag_delta(t: Tables) -> DataFrame:

@@ -153,3 +153,15 @@ def test_exact_quantile_matches_percentile_with_hot_group(spark, q):
     assert got.keys() == want.keys()
     for k in want:
         assert got[k] == pytest.approx(want[k], rel=1e-12, abs=1e-9), k
+
+
+def test_exact_quantiles_share_one_sort(spark):
+    from mercata.operators.quantiles import exact_quantiles
+    random.seed(11)
+    data = [("a" if i % 3 else "b", random.random() * 1000) for i in range(4000)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(12)
+    qs = {"p10": 0.1, "p50": 0.5, "p90": 0.9}
+    got = {r.g: (r.p10, r.p50, r.p90) for r in exact_quantiles(df, ["g"], "v", qs).collect()}
+    want = df.groupBy("g").agg(*[F.percentile("v", q).alias(n) for n, q in qs.items()])
+    for r in want.collect():
+        assert got[r.g] == pytest.approx((r.p10, r.p50, r.p90), rel=1e-12)
