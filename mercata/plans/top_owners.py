@@ -10,8 +10,10 @@ Scale notes
   dimension joins see the reduced cells instead of every line.
 * Gross and refund cells come from one scan of the window's lines and are netted per cell by
   presence flags (no self join); ``net_gmv_full_outer`` keeps the literal full outer join form.
-* The hub is read seven times by the flagship; ``top_owner_report`` materialises it once with
+* The flagship reads the hub five times (qualification, two rankings, one wide per-owner
+  aggregate for the annual total and all pivots); ``top_owner_report`` materialises it once with
   ``checkpoint()`` into ``spark.checkpoint.dir`` (lineage cut, survives executor loss).
+* The three rating measures of the flagship come from one scan of the ratings window.
 """
 
 from __future__ import annotations
