@@ -38,7 +38,7 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
         SELECT CAST(l_shipdate AS DATE) AS day, l_suppkey AS seller_id, l_partkey AS offer_id,
                l_orderkey AS deal_id, l_orderkey AS order_offer_id, l_partkey AS category_id,
                CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l_quantity AS INTEGER) AS quantity,
-               l_returnflag = 'R' AS returned
+               l_returnflag = 'R' AS returned, l_shipdate AS shipped_at
         FROM lineitem""", ()),
     "sales_b": ("""
         SELECT s.*, o.o_custkey AS buyer_id, o.o_orderdate AS buyingtime

@@ -12,7 +12,7 @@ view                         derived from
 ===========================  =====================================================================
 sales (orders fact)          lineitem [+ orders for the buyer]; day = ship date, price = line price
 order_headers                orders; the order grain a refund points to (buyer, order day)
-refunds                      lineitem with return flag 'R'; refund day = ship date
+refunds                      the returned lines of sales (flag 'R'); refund day = ship date
 offers_by_category           lineitem: listed lines per (day, seller, leaf category = part)
 offers_total                 lineitem: listed lines per (day, seller) + non-classified lines
 verified_sellers             lineitem: (seller, day) with a finished line in a verified year
@@ -81,6 +81,7 @@ def sales(t: Tables, start=None, stop=None, with_buyer: bool = False) -> DataFra
         F.col("l_extendedprice").cast(MONEY).alias("price"),
         F.col("l_quantity").cast("int").alias("quantity"),
         (F.col("l_returnflag") == "R").alias("returned"),
+        F.col("l_shipdate").alias("shipped_at"),
     )
     if start is not None:
         df = df.where(_between(F.col("day"), start, stop))
@@ -106,19 +107,16 @@ def order_headers(t: Tables, start=None, stop=None) -> DataFrame:
 
 
 def refunds(t: Tables, start=None, stop=None, with_order_date: bool = False) -> DataFrame:
-    df = t.lineitem.where(F.col("l_returnflag") == "R").select(
-        day_of("l_shipdate").alias("day"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_partkey").alias("offer_id"),
-        F.col("l_orderkey").alias("order_offer_id"),
-        F.col("l_partkey").alias("category_id"),
-        F.col("l_quantity").cast("int").alias("refund_quantity"),
-        F.col("l_extendedprice").cast(MONEY).alias("refunded_gmv"),
-        F.col("l_shipdate").alias("refund_finish_date"),
+    """Refunds: the returned order lines, recorded on their ship day (derived from ``sales``, so the
+    net-GMV hub's single pass over the lines and this view can never disagree)."""
+    df = sales(t, start, stop).where(F.col("returned")).select(
+        "day", "seller_id",
+        F.col("deal_id").alias("order_id"),
+        "offer_id", "order_offer_id", "category_id",
+        F.col("quantity").alias("refund_quantity"),
+        F.col("price").alias("refunded_gmv"),
+        F.col("shipped_at").alias("refund_finish_date"),
     )
-    if start is not None:
-        df = df.where(_between(F.col("day"), start, stop))
     if with_order_date:
         hdr = t.orders.select(F.col("o_orderkey").alias("order_id"),
                               F.col("o_orderdate").alias("order_buying_date"))
