@@ -40,6 +40,18 @@ def count_periods_at_least(value: Column, limit) -> Column:
     return F.count_if(value >= F.lit(limit))
 
 
-def ordered_list(c: str, sep: str = ", ") -> Column:
-    """``string_agg`` with a fixed order (sorted values) so the result is deterministic."""
-    return F.array_join(F.array_sort(F.collect_list(F.col(c))), sep)
+def counted(df: DataFrame, keys: Sequence[str], col: str, name: str = "_n") -> DataFrame:
+    """Rows per (keys, value): the partial aggregate a bounded ordered list is built from."""
+    return df.groupBy(*keys, col).agg(F.count(F.lit(1)).alias(name))
+
+
+def ordered_list(col: str, count: str = "_n", sep: str = ", ") -> Column:
+    """``string_agg`` with a fixed order, over ``counted`` rows: the values sorted, each repeated as
+    often as it occurred, joined by ``sep``.
+
+    Only (value, count) pairs are collected per group, so a group with many rows but few distinct
+    values (a hot key) never gathers its rows into one task; NULL values are skipped like
+    ``string_agg`` does.
+    """
+    pairs = F.array_sort(F.collect_list(F.struct(F.col(col).alias("v"), F.col(count).cast("int").alias("n"))))
+    return F.array_join(F.flatten(F.transform(pairs, lambda p: F.array_repeat(p["v"], p["n"]))), sep)

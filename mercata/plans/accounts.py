@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mercata.functions.cases import any_flag, decode, flag
 from mercata.functions.numeric import round_half_up
 from mercata.operators import joins, scans
-from mercata.operators.aggregates import ordered_list
+from mercata.operators.aggregates import counted, ordered_list
 from mercata.params import SEGMENTS, AccountParams
 from mercata.sources import views as V
 from mercata.sources.tables import Tables
@@ -64,8 +64,8 @@ def attendee_enrichment(t: Tables, p: AccountParams, keep_unmatched: bool = Fals
     """
     att = V.webinar_attendance(t)
     logins = att.select("id", "account_name").distinct()
-    webinars = att.groupBy("id").agg(
-        F.count(F.lit(1)).alias("attendances"),
+    webinars = counted(att, ["id"], "webinar_title").groupBy("id").agg(
+        F.sum("_n").alias("attendances"),
         ordered_list("webinar_title").alias("webinar_titles"),
         F.min("webinar_title").alias("webinar_title"))
     g = scans.open_range(V.net_gmv_daily(t), "dt", p.gmv_open_from).groupBy("account_id").agg(

@@ -165,3 +165,10 @@ def test_exact_quantiles_share_one_sort(spark):
     want = df.groupBy("g").agg(*[F.percentile("v", q).alias(n) for n, q in qs.items()])
     for r in want.collect():
         assert got[r.g] == pytest.approx((r.p10, r.p50, r.p90), rel=1e-12)
+
+
+def test_ordered_list_repeats_counted_values_and_skips_nulls(spark):
+    df = spark.createDataFrame([(1, "b"), (1, "a"), (1, "b"), (1, None), (2, "z")], "k int, t string")
+    out = aggregates.counted(df, ["k"], "t").groupBy("k").agg(aggregates.ordered_list("t").alias("l"),
+                                                              F.sum("_n").alias("n"))
+    assert rows(out, "k", "l", "n") == [(1, "a, b, b", 4), (2, "z", 1)]
