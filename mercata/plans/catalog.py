@@ -29,6 +29,7 @@ REGISTRY: dict[str, Query] = {}
 
 
 def finalize(df: DataFrame) -> DataFrame:
+    """Output types at the edge: DECIMAL -> DOUBLE, narrow integers -> BIGINT (one projection)."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
