@@ -21,11 +21,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercata.functions.cases import flag
 from mercata.functions.dates import month_key
 from mercata.functions.numeric import report_round, round_half_up, safe_ratio
 from mercata.operators import joins, reshape, windows
-from mercata.operators.aggregates import count_periods_at_least, positive_share
+from mercata.operators.aggregates import count_periods_at_least
 from mercata.params import COMPANY_ACCOUNT, ORDER_TYPES, TopOwnerParams
 from mercata.sources import views as V
 from mercata.sources.tables import Tables
@@ -196,34 +195,45 @@ def owner_wide(gmv_monthly: DataFrame, p: TopOwnerParams) -> DataFrame:
         *[cell((t == k) & recent).alias(f"gmv_{k}_3m") for k in ORDER_TYPES])
 
 
-def _rated(t: Tables, start, stop) -> DataFrame:
-    r = V.ratings(t)
-    r = r.where(F.to_date("create_date").between(F.lit(start), F.lit(stop)))
-    return r.join(owners(t), r.opponent_id == F.col("ud_us_id"))
+def _account_opinions(t: Tables, start, stop, recent_start=None) -> DataFrame:
+    """Ratings of the window counted per rated account (positive / with an opinion, optionally also
+    for the recent part), then mapped to owners: the owner join sees one row per account instead of
+    every rating."""
+    r = V.ratings(t).where(F.to_date("create_date").between(F.lit(start), F.lit(stop)))
+    pos = F.col("recommend").eqNullSafe(True)
+    opinion = F.col("recommend").isNotNull()
+    counts = [F.count_if(pos).alias("positive"), F.count_if(opinion).alias("rated")]
+    if recent_start is not None:
+        recent = F.to_date("create_date") >= F.lit(recent_start)
+        counts += [F.count_if(pos & recent).alias("positive_3m"), F.count_if(opinion & recent).alias("rated_3m")]
+    per_account = r.groupBy(F.col("opponent_id").alias("account_id")).agg(*counts)
+    return per_account.join(owners(t), F.col("account_id") == F.col("ud_us_id"))
+
+
+def _verified_days(t: Tables, p: TopOwnerParams) -> DataFrame:
+    return V.verified_accounts(t, p.rating_start, p.rating_stop).groupBy("account_id") \
+        .agg(F.count(F.lit(1)).alias("w"))
 
 
 def rating_quality(t: Tables, p: TopOwnerParams, recent: bool = False) -> DataFrame:
     """Positive share of ratings per owner (NULL opinions count in neither part)."""
     start = p.rating_recent_start if recent else p.rating_start
-    r = _rated(t, start, p.rating_stop)
-    return r.groupBy("nip").agg(
-        F.sum(flag(F.col("recommend").eqNullSafe(True))).alias("positive"),
-        F.count("recommend").alias("rated"),
-        positive_share("recommend").alias("share"),
+    a = _account_opinions(t, start, p.rating_stop)
+    return a.groupBy("nip").agg(
+        F.sum("positive").alias("positive"),
+        F.sum("rated").alias("rated"),
+        safe_ratio(F.sum("positive"), F.sum("rated")).alias("share"),
     )
 
 
 def rating_qualified(t: Tables, p: TopOwnerParams) -> DataFrame:
     """Owners whose positive share reaches the limit, each rating weighted by the number of
     verified days of the rated account in the window (the report joined ratings to every
-    verified day).  The weight is counted per account first, so no rating x day rows exist."""
-    days = V.verified_accounts(t, p.rating_start, p.rating_stop).groupBy("account_id") \
-        .agg(F.count(F.lit(1)).alias("w"))
-    r = _rated(t, p.rating_start, p.rating_stop)
-    r = r.join(days, r.opponent_id == days.account_id)
-    pos = F.when(F.col("recommend").eqNullSafe(True), F.col("w")).otherwise(0)
-    den = F.when(F.col("recommend").isNotNull(), F.col("w")).otherwise(0)
-    g = r.groupBy("nip").agg(safe_ratio(F.sum(pos), F.sum(den)).alias("share"))
+    verified day).  Weights and opinions are counted per account first, so no rating x day rows
+    exist."""
+    a = _account_opinions(t, p.rating_start, p.rating_stop).join(_verified_days(t, p), "account_id")
+    g = a.groupBy("nip").agg(safe_ratio(F.sum(F.col("positive") * F.col("w")),
+                                        F.sum(F.col("rated") * F.col("w"))).alias("share"))
     return g.where(F.col("share") >= p.min_rating_share)
 
 
@@ -232,18 +242,13 @@ def owner_ratings(t: Tables, p: TopOwnerParams) -> DataFrame:
     (``share``), over the recent window (``share_3m``) and weighted by verified days
     (``weighted_share``; NULL for owners whose rated accounts had no verified day).  Each share
     is NULL when there is no opinion to divide by."""
-    days = V.verified_accounts(t, p.rating_start, p.rating_stop).groupBy("account_id") \
-        .agg(F.count(F.lit(1)).alias("w"))
-    r = _rated(t, p.rating_start, p.rating_stop)
-    r = r.join(days, r.opponent_id == days.account_id, "left")
-    pos = F.col("recommend").eqNullSafe(True)
-    opinion = F.col("recommend").isNotNull()
-    recent = F.to_date("create_date") >= F.lit(p.rating_recent_start)
-    return r.groupBy("nip").agg(
-        safe_ratio(F.count_if(pos), F.count_if(opinion)).alias("share"),
-        safe_ratio(F.count_if(pos & recent), F.count_if(opinion & recent)).alias("share_3m"),
-        safe_ratio(F.sum(F.when(pos, F.col("w")).otherwise(0)),
-                   F.sum(F.when(opinion, F.col("w")).otherwise(0))).alias("weighted_share"))
+    a = _account_opinions(t, p.rating_start, p.rating_stop, p.rating_recent_start) \
+        .join(_verified_days(t, p), "account_id", "left") \
+        .withColumn("w", F.coalesce("w", F.lit(0)))
+    return a.groupBy("nip").agg(
+        safe_ratio(F.sum("positive"), F.sum("rated")).alias("share"),
+        safe_ratio(F.sum("positive_3m"), F.sum("rated_3m")).alias("share_3m"),
+        safe_ratio(F.sum(F.col("positive") * F.col("w")), F.sum(F.col("rated") * F.col("w"))).alias("weighted_share"))
 
 
 def gmv_qualified(gmv_monthly: DataFrame, rated_owners: DataFrame, p: TopOwnerParams) -> DataFrame:
