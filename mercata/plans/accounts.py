@@ -33,9 +33,10 @@ def account_enrichment(t: Tables, p: AccountParams) -> DataFrame:
     users = V.users(t).select("account_id", "login", "account_status", "account_type")
     base = V.account_list(t)
     base = base.join(users, base.us_id == users.account_id, "left").drop("account_id")
-    g = scans.trailing_days(V.net_gmv_daily(t), "dt", p.sales_yesterday, p.gmv_days)
+    g = scans.trailing_days(V.net_gmv_daily(t), "dt", p.sales_yesterday, p.gmv_days) \
+        .groupBy("account_id").agg(F.sum("GMV_ref").alias("gmv"))
     gmv = g.join(base.select("us_id"), g.account_id == F.col("us_id")).groupBy("us_id") \
-        .agg(F.sum("GMV_ref").alias("gmv_30dni"))
+        .agg(F.sum("gmv").alias("gmv_30dni"))
     offers = scans.snapshot(V.offers_total(t), "day", p.sales_yesterday) \
         .select(F.col("seller_id").alias("gmv_us_id"), "offers")
     out = base.join(gmv.withColumn("gmv_us_id", F.col("us_id")), "us_id", "left")

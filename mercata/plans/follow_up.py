@@ -26,17 +26,18 @@ def fee_summary(t: Tables, p: FollowUpParams, owner_list: DataFrame | None = Non
     types = V.fee_types(t.spark).where(F.col("my_group_desc").isNotNull())
     types = joins.bounded_broadcast(types, len(V.FEE_GROUPS))
     f = V.fees(t, p.fee_start, p.fee_stop).where(F.col("marketplace") == p.marketplace)
-    f = f.join(types, f.short_type == types.id).select(
-        F.col("account_id").alias("id"), "short_type", "my_group_desc", "gross_amount",
-        month_key("day").alias("month"))
+    f = f.join(types, f.short_type == types.id).groupBy(
+        F.col("account_id").alias("id"), "short_type", "my_group_desc", month_key("day").alias("month")) \
+        .agg(F.sum("gross_amount").alias("amount"))
     j = f.join(_owner_accounts(t, lst), "id")
-    g = j.groupBy("month", "nip", "short_type", "my_group_desc").agg(F.sum("gross_amount").alias("amount"))
+    g = j.groupBy("month", "nip", "short_type", "my_group_desc").agg(F.sum("amount").alias("amount"))
     return g.where(F.abs("amount") > 0)
 
 
 def forecast_panel(t: Tables, p: FollowUpParams, owner_list: DataFrame | None = None,
                    join_gmv_on_spine: bool = False) -> DataFrame:
-    """Owner x month from start to stop: mean daily offers and net GMV, gaps as 0.
+    """Owner x month from start to stop: mean daily offers and net GMV, gaps as 0.  Amounts are
+    summed per account before the owner join.
 
     As in the report, GMV is attached through the offers row of the month, so a month without
     offers shows GMV 0; ``join_gmv_on_spine`` attaches it to the grid instead.
@@ -48,9 +49,9 @@ def forecast_panel(t: Tables, p: FollowUpParams, owner_list: DataFrame | None =
     daily = o.join(acc, o.seller_id == acc.id).groupBy("day", "nip").agg(F.sum("offers").alias("offers"))
     offers = daily.groupBy(month_key("day").alias("month"), "nip") \
         .agg(report_round(F.avg("offers"), 2).alias("offers"))
-    g = scans.date_range(V.net_gmv_daily(t), "dt", p.forecast_start, p.forecast_stop)
-    gmv = g.join(acc, g.account_id == acc.id).groupBy(month_key("dt").alias("month"), "nip") \
-        .agg(F.sum("GMV_ref").alias("gmv"))
+    g = scans.date_range(V.net_gmv_daily(t), "dt", p.forecast_start, p.forecast_stop) \
+        .groupBy("account_id", month_key("dt").alias("month")).agg(F.sum("GMV_ref").alias("gmv"))
+    gmv = g.join(acc, g.account_id == acc.id).groupBy("month", "nip").agg(F.sum("gmv").alias("gmv"))
     out = grid.join(offers.withColumn("o_month", F.col("month")).withColumn("o_nip", F.col("nip")),
                     ["month", "nip"], "left")
     if join_gmv_on_spine:

@@ -55,13 +55,15 @@ def monthly_offer_panel(t: Tables, p: SegmentationParams) -> DataFrame:
 
 def monthly_sales_panel(t: Tables, p: SegmentationParams) -> DataFrame:
     """(month, seller, category | Total): GMV and number of deals, test accounts excluded."""
-    s = V.sales(t, p.date_from, p.date_to)
+    s = joins.exclude(V.sales(t, p.date_from, p.date_to), V.test_users(t), "seller_id", "us_id")
+    # lines are summed per leaf category first; the category tree then sees one row per leaf
+    s = s.groupBy(month_key("day").alias("year_month"), "seller_id", "category_id").agg(
+        F.sum("price").alias("GMV"), F.count("offer_id").alias("count_deals"))
     tree = V.category_tree(t).select("ca_id_leaf", "new_meta")
     s = s.join(tree, s.category_id == tree.ca_id_leaf, "left")
-    s = joins.exclude(s, V.test_users(t), "seller_id", "us_id")
     s = with_total(s, ["seller_id"], "new_meta", TOTAL)
-    return s.groupBy(month_key("day").alias("year_month"), "seller_id", "new_meta").agg(
-        F.sum("price").alias("GMV"), F.count("offer_id").alias("count_deals"))
+    return s.groupBy("year_month", "seller_id", "new_meta").agg(
+        F.sum("GMV").alias("GMV"), F.sum("count_deals").alias("count_deals"))
 
 
 def main_category(sales_panel: DataFrame) -> DataFrame:
