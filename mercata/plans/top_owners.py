@@ -113,7 +113,13 @@ def net_gmv_monthly(t: Tables, p: TopOwnerParams) -> DataFrame:
     * order side present: the cell, amount = gmv - refunds if all keys are known else gmv;
     * refund side present without a matching order side (absent, or a NULL key): a refund-only row.
     """
-    c = _side_cells(t, p).groupBy(*CELL).agg(
+    return net_cells(_side_cells(t, p))
+
+
+def net_cells(cells: DataFrame) -> DataFrame:
+    """Net (CELL..., side, amount) rows, side 'o' (orders) or 'r' (refunds), with the report's
+    full-outer-join rules (see ``net_gmv_monthly``)."""
+    c = cells.groupBy(*CELL).agg(
         F.sum(F.when(F.col("side") == "o", F.col("amount"))).alias("gmv"),
         F.sum(F.when(F.col("side") == "r", F.col("amount"))).alias("ref_gmv"),
         F.max(F.col("side") == "o").alias("has_o"),

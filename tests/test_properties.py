@@ -38,3 +38,29 @@ def test_report_round_is_half_up_of_the_shortest_form(spark, cents, n):
     want = [float(Decimal(repr(v)).quantize(Decimal("0.000001"), ROUND_HALF_UP)
                   .quantize(Decimal("0.0001"), ROUND_HALF_UP)) for v in values]
     assert got == want
+
+
+keys = st.tuples(st.sampled_from(["1", "2"]), st.sampled_from(["200101", "200102"]),
+                 st.sampled_from(["A", "B", None]), st.sampled_from(["s", None]), st.sampled_from(["B2B", "B2C"]))
+cells = st.dictionaries(keys, st.integers(-10**6, 10**6), max_size=12)
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(orders=cells, refunds=cells)
+def test_presence_flag_netting_equals_full_outer_join(spark, orders, refunds):
+    from decimal import Decimal as Dec
+
+    from mercata.plans import top_owners
+
+    ddl = "nip string, month string, new_meta string, new_ca_name_1 string, order_type string"
+    o = spark.createDataFrame([(*k, Dec(v) / 100) for k, v in orders.items()], ddl + ", gmv decimal(18,2)")
+    r = spark.createDataFrame([(*k, Dec(v) / 100) for k, v in refunds.items()], ddl + ", ref_gmv decimal(18,2)")
+    sides = o.selectExpr(*top_owners.CELL, "'o' AS side", "gmv AS amount").unionByName(
+        r.selectExpr(*top_owners.CELL, "'r' AS side", "ref_gmv AS amount"))
+
+    def rows(df):
+        got = df.select("nip", "month", "order_type", "new_meta", "new_ca_name_1",
+                        F.col("gmv").cast("double").alias("gmv")).collect()
+        return sorted((tuple(x) for x in got), key=lambda t: tuple((v is None, str(v)) for v in t))
+
+    assert rows(top_owners.net_cells(sides)) == rows(top_owners.net_gmv_full_outer(o, r))
