@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mercata.llm import ann, simhash
+from mercata.llm import ann, chat, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -29,6 +29,41 @@ def op1_ann(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, 20)
 
 
+@register
+def op3_chat(spark, sf_dir):
+    """Every conversation (a chain of turns) plus conversation -7, formatted; digests read back."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(spark.createDataFrame(
+        [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")],
+        "conv_id long, turn long, role string, text string")).where("conv_id IS NOT NULL")
+    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    chain = rows.withColumn("nth", nth).withColumn("parent", F.when(F.col("nth") > 1, F.col("nth") - 1)).withColumn("score", F.lit(0.0))
+    out = chat.format_trees(chain, "conv_id", "nth", "parent")
+    turns = chat.read_back(F.col("formatted"))
+    loss = chat.under_mask(F.col("formatted"), F.col("loss_mask"))
+    out = out.select("conv_id", turns.alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
+    every = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(every, 256).alias("turns_sha256"),
+                      F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
+                      "formatted_chars")
+
+
+ORACLE["op3_chat"] = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS nth
+  FROM (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL
+        UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY nth)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY nth) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|start:|>') + 1 + length(role) + length(text) + length('<|end|>') + 1
+           + len(regexp_extract_all(role, '<\\*\|')) + len(regexp_extract_all(role, '\|\\*>'))
+           + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars
+FROM said GROUP BY conv_id
+"""
+
+
 @register
 def op5_simhash(spark, sf_dir):
     """SimHash component of every document."""
