@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mercata.llm import ann, chat, simhash
+from mercata.llm import ann, chat, langid, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -68,3 +68,15 @@ FROM said GROUP BY conv_id
 def op5_simhash(spark, sf_dir):
     """SimHash component of every document."""
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+@register
+def op9_toxicity(spark, sf_dir):
+    """Toxicity score of every document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op10_langid(spark, sf_dir):
+    """Predicted language and language set of every document."""
+    return langid.languages(table(spark, sf_dir, "documents"))
