@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mercata.llm import ann, chat, langid, simhash, toxicity
+from mercata.llm import ann, chat, decontaminate, langid, passages, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -80,3 +80,15 @@ def op9_toxicity(spark, sf_dir):
 def op10_langid(spark, sf_dir):
     """Predicted language and language set of every document."""
     return langid.languages(table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_decontamination(spark, sf_dir):
+    """Every place of every document where a benchmark item occurs within its edit budget."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op4_substring(spark, sf_dir):
+    """Passages of 50 words or more that documents share, and further copies of equal documents."""
+    return passages.substring_dedup(table(spark, sf_dir, "documents"))
