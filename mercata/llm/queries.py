@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mercata.llm import ann, chat, decontaminate, langid, passages, simhash, toxicity
+from mercata.llm import ann, chat, decontaminate, langid, passages, pieces, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -92,3 +92,13 @@ def op6_decontamination(spark, sf_dir):
 def op4_substring(spark, sf_dir):
     """Passages of 50 words or more that documents share, and further copies of equal documents."""
     return passages.substring_dedup(table(spark, sf_dir, "documents"))
+
+
+@register
+def op2_sentencepiece(spark, sf_dir):
+    """Piece ids of every document, and whether decoding them gives the text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = pieces.default_model()
+    rows = pieces.decode(pieces.encode(docs, model), model)
+    same = F.coalesce(F.col("decoded"), F.lit("")) == F.coalesce(F.col("text"), F.lit(""))
+    return rows.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", same.alias("exact"))
