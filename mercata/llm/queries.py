@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mercata.llm import ann, chat, decontaminate, langid, passages, pieces, simhash, toxicity
+from mercata.llm import ann, chat, decontaminate, fixity, langid, passages, pieces, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,3 +102,29 @@ def op2_sentencepiece(spark, sf_dir):
     rows = pieces.decode(pieces.encode(docs, model), model)
     same = F.coalesce(F.col("decoded"), F.lit("")) == F.coalesce(F.col("text"), F.lit(""))
     return rows.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"), "ids", same.alias("exact"))
+
+
+@register
+def op7_warc(spark, sf_dir):
+    """Every page as a WARC record, audited against a replica with known damage."""
+    return fixity.audit_report(table(spark, sf_dir, "pages"), fixity.damaged)
+
+
+ORACLE["op7_warc"] = r"""
+WITH page AS (SELECT page_id AS number, min({'u': coalesce(url, ''), 'h': coalesce(html, '')}) AS p
+              FROM pages WHERE page_id IS NOT NULL GROUP BY page_id),
+made AS (SELECT number, number // 4096 AS file,
+           encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+             || 'WARC-Record-ID: <urn:record:' || number || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || p.u
+             || chr(13) || chr(10) || 'WARC-Block-Digest: sha256:' || sha256(p.h) || chr(13) || chr(10)
+             || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(p.h))
+             || chr(13) || chr(10) || chr(13) || chr(10) || p.h || chr(13) || chr(10) || chr(13) || chr(10)) AS r
+         FROM page),
+placed AS (SELECT *, octet_length(r)::BIGINT AS length,
+             coalesce(sum(octet_length(r)) OVER (PARTITION BY file ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+           FROM made),
+hurt AS (SELECT file, count(*) FILTER (number % 997 IN (0, 1, 2)) AS bad FROM placed GROUP BY file)
+SELECT file, number AS page_id, "offset", length, sha256(length || ':' || sha256(r)) AS digest, bad = 0 AS file_intact,
+       CASE WHEN number % 997 = 2 THEN 'missing' WHEN number % 997 IN (0, 1) THEN 'corrupt' END AS fault
+FROM placed JOIN hurt USING (file)
+"""
