@@ -178,69 +178,90 @@ def regions(chars: np.ndarray, offsets: np.ndarray, key: np.ndarray, valid: np.n
         yield i, int((full[lo] - d) * w - items.size[i]), int((full[hi - 1] - d + 2) * w - 1 - items.size[i])
 
 
+def occurrences(column: pa.Array, blocks: list[Items], maybes: list[np.ndarray], q: int) -> list[tuple]:
+    """(row, item id, edits, start, end) of every match in a column of texts."""
+    rows = []
+    for i, j, data, off in text_blocks(column):
+        chars, where, at = normalise(data, off)
+        if len(chars) < q:
+            continue
+        key = grams(chars, q)
+        valid = np.ones(len(chars), bool)
+        ends = (at[1:, None] - np.arange(1, q)).ravel()
+        valid[ends[(ends >= np.repeat(at[:-1], q - 1))]] = False
+        valid = valid[:len(key)]
+        for items, maybe in zip(blocks, maybes):
+            for it, low, high in regions(chars, at, key, valid, items, maybe):
+                m, e = int(items.size[it]), items.budget[it]
+                for d in range(max(0, int(np.searchsorted(at, max(low, 0), "right")) - 1), j - i):
+                    if at[d] > high + m + e:
+                        break
+                    s, t = max(int(at[d]), low), min(int(at[d + 1]), high + m + e)
+                    if t - s < m - e:
+                        continue
+                    edits, x, y = align(items.chars[it], chars[s:t], low - s - e, high - s + e)
+                    if edits <= e and y > x:
+                        rows.append((i + d, items.ids[it], edits, int(where[s + x]), int(where[s + y - 1]) + 1))
+    return rows
+
+
 def _search(blocks: list[Items], q: int):
     def run(batches):
         maybes = [x.maybe() for x in blocks]
         for b in batches:
-            rows = []
-            ids = b.column("id")
-            for i, j, data, off in text_blocks(b.column("text")):
-                chars, where, at = normalise(data, off)
-                if len(chars) < q:
-                    continue
-                key = grams(chars, q)
-                valid = np.ones(len(chars), bool)
-                ends = (at[1:, None] - np.arange(1, q)).ravel()
-                valid[ends[(ends >= np.repeat(at[:-1], q - 1))]] = False
-                valid = valid[:len(key)]
-                for items, maybe in zip(blocks, maybes):
-                    for it, low, high in regions(chars, at, key, valid, items, maybe):
-                        m, e = int(items.size[it]), items.budget[it]
-                        for d in range(max(0, int(np.searchsorted(at, max(low, 0), "right")) - 1), j - i):
-                            if at[d] > high + m + e:
-                                break
-                            s, t = max(int(at[d]), low), min(int(at[d + 1]), high + m + e)
-                            if t - s < m - e:
-                                continue
-                            edits, x, y = align(items.chars[it], chars[s:t], low - s - e, high - s + e)
-                            if edits <= e:
-                                rows.append((i + d, items.ids[it], edits, int(where[s + x]), int(where[s + y - 1]) + 1))
+            rows = occurrences(b.column("text"), blocks, maybes, q)
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
+                [b.column("id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
                  pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], names=["id", "item_id", "edits", "start", "end"])
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            item_col: str = "item_id", item_text_col: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
-    """(id_col, item_id, edits, start, end): every place where an item occurs within its budget;
-    start and end are code point positions in the original text."""
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = f"id {src.schema['id'].dataType.simpleString()}, item_id long, edits int, start long, end long"
-    found = docs.sparkSession.createDataFrame([], schema)
-    wanted = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long"), F.col(item_text_col))
-    block, size, passes = [], 0, []
+def _clean(blocks: list[Items], q: int, text_col: str):
+    def run(batches):
+        maybes = [x.maybe() for x in blocks]
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            keep[[r[0] for r in occurrences(b.column(text_col), blocks, maybes, q)]] = False
+            yield b.filter(pa.array(keep))
+    return run
 
-    def one_pass():
-        chunks = [Items([k for k, _ in block[i:i + ITEM_CHUNK]], [t for _, t in block[i:i + ITEM_CHUNK]], q, rate)
-                  for i in range(0, len(block), ITEM_CHUNK)]
-        passes.append(src.mapInArrow(_search(chunks, q), schema))
 
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, q: int, rate: float):
+    """The benchmark as lists of q-gram indexes, each list of at most ITEM_BLOCK characters and one text."""
+    wanted = benchmark.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("long"), F.col(text_col))
+    block, size = [], 0
     for item, text in wanted.toLocalIterator():
         block.append((item, text))
         size += len(text)
         if size >= ITEM_BLOCK:
-            one_pass()
+            yield _indexes(block, q, rate)
             block, size = [], 0
     if block:
-        one_pass()
-    for p in passes:
-        found = found.union(p) if len(passes) > 1 else p
+        yield _indexes(block, q, rate)
+
+
+def _indexes(block, q, rate):
+    return [Items([k for k, _ in block[i:i + ITEM_CHUNK]], [t for _, t in block[i:i + ITEM_CHUNK]], q, rate)
+            for i in range(0, len(block), ITEM_CHUNK)]
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            item_col: str = "item_id", item_text_col: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
+    """(id_col, item_id, edits, start, end): every place where an item occurs within its budget;
+    start and end are code point positions in the original text."""
+    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = f"id {src.schema['id'].dataType.simpleString()}, item_id long, edits int, start long, end long"
+    passes = [src.mapInArrow(_search(block, q), schema) for block in item_blocks(benchmark, item_col, item_text_col, q, rate)]
+    found = passes[0] if passes else docs.sparkSession.createDataFrame([], schema)
+    for p in passes[1:]:
+        found = found.union(p)
     return found.withColumnRenamed("id", id_col)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no benchmark item; all columns."""
-    hit = matches(docs.where(F.col(id_col).isNotNull()), benchmark, id_col, text_col).select(id_col).distinct()
-    return docs.join(hit, id_col, "left_anti").select(*docs.columns)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                  item_text_col: str = "text", q: int = Q, rate: float = RATE) -> DataFrame:
+    """The rows of docs that hold no benchmark item, decided where they are read; all columns."""
+    for block in item_blocks(benchmark, item_col, item_text_col, q, rate):
+        docs = docs.mapInArrow(_clean(block, q, text_col), docs.schema)
+    return docs

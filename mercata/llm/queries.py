@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mercata.llm import ann, chat, decontaminate, fixity, langid, passages, pieces, simhash, toxicity
+from mercata.llm import ann, chat, decontaminate, fixity, langid, passages, pieces, quality, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -128,3 +128,9 @@ SELECT file, number AS page_id, "offset", length, sha256(length || ':' || sha256
        CASE WHEN number % 997 = 2 THEN 'missing' WHEN number % 997 IN (0, 1) THEN 'corrupt' END AS fault
 FROM placed JOIN hurt USING (file)
 """
+
+
+@register
+def op8_quality(spark, sf_dir):
+    """Co-trained quality score of every document."""
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -219,3 +219,15 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = joined.select("fp", "component").join(lowest, "component").select("fp", "component_id")
     return prints.join(members, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
+    """docs with one row of each component, the one with the smallest (id, hash of the text); all columns."""
+    row = F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
+    keyed = docs.withColumn("_row", row)
+    found = simhash_components(keyed, "_row", text_col, words, max_bits)
+    keep = found.where(F.col("_row").eqNullSafe(F.col("component_id"))).select(
+        F.col("_row")["i"].alias("_i"), F.col("_row")["h"].alias("_h")).distinct()
+    kept = keyed.join(keep, keyed["_row"]["i"].eqNullSafe(keep["_i"]) & (keyed["_row"]["h"] == keep["_h"]))
+    return kept.dropDuplicates(["_i", "_h"]).select(*docs.columns)

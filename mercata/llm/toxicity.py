@@ -170,3 +170,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     scored = score(docs.select(id_col, text_col), model, text_col)
     return scored.select(id_col, (~F.coalesce(learnable(id_col), F.lit(False))).alias("held_out"), "score",
                          (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def remove_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs that score below ``least``; all columns."""
+    scored = score(docs, fit(docs, labels, "toxic", id_col, text_col), text_col, "_toxicity")
+    return scored.where(F.col("_toxicity") < least).select(*docs.columns)
