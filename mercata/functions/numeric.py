@@ -26,9 +26,9 @@ def safe_ratio(num, den) -> Column:
 
 
 def report_round(c, scale: int = 4) -> Column:
-    """Round a DOUBLE for reporting: via DECIMAL(38,6), then half-up to ``scale`` places.
+    """Round a DOUBLE for reporting, half-up to ``scale`` places.
 
-    Going through the 6-place decimal first makes the result independent of the engine's binary
-    rounding of values that sit on a tie (x.xxxx5 averages are common).
+    The cast to DECIMAL(38,10) only takes off the binary noise of the double (values that sit on a
+    tie, x.xxxx5, are common); it keeps 10 places, so a value near a tie is not pushed over it.
     """
-    return F.round(_c(c).cast("decimal(38,6)"), scale).cast("double")
+    return F.round(_c(c).cast("decimal(38,10)"), scale).cast("double")

@@ -49,9 +49,8 @@ def ordered_list(col: str, count: str = "_n", sep: str = ", ") -> Column:
     """``string_agg`` with a fixed order, over ``counted`` rows: the values sorted, each repeated as
     often as it occurred, joined by ``sep``.
 
-    Only (value, count) pairs are collected per group, so a group with many rows but few distinct
-    values (a hot key) never gathers its rows into one task; NULL values are skipped like
-    ``string_agg`` does.
+    Only (value, count) pairs are shuffled and collected per group; the string itself is as long as the
+    group, which is what ``string_agg`` returns.  NULL values are skipped like ``string_agg`` does.
     """
     pairs = F.array_sort(F.collect_list(F.struct(F.col(col).alias("v"), F.col(count).cast("int").alias("n"))))
     return F.array_join(F.flatten(F.transform(pairs, lambda p: F.array_repeat(p["v"], p["n"]))), sep)

@@ -1,7 +1,6 @@
 """Join operators.
 
-Physical strategy is left to Catalyst/AQE: a side is broadcast only when its size is bounded
-by parameters (``bounded_broadcast``) or when Spark's size check
+Physical strategy is left to Catalyst/AQE: a side is broadcast only when Spark's size check
 (``spark.sql.autoBroadcastJoinThreshold``, re-checked by AQE at runtime) picks it.  Skewed keys on
 the streamed side of inner / left joins are split by AQE's skew-join handling.
 """
@@ -54,10 +53,3 @@ def same_day_join(fact: DataFrame, snap: DataFrame, keys: Sequence[str], day: st
                   how: str = "left") -> DataFrame:
     """Join a fact row to the snapshot row of the same day (``fact.day = snapshot.day``)."""
     return fact.join(snap, [*keys, day], how)
-
-
-def bounded_broadcast(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
-    """Broadcast a side whose row count is known from parameters (month spines, fixed lists)."""
-    if rows > limit:
-        return df
-    return F.broadcast(df)

@@ -1,21 +1,20 @@
 """Exact, linearly interpolated quantiles per group that never hold a group in one task.
 
 ``F.percentile`` is exact but merges every distinct value of a group into one aggregation
-buffer, and a window ranked per group runs the group in one task; a group holding a third of
-the rows would sit on a single executor.  Here the values are range-sorted globally by
-(group, value), so a hot group is split over many partitions, and ranks are recovered from
-per-partition block offsets:
+buffer, and a window over a group runs the group in one task; a group holding a third of
+the rows would sit on a single executor.  Here:
 
-1. ``orderBy(keys, value)`` + ``monotonically_increasing_id`` (partition index in the high bits,
-   row position in the low bits); the result is checkpointed so the ids are fixed.
-2. per (group, partition) block: row count and first position (a small table, one row per
-   partition a group spans); a running sum over the blocks of a group gives its offset.
-3. only the blocks holding ranks floor(p) and ceil(p), p = (n - 1) * q, are kept (at most two
-   per group); their rows are found by an equi-join on (group, partition), ranked as
-   block offset + position - first position, and the two values are interpolated.  The only
-   shuffle of all values is the range sort.
+1. rows are counted per (group, value), so any number of ties is one row;
+2. a bounded sketch (``percentile_approx`` over the distinct values) gives each group ``BUCKETS`` - 1 cut
+   points; every distinct value gets the number of cut points below it as its bucket.  The
+   sketch only balances the buckets, the result does not depend on its accuracy;
+3. a running sum over the row counts of a group's buckets (at most BUCKETS rows) gives each bucket's offset,
+   and only the buckets that hold ranks floor(p) and ceil(p), p = (n - 1) * q, are kept;
+4. within those a running sum of counts in value order gives each value its range of ranks, and the
+   two values are interpolated.
 
-Matches pandas ``quantile`` / Spark ``percentile`` / SQL ``quantile_cont`` (linear method).
+Lazy: nothing runs while the plan is built.  Matches pandas ``quantile`` / Spark ``percentile`` / SQL
+``quantile_cont`` (linear method).
 """
 
 from __future__ import annotations
@@ -25,49 +24,46 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOW_BITS = (1 << 33) - 1
+BUCKETS = 128
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Mapping[str, float]) -> DataFrame:
-    """One row per group with at least one non-NULL value: ``keys..., <name> for name in qs``.
-
-    All probabilities share one range sort, one checkpoint and one block table.
-    """
+    """One row per group with at least one non-NULL value: ``keys..., <name> for name in qs``."""
     keys = list(keys)
-    v = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    ordered = v.orderBy(*keys, "_v").withColumn("_id", F.monotonically_increasing_id())
-    ordered = ordered.checkpoint(eager=True)
-    ordered = ordered.select(*keys, "_v", F.shiftright("_id", 33).alias("_part"),
-                             F.col("_id").bitwiseAND(F.lit(_LOW_BITS)).alias("_pos"))
+    counted = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")) \
+        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    marks = [i / BUCKETS for i in range(1, BUCKETS)]
+    groups = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.percentile_approx("_v", marks, 1000).alias("_cuts"))
+
+    def on_keys(left: DataFrame, right: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+        """Null-safe inner join on the keys (and ``extra``), right key columns dropped."""
+        cols = [*keys, *extra]
+        right = right.select(*[F.col(k).alias(f"_r_{k}") for k in cols], *[c for c in right.columns if c not in cols])
+        return left.join(right, [left[k].eqNullSafe(right[f"_r_{k}"]) for k in cols]).drop(*[f"_r_{k}" for k in cols])
 
-    blocks = ordered.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_pos").alias("_first"))
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_offset", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    values = on_keys(counted, groups).select(*keys, "_v", "_c", "_n", below.alias("_b"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = values.groupBy(*keys, "_b").agg(F.sum("_c").alias("_in"), F.max("_n").alias("_n")) \
+        .withColumn("_offset", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("_n") - 1) * F.lit(float(q))).alias("p"))
+                       for name, q in qs.items()])
 
-    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(q)).alias("q")) for name, q in qs.items()])
-    targets = blocks.groupBy(*keys).agg(F.sum("_cnt").alias("_n")) \
-        .select(*keys, "_n", F.explode(wanted).alias("_w")) \
-        .select(*keys, F.col("_w.name").alias("_name"), ((F.col("_n") - 1) * F.col("_w.q")).alias("_p")) \
-        .withColumn("_lo", F.floor("_p")).withColumn("_hi", F.ceil("_p"))
+    def holds(first, size, rank):
+        return (rank >= first) & (rank < first + size)
 
-    # Keep only the blocks holding a target rank (at most two per group and probability): a small
-    # table, so the join back to the sorted values moves only those blocks' rows.
-    tg = targets.select(*[F.col(k).alias(f"_t_{k}") for k in keys], "_name", "_p", "_lo", "_hi")
-    holds = lambda r: (F.col(r) >= F.col("_offset")) & (F.col(r) < F.col("_offset") + F.col("_cnt"))
-    marks = blocks.join(tg, [blocks[k].eqNullSafe(tg[f"_t_{k}"]) for k in keys]) \
-        .where(holds("_lo") | holds("_hi")) \
-        .select(*[F.col(k).alias(f"_b_{k}") for k in keys], F.col("_part").alias("_b_part"),
-                "_offset", "_first", "_name", "_p", "_lo", "_hi")
-    picked = ordered.join(marks, [ordered[k].eqNullSafe(marks[f"_b_{k}"]) for k in keys]
-                          + [ordered["_part"] == marks["_b_part"]]) \
-        .withColumn("_rank", F.col("_offset") + F.col("_pos") - F.col("_first")) \
-        .where((F.col("_rank") == F.col("_lo")) | (F.col("_rank") == F.col("_hi")))
-    per_q = picked.groupBy(*keys, "_name").agg(
-        F.max(F.when(F.col("_rank") == F.col("_lo"), F.col("_v"))).alias("_vlo"),
-        F.max(F.when(F.col("_rank") == F.col("_hi"), F.col("_v"))).alias("_vhi"),
-        F.max("_p").alias("_p"), F.max("_lo").alias("_lo"))
-    per_q = per_q.select(*keys, "_name",
-                         (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_p") - F.col("_lo"))).alias("_q"))
+    held = buckets.withColumn("_w", F.filter(wanted, lambda w: holds(F.col("_offset"), F.col("_in"), F.floor(w["p"]))
+                                             | holds(F.col("_offset"), F.col("_in"), F.ceil(w["p"])))) \
+        .where(F.size("_w") > 0).select(*keys, "_b", "_offset", "_w")
+    inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = on_keys(values.select(*keys, "_b", "_v", "_c"), held, ["_b"]) \
+        .withColumn("_first", F.col("_offset") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
+    hit = ranked.select(*keys, "_v", "_c", "_first", F.explode("_w").alias("_w")).select(
+        *keys, F.col("_w.name").alias("_name"), F.col("_w.p").alias("_p"),
+        F.when(holds(F.col("_first"), F.col("_c"), F.floor("_w.p")), F.col("_v")).alias("_lo"),
+        F.when(holds(F.col("_first"), F.col("_c"), F.ceil("_w.p")), F.col("_v")).alias("_hi"))
+    per_q = hit.groupBy(*keys, "_name", "_p").agg(F.max("_lo").alias("_lo"), F.max("_hi").alias("_hi")) \
+        .select(*keys, "_name", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_p") - F.floor("_p"))).alias("_q"))
     return per_q.groupBy(*keys).pivot("_name", list(qs)).agg(F.first("_q"))
 
 

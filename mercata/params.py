@@ -60,7 +60,7 @@ class TopOwnerParams:
     rating_stop: D = D(2024, 1, 30)
     rating_recent_start: D = D(2024, 1, 16)
     min_rating_share: float = 0.75
-    monthly_gmv_limit: float = 900_000.0
+    monthly_gmv_limit: float = 100_000.0
     min_months: int = 6
 
     @property

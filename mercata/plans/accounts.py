@@ -35,7 +35,7 @@ def account_enrichment(t: Tables, p: AccountParams) -> DataFrame:
     base = base.join(users, base.us_id == users.account_id, "left").drop("account_id")
     g = scans.trailing_days(V.net_gmv_daily(t), "dt", p.sales_yesterday, p.gmv_days) \
         .groupBy("account_id").agg(F.sum("GMV_ref").alias("gmv"))
-    gmv = g.join(base.select("us_id"), g.account_id == F.col("us_id")).groupBy("us_id") \
+    gmv = g.join(V.account_list(t).select("us_id"), g.account_id == F.col("us_id")).groupBy("us_id") \
         .agg(F.sum("gmv").alias("gmv_30dni"))
     offers = scans.snapshot(V.offers_total(t), "day", p.sales_yesterday) \
         .select(F.col("seller_id").alias("gmv_us_id"), "offers")
@@ -69,11 +69,14 @@ def attendee_enrichment(t: Tables, p: AccountParams, keep_unmatched: bool = Fals
         F.sum("_n").alias("attendances"),
         ordered_list("webinar_title").alias("webinar_titles"),
         F.min("webinar_title").alias("webinar_title"))
-    g = scans.open_range(V.net_gmv_daily(t), "dt", p.gmv_open_from).groupBy("account_id").agg(
+    # one row per account and day first: the day count is then a plain count
+    daily = scans.open_range(V.net_gmv_daily(t), "dt", p.gmv_open_from).groupBy("account_id", "dt").agg(
+        F.sum("GMV_ref").alias("gmv"), F.count("GMV_ref").alias("n"))
+    g = daily.groupBy("account_id").agg(
         F.min("dt").alias("first_sale_date"),
-        F.count_distinct("dt").alias("days_with_sales"),
-        F.sum("GMV_ref").alias("sum_gmv"),
-        F.avg("GMV_ref").alias("avg_gmv"))
+        F.count("dt").alias("days_with_sales"),
+        F.sum("gmv").alias("sum_gmv"),
+        (F.sum("gmv") / F.sum("n")).cast("decimal(22,6)").alias("avg_gmv"))
     users = V.users(t).select("account_id", "login", "account_create_date")
     owner = V.owner_map(t).select(F.col("ud_us_id").alias("account_id"), "nip")
     base = logins.join(users, logins.id == users.account_id, "left" if keep_unmatched else "inner")
@@ -122,13 +125,13 @@ def active_owner_count(flags: DataFrame) -> DataFrame:
 
 
 def owner_last_login(t: Tables, p: AccountParams) -> DataFrame:
-    """Accounts verified yesterday (no test accounts) per owner and 'ever had an offer':
-    last successful login and number of accounts."""
+    """Accounts verified yesterday (no test accounts) per owner and 'ever had an offer' up to yesterday:
+    last successful login up to yesterday and number of accounts."""
     v = scans.snapshot(V.verified_accounts(t), "day", p.events_yesterday).select("account_id")
     v = _not_test(v, t, "account_id")
     v = v.join(V.owner_map(t).select(F.col("ud_us_id").alias("account_id"), "nip"), "account_id", "left")
-    v = v.join(V.last_logins(t), "account_id", "left")
-    ever = scans.distinct_keys(V.offers_total(t), "seller_id")
+    v = v.join(V.last_logins(t, p.events_yesterday), "account_id", "left")
+    ever = scans.distinct_keys(V.offers_total(t, until=p.sales_yesterday), "seller_id")
     v = joins.existence_flag(v, ever, "account_id", "seller_id", name="ever_offer")
     return v.groupBy("nip", "ever_offer").agg(
         F.max("success_login_timestamp").alias("max_log"),

@@ -122,7 +122,7 @@ def _top_categories(spark, t):
 
 @register("top_owner_report")
 def _top_owner_report(spark, t):
-    return top.top_owner_report(spark, t, P.top)
+    return top.top_owner_report(t, P.top)
 
 
 # ---------------------------------------------------------------- segmentation
@@ -217,11 +217,6 @@ def _status_head(spark, t):
     return status.head_sample(status.yearly_status_change(t, P.status))
 
 
-@register("status_head_summary")
-def _status_head_summary(spark, t):
-    return status.status_change_summary(status.head_sample(status.yearly_status_change(t, P.status)))
-
-
 @register("only_classified_sellers")
 def _only_classified(spark, t):
     return status.only_classified_sellers(status.yearly_status_change(t, P.status), 2001)

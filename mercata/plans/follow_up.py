@@ -24,7 +24,6 @@ def fee_summary(t: Tables, p: FollowUpParams, owner_list: DataFrame | None = Non
     Fee types without a group and other marketplaces are excluded."""
     lst = owner_list if owner_list is not None else V.owner_list(t)
     types = V.fee_types(t.spark).where(F.col("my_group_desc").isNotNull())
-    types = joins.bounded_broadcast(types, len(V.FEE_GROUPS))
     f = V.fees(t, p.fee_start, p.fee_stop).where(F.col("marketplace") == p.marketplace)
     f = f.join(types, f.short_type == types.id).groupBy(
         F.col("account_id").alias("id"), "short_type", "my_group_desc", month_key("day").alias("month")) \

@@ -17,8 +17,8 @@ def _d(x) -> str:
 
 
 def r4(x: str) -> str:
-    """Report rounding of a DOUBLE: via DECIMAL(38,6), half-up to 4 places, back to DOUBLE."""
-    return f"CAST(ROUND(CAST({x} AS DECIMAL(38,6)), 4) AS DOUBLE)"
+    """Report rounding of a DOUBLE: binary noise off (10 places), half-up to 4 places, back to DOUBLE."""
+    return f"CAST(ROUND(CAST({x} AS DECIMAL(38,10)), 4) AS DOUBLE)"
 
 
 def avg_dec(x: str) -> str:
@@ -158,155 +158,118 @@ def sql(body: str, *views: str, ctes: str = "") -> str:
 T = P.top
 _TW = f"BETWEEN {_d(T.date_start)} AND {_d(T.date_stop)}"
 
+#: Grain of the hub: owner, month, meta category, level-1 category, order type.
+_HUB = "nip, month, new_meta, new_ca_name_1, order_type"
+_OPEN = f"month <> '{T.running_month}'"
+
+
+def _share(weight: str, cond: str = "TRUE") -> str:
+    """Positive part of the given opinions, each counted ``weight`` times."""
+    return f"sum({weight}) FILTER (good AND {cond}) / nullif(sum({weight}) FILTER (given AND {cond}), 0)"
+
+
+_RECENT = f"day >= {_d(T.rating_recent_start)}"
+_3M = ", ".join(f"'{m}'" for m in T.recent_months)
 TOP_CTES = f"""
-gross_cells AS (
-    SELECT o.nip, strftime(s.day, '%Y%m') AS month, ct.new_meta, ct.new_ca_name_1,
-           CASE b.account_type WHEN 'company' THEN 'B2B' ELSE 'B2C' END AS order_type,
-           SUM(s.price) AS gmv
-    FROM sales_b s
-    JOIN owners o ON s.seller_id = o.ud_us_id
-    LEFT JOIN users b ON b.account_id = s.buyer_id
-    LEFT JOIN category_tree ct ON ct.ca_id_leaf = s.category_id
-    WHERE s.day {_TW}
-    GROUP BY 1, 2, 3, 4, 5),
-refund_cells AS (
-    SELECT o.nip, strftime(r.day, '%Y%m') AS month, ct.new_meta, ct.new_ca_name_1,
-           CASE b.account_type WHEN 'company' THEN 'B2B' ELSE 'B2C' END AS order_type,
-           SUM(r.refunded_gmv) AS ref_gmv
-    FROM refunds r
-    JOIN owners o ON o.ud_us_id = r.seller_id
-    LEFT JOIN order_headers h ON h.order_offer_id = r.order_offer_id AND h.day {_TW}
-    LEFT JOIN users b ON b.account_id = h.buyer_id
-    LEFT JOIN category_tree ct ON ct.ca_id_leaf = r.category_id
-    WHERE r.day {_TW}
-    GROUP BY 1, 2, 3, 4, 5),
-gmv_monthly AS (
-    SELECT o.nip, o.month,
-           COALESCE(o.order_type, r.order_type) AS order_type,
-           COALESCE(o.new_meta, r.new_meta) AS new_meta,
-           COALESCE(o.new_ca_name_1, r.new_ca_name_1) AS new_ca_name_1,
-           SUM(o.gmv) - SUM(COALESCE(r.ref_gmv, 0)) AS gmv
-    FROM gross_cells o
-    FULL OUTER JOIN refund_cells r
-      ON r.nip = o.nip AND r.month = o.month AND r.new_meta = o.new_meta
-     AND r.new_ca_name_1 = o.new_ca_name_1 AND r.order_type = o.order_type
-    GROUP BY 1, 2, 3, 4, 5),
-gmv_annual AS (
-    SELECT nip, SUM(gmv) AS gmv FROM gmv_monthly WHERE month <> '{T.running_month}' GROUP BY nip),
-recent_months AS (
-    SELECT strftime(d, '%Y%m') AS month
-    FROM (SELECT unnest(generate_series({_d(T.start_of_3_month_period)}, {_d(T.last_day_of_month)},
-                                         INTERVAL 1 MONTH)) AS d)),
-pivot_recent AS (
-    SELECT nip,
-           SUM(CASE WHEN order_type = 'B2B' THEN gmv END) AS gmv_B2B_3m,
-           SUM(CASE WHEN order_type = 'B2C' THEN gmv END) AS gmv_B2C_3m
-    FROM (SELECT g.nip, g.order_type, ROUND(SUM(g.gmv), 2) AS gmv
-          FROM gmv_monthly g JOIN recent_months t ON t.month = g.month GROUP BY 1, 2)
-    GROUP BY nip),
-pivot_months AS (
-    SELECT nip, {", ".join(f"SUM(CASE WHEN month = '{m}' THEN gmv END) AS gmv_{m}" for m in T.pivot_months)}
-    FROM (SELECT nip, month, ROUND(SUM(gmv), 2) AS gmv FROM gmv_monthly GROUP BY 1, 2)
-    GROUP BY nip),
-pivot_type AS (
-    SELECT nip,
-           SUM(CASE WHEN order_type = 'B2B' THEN gmv END) AS gmv_B2B,
-           SUM(CASE WHEN order_type = 'B2C' THEN gmv END) AS gmv_B2C
-    FROM (SELECT nip, order_type, ROUND(SUM(gmv), 2) AS gmv FROM gmv_monthly GROUP BY 1, 2)
-    GROUP BY nip),
-rated_owners AS (
-    SELECT nip, SUM(pol) / COUNT(recommend) AS share
-    FROM (SELECT o.nip, CASE WHEN r.recommend IS TRUE THEN 1 ELSE 0 END AS pol, r.recommend
-          FROM ratings r
-          JOIN verified_accounts c ON c.account_id = r.opponent_id
-               AND c.day BETWEEN {_d(T.rating_start)} AND {_d(T.rating_stop)}
-          JOIN owners o ON r.opponent_id = o.ud_us_id
-          WHERE CAST(r.create_date AS DATE) BETWEEN {_d(T.rating_start)} AND {_d(T.rating_stop)}) a
-    GROUP BY nip
-    HAVING SUM(pol) / COUNT(recommend) >= {T.min_rating_share}),
-nipy AS (
-    SELECT g.nip, SUM(licznik) AS months_over
-    FROM (SELECT nip, month, CASE WHEN SUM(gmv) >= {T.monthly_gmv_limit} THEN 1 ELSE 0 END AS licznik
-          FROM gmv_monthly GROUP BY 1, 2) g
-    JOIN rated_owners u ON u.nip = g.nip
-    GROUP BY g.nip
-    HAVING SUM(licznik) >= {T.min_months}),
-quality AS (
-    SELECT o.nip, SUM(CASE WHEN r.recommend IS TRUE THEN 1 ELSE 0 END) AS positive,
-           COUNT(r.recommend) AS rated,
-           SUM(CASE WHEN r.recommend IS TRUE THEN 1 ELSE 0 END) / NULLIF(COUNT(r.recommend), 0) AS share
-    FROM ratings r JOIN owners o ON r.opponent_id = o.ud_us_id
-    WHERE CAST(r.create_date AS DATE) BETWEEN {_d(T.rating_start)} AND {_d(T.rating_stop)}
-    GROUP BY o.nip),
-quality_3m AS (
-    SELECT o.nip, SUM(CASE WHEN r.recommend IS TRUE THEN 1 ELSE 0 END) AS positive,
-           COUNT(r.recommend) AS rated,
-           SUM(CASE WHEN r.recommend IS TRUE THEN 1 ELSE 0 END) / NULLIF(COUNT(r.recommend), 0) AS share
-    FROM ratings r JOIN owners o ON r.opponent_id = o.ud_us_id
-    WHERE CAST(r.create_date AS DATE) BETWEEN {_d(T.rating_recent_start)} AND {_d(T.rating_stop)}
-    GROUP BY o.nip),
-maincat AS (
-    SELECT nip, new_meta, SUM(gmv) AS gmv_main,
-           RANK() OVER (PARTITION BY nip ORDER BY SUM(gmv) DESC, new_meta) AS ranking
-    FROM gmv_monthly WHERE month <> '{T.running_month}' GROUP BY 1, 2),
-maincat1 AS (
-    SELECT nip, new_meta, new_ca_name_1, SUM(gmv) AS gmv_main1,
-           RANK() OVER (PARTITION BY nip ORDER BY SUM(gmv) DESC, new_meta) AS ranking
-    FROM gmv_monthly WHERE month <> '{T.running_month}' GROUP BY 1, 2, 3),
-top_cats AS (
-    SELECT m.nip, m.new_meta, ROUND(m.gmv_main, 2) AS gmv, m1.new_ca_name_1, ROUND(m1.gmv_main1, 2) AS gmv1,
-           m_n.new_meta AS second_new_meta, ROUND(m_n.gmv_main, 2) AS second_new_meta_gmv
-    FROM maincat m
-    JOIN maincat1 m1 ON m1.nip = m.nip AND m1.ranking = 1
-    LEFT JOIN maincat m_n ON m_n.nip = m.nip AND m_n.ranking = 2
-    WHERE m.ranking = 1)
+-- every order line with its order's day and buyer type; in_time: the order day lies in the window
+line AS (
+    SELECT own.nip, li.price, li.returned, li.day AS ship_day, h.day AS order_day,
+           coalesce(h.day {_TW}, FALSE) AS in_time, part.new_meta, part.new_ca_name_1,
+           if(buyer.account_type = 'company', 'B2B', 'B2C') AS buyer_kind
+    FROM sales AS li
+    JOIN owners AS own ON own.ud_us_id = li.seller_id
+    LEFT JOIN order_headers AS h ON h.order_offer_id = li.deal_id
+    LEFT JOIN users AS buyer ON buyer.account_id = h.buyer_id
+    LEFT JOIN category_tree AS part ON part.ca_id_leaf = li.category_id),
+sold AS (
+    SELECT nip, strftime(order_day, '%Y%m') AS month, new_meta, new_ca_name_1,
+           coalesce(buyer_kind, 'B2C') AS order_type, sum(price) AS gmv
+    FROM line WHERE in_time GROUP BY ALL),
+-- a refund knows category and type only through an order of the window
+back AS (
+    SELECT nip, strftime(ship_day, '%Y%m') AS month, if(in_time, new_meta, NULL) AS new_meta,
+           if(in_time, new_ca_name_1, NULL) AS new_ca_name_1,
+           if(in_time, coalesce(buyer_kind, 'B2C'), 'B2C') AS order_type, sum(price) AS ref_gmv
+    FROM line WHERE returned AND ship_day {_TW} GROUP BY ALL),
+-- cells that were sold, less what came back in the same cell; what came back elsewhere has no owner, month or amount
+hub AS (
+    SELECT {_HUB}, gmv - coalesce(ref_gmv, 0) AS gmv FROM sold LEFT JOIN back USING ({_HUB})
+    UNION ALL
+    SELECT DISTINCT NULL, NULL, new_meta, new_ca_name_1, order_type, CAST(NULL AS DECIMAL(38,2))
+    FROM back ANTI JOIN sold USING ({_HUB})),
+owner_month AS (SELECT nip, month, sum(gmv) AS gmv FROM hub GROUP BY ALL),
+wide AS (
+    SELECT nip, sum(gmv) FILTER ({_OPEN}) AS gmv12m,
+           {", ".join(f"round(sum(gmv) FILTER (month = '{m}'), 2) AS gmv_{m}" for m in T.pivot_months)},
+           {", ".join(f"round(sum(gmv) FILTER (order_type = '{k}'), 2) AS gmv_{k}" for k in ("B2B", "B2C"))},
+           {", ".join(f"round(sum(gmv) FILTER (order_type = '{k}' AND month IN ({_3M})), 2) AS gmv_{k}_3m" for k in ("B2B", "B2C"))}
+    FROM hub GROUP BY nip),
+-- one row a rating of the window; days: how often the rated account was verified in it
+opinion AS (
+    SELECT own.nip, CAST(r.create_date AS DATE) AS day, coalesce(r.recommend, FALSE) AS good, r.recommend IS NOT NULL AS given,
+           (SELECT count(*) FROM verified_accounts AS c WHERE c.account_id = r.opponent_id
+              AND c.day BETWEEN {_d(T.rating_start)} AND {_d(T.rating_stop)}) AS days
+    FROM ratings AS r JOIN owners AS own ON own.ud_us_id = r.opponent_id
+    WHERE CAST(r.create_date AS DATE) BETWEEN {_d(T.rating_start)} AND {_d(T.rating_stop)}),
+rating AS (
+    SELECT nip, count(*) FILTER (good) AS positive, count(*) FILTER (given) AS rated, {_share("1")} AS share,
+           count(*) FILTER ({_RECENT}) AS n_recent,
+           count(*) FILTER (good AND {_RECENT}) AS positive_3m, count(*) FILTER (given AND {_RECENT}) AS rated_3m,
+           {_share("1", _RECENT)} AS share_3m, {_share("days")} AS weighted
+    FROM opinion GROUP BY nip),
+steady AS (
+    SELECT nip, count(*) FILTER (gmv >= {T.monthly_gmv_limit}) AS months_over
+    FROM owner_month WHERE nip IN (SELECT nip FROM rating WHERE weighted >= {T.min_rating_share})
+    GROUP BY nip HAVING months_over >= {T.min_months}),
+meta_sum AS (
+    SELECT nip, new_meta, sum(gmv) AS total FROM hub WHERE {_OPEN} GROUP BY ALL),
+meta_place AS (
+    SELECT *, rank() OVER (PARTITION BY nip ORDER BY total DESC, new_meta) AS place FROM meta_sum),
+sub_first AS (
+    SELECT nip, new_ca_name_1, sum(gmv) AS total FROM hub WHERE {_OPEN} GROUP BY nip, new_meta, new_ca_name_1
+    QUALIFY rank() OVER (PARTITION BY nip ORDER BY total DESC, new_meta) = 1),
+podium AS (
+    SELECT a.nip, a.new_meta, round(a.total, 2) AS gmv, sub_first.new_ca_name_1, round(sub_first.total, 2) AS gmv1,
+           b.new_meta AS second_new_meta, round(b.total, 2) AS second_new_meta_gmv
+    FROM meta_place AS a JOIN sub_first USING (nip)
+    LEFT JOIN meta_place AS b ON b.nip = a.nip AND b.place = 2
+    WHERE a.place = 1)
 """
-TOP_VIEWS = ("sales_b", "owners", "users", "category_tree", "refunds", "order_headers", "ratings",
-             "verified_accounts")
+TOP_VIEWS = ("sales", "owners", "users", "category_tree", "order_headers", "ratings", "verified_accounts")
 
 
 def top(body: str) -> str:
     return sql(body, *TOP_VIEWS, ctes=TOP_CTES)
 
 
-_CELL_COLS = "nip, month, new_meta, new_ca_name_1, order_type"
-_MONTH_COLS = ", ".join(f"CAST(pm.gmv_{m} AS DOUBLE) AS gmv_{m}" for m in T.pivot_months)
+def _doubles(*names: str) -> str:
+    return ", ".join(f"CAST({n} AS DOUBLE) AS {n}" for n in names)
+
+
+_MONTHS = tuple(f"gmv_{m}" for m in T.pivot_months)
+_KINDS, _KINDS_3M = ("gmv_B2B", "gmv_B2C"), ("gmv_B2B_3m", "gmv_B2C_3m")
 
 ORACLE: dict[str, str] = {
-    "gross_by_cell": top(f"SELECT {_CELL_COLS}, CAST(gmv AS DOUBLE) AS gmv FROM gross_cells"),
-    "refund_by_cell": top(f"SELECT {_CELL_COLS}, CAST(ref_gmv AS DOUBLE) AS ref_gmv FROM refund_cells"),
-    "net_gmv_monthly": top(f"SELECT {_CELL_COLS}, CAST(gmv AS DOUBLE) AS gmv FROM gmv_monthly"),
-    "net_gmv_annual": top("SELECT nip, CAST(gmv AS DOUBLE) AS gmv FROM gmv_annual"),
-    "gmv_pivot_recent": top("SELECT nip, CAST(gmv_B2B_3m AS DOUBLE) AS gmv_B2B_3m, "
-                            "CAST(gmv_B2C_3m AS DOUBLE) AS gmv_B2C_3m FROM pivot_recent"),
-    "gmv_pivot_months": top(f"SELECT pm.nip, {_MONTH_COLS} FROM pivot_months pm"),
-    "gmv_pivot_type": top("SELECT nip, CAST(gmv_B2B AS DOUBLE) AS gmv_B2B, "
-                          "CAST(gmv_B2C AS DOUBLE) AS gmv_B2C FROM pivot_type"),
-    "rating_quality": top("SELECT nip, CAST(positive AS BIGINT) AS positive, rated, "
-                          "CAST(ROUND(CAST(share AS DECIMAL(38,6)), 4) AS DOUBLE) AS share FROM quality"),
-    "rating_quality_3m": top("SELECT nip, CAST(positive AS BIGINT) AS positive, rated, "
-                             "CAST(ROUND(CAST(share AS DECIMAL(38,6)), 4) AS DOUBLE) AS share FROM quality_3m"),
-    "rating_qualified": top("SELECT nip, CAST(ROUND(CAST(share AS DECIMAL(38,6)), 4) AS DOUBLE) AS share FROM rated_owners"),
-    "gmv_qualified": top("SELECT nip, CAST(months_over AS BIGINT) AS months_over FROM nipy"),
-    "top_categories": top("SELECT nip, new_meta, CAST(gmv AS DOUBLE) AS gmv, new_ca_name_1, "
-                          "CAST(gmv1 AS DOUBLE) AS gmv1, second_new_meta, "
-                          "CAST(second_new_meta_gmv AS DOUBLE) AS second_new_meta_gmv FROM top_cats"),
+    "gross_by_cell": top(f"SELECT {_HUB}, {_doubles('gmv')} FROM sold"),
+    "refund_by_cell": top(f"SELECT {_HUB}, {_doubles('ref_gmv')} FROM back"),
+    "net_gmv_monthly": top(f"SELECT {_HUB}, {_doubles('gmv')} FROM hub"),
+    "net_gmv_annual": top(f"SELECT nip, CAST(sum(gmv) AS DOUBLE) AS gmv FROM hub WHERE {_OPEN} GROUP BY nip"),
+    "gmv_pivot_recent": top(f"SELECT nip, {_doubles(*_KINDS_3M)} FROM wide "
+                            f"WHERE nip IN (SELECT nip FROM hub WHERE month IN ({_3M}))"),
+    "gmv_pivot_months": top(f"SELECT nip, {_doubles(*_MONTHS)} FROM wide"),
+    "gmv_pivot_type": top(f"SELECT nip, {_doubles(*_KINDS)} FROM wide"),
+    "rating_quality": top(f"SELECT nip, positive, rated, {r4('share')} AS share FROM rating"),
+    "rating_quality_3m": top(f"SELECT nip, positive_3m AS positive, rated_3m AS rated, {r4('share_3m')} AS share "
+                             "FROM rating WHERE n_recent > 0"),
+    "rating_qualified": top(f"SELECT nip, {r4('weighted')} AS share FROM rating WHERE weighted >= {T.min_rating_share}"),
+    "gmv_qualified": top("SELECT nip, months_over FROM steady"),
+    "top_categories": top("SELECT nip, new_meta, new_ca_name_1, second_new_meta, "
+                          f"{_doubles('gmv', 'gmv1', 'second_new_meta_gmv')} FROM podium"),
     "top_owner_report": top(f"""
-        SELECT n.nip, CAST(ROUND(CAST(q.share AS DECIMAL(38,6)), 4) AS DOUBLE) AS rating_share, CAST(ROUND(CAST(q3.share AS DECIMAL(38,6)), 4) AS DOUBLE) AS rating_share_3m,
-               CAST(ROUND(a.gmv, 2) AS DOUBLE) AS gmv12m,
-               tc.new_meta, CAST(tc.gmv AS DOUBLE) AS gmv, tc.new_ca_name_1, CAST(tc.gmv1 AS DOUBLE) AS gmv1,
-               tc.second_new_meta, CAST(tc.second_new_meta_gmv AS DOUBLE) AS second_new_meta_gmv,
-               {_MONTH_COLS},
-               CAST(pt.gmv_B2B AS DOUBLE) AS gmv_B2B, CAST(pt.gmv_B2C AS DOUBLE) AS gmv_B2C,
-               CAST(pr.gmv_B2B_3m AS DOUBLE) AS gmv_B2B_3m, CAST(pr.gmv_B2C_3m AS DOUBLE) AS gmv_B2C_3m
-        FROM nipy n
-        JOIN quality q ON q.nip = n.nip
-        JOIN top_cats tc ON tc.nip = n.nip
-        LEFT JOIN gmv_annual a ON a.nip = n.nip
-        LEFT JOIN quality_3m q3 ON q3.nip = n.nip
-        LEFT JOIN pivot_months pm ON pm.nip = n.nip
-        LEFT JOIN pivot_type pt ON pt.nip = n.nip
-        LEFT JOIN pivot_recent pr ON pr.nip = n.nip"""),
+        SELECT nip, {r4('share')} AS rating_share, {r4('share_3m')} AS rating_share_3m,
+               CAST(round(gmv12m, 2) AS DOUBLE) AS gmv12m, new_meta, new_ca_name_1, second_new_meta,
+               {_doubles('gmv', 'gmv1', 'second_new_meta_gmv', *_MONTHS, *_KINDS, *_KINDS_3M)}
+        FROM steady JOIN rating USING (nip) JOIN podium USING (nip) LEFT JOIN wide USING (nip)"""),
 }
 
 
@@ -314,111 +277,77 @@ ORACLE: dict[str, str] = {
 S = P.seg
 _SW = f"BETWEEN {_d(S.date_from)} AND {_d(S.date_to)}"
 _LIM = SEGMENT_DEAL_LIMITS
-_SEG_STATUS_UNVERIFIED = "(actual_account_status IS NULL OR actual_account_status NOT IN ('company', 'ver'))"
+_SEGMENTS = ("small", "medium", "large", "VIP")
+_LABELS = "[" + ", ".join(f"'{x}'" for x in _SEGMENTS) + "]"
+_LADDER = " ".join(f"WHEN p.avg_GMV >= cut.{x} AND p.avg_count_deals >= {_LIM[x]} THEN '{x}'" for x in reversed(_SEGMENTS))
+
+
+def _with_total(keys: str, sums: str, rows: str) -> str:
+    """Sums by keys and category, and by keys over all known categories as category 'Total'."""
+    total = sums.replace("AS", "FILTER (new_meta IS NOT NULL) AS")
+    return (f"SELECT {keys}, new_meta, {sums} FROM {rows} GROUP BY {keys}, new_meta UNION ALL "
+            f"SELECT {keys}, 'Total', {total} FROM {rows} GROUP BY {keys} HAVING count(new_meta) > 0")
+
 
 SEG_CTES = f"""
-seg_offers_daily AS (
-    SELECT o.day, o.seller_id, ct.new_meta,
-           CASE WHEN v.account_id IS NOT NULL AND u.segment = 1 THEN 'small'
-                WHEN v.account_id IS NOT NULL AND u.segment = 2 THEN 'medium'
-                WHEN v.account_id IS NOT NULL AND u.segment = 3 THEN 'large'
-                WHEN v.account_id IS NOT NULL AND u.segment = 4 THEN 'VIP'
-                ELSE NULL END AS seller_segment,
-           o.offers
-    FROM offers_by_category o
-    LEFT JOIN category_tree ct ON ct.ca_id_leaf = o.category_leaf
-    LEFT JOIN verified_sellers v ON v.account_id = o.seller_id AND v.day = o.day
-    LEFT JOIN segment_monthly u ON u.us_id = o.seller_id AND CAST(strftime(o.day, '%Y%m') AS INTEGER) = u.month_
-    WHERE o.day {_SW}),
-seg_offers AS (
-    SELECT strftime(day, '%Y%m') AS year_month, seller_id, new_meta, seller_segment,
-           ROUND(AVG(offers), 0) AS offers, MIN(day) AS min_date
-    FROM (SELECT day, seller_id, new_meta, seller_segment, SUM(offers) AS offers
-          FROM seg_offers_daily GROUP BY 1, 2, 3, 4
-          UNION ALL
-          SELECT day, seller_id, 'Total', seller_segment, SUM(offers)
-          FROM seg_offers_daily WHERE new_meta IS NOT NULL GROUP BY day, seller_id, seller_segment)
-    GROUP BY 1, 2, 3, 4),
-seg_orders_base AS (
-    SELECT strftime(s.day, '%Y%m') AS year_month, s.seller_id, ct.new_meta, s.price, s.offer_id
-    FROM sales s
-    LEFT JOIN category_tree ct ON ct.ca_id_leaf = s.category_id
-    LEFT JOIN test_users tu ON tu.us_id = s.seller_id
-    WHERE s.day {_SW} AND tu.us_id IS NULL),
-seg_orders AS (
-    SELECT year_month, seller_id, new_meta, SUM(price) AS GMV, COUNT(offer_id) AS count_deals
-    FROM seg_orders_base GROUP BY 1, 2, 3
-    UNION ALL
-    SELECT year_month, seller_id, 'Total', SUM(price), COUNT(offer_id)
-    FROM seg_orders_base WHERE new_meta IS NOT NULL GROUP BY 1, 2),
-seg_maincat AS (
-    SELECT seller_id, new_meta AS maincat FROM (
-        SELECT seller_id, new_meta,
-               RANK() OVER (PARTITION BY seller_id ORDER BY SUM(GMV) DESC, new_meta) AS ranking
-        FROM seg_orders WHERE new_meta IS DISTINCT FROM 'Total' GROUP BY 1, 2)
-    WHERE ranking = 1),
-seg_status AS (
-    SELECT a.cis_user_id, a.cis_status, a.cis_from_date,
-           CASE WHEN c.cis_user_id IS NULL THEN 0 ELSE 1 END AS company
-    FROM account_status_history a
-    LEFT JOIN (SELECT DISTINCT cis_user_id FROM account_status_history WHERE cis_status = 'company') c
-           ON c.cis_user_id = a.cis_user_id
-    WHERE a.cis_historical = 'N'),
-seg_yesterday AS (
-    SELECT DISTINCT seller_id FROM offers_by_category WHERE day = {_d(S.yesterday)}),
-seg_profile AS (
-    SELECT n.nip, o.seller_id, s.cis_status AS actual_account_status,
-           s.cis_from_date AS last_date_account_status, s.company AS company_history,
-           o.seller_segment, o.new_meta, m.maincat,
-           CASE WHEN y.seller_id IS NULL THEN 0 ELSE 1 END AS yesterday,
-           SUM(r.GMV) AS sum_GMV, {avg_dec('r.GMV')} AS avg_GMV, AVG(r.count_deals) AS avg_count_deals,
-           AVG(o.offers) AS avg_count_offers, MIN(o.min_date) AS min_date,
-           COUNT(DISTINCT r.year_month) AS count_month_sales, COUNT(DISTINCT o.year_month) AS count_month_offers
-    FROM seg_offers o
-    LEFT JOIN seg_orders r ON o.seller_id = r.seller_id AND r.new_meta = o.new_meta AND r.year_month = o.year_month
-    LEFT JOIN seg_status s ON s.cis_user_id = o.seller_id
-    LEFT JOIN seg_yesterday y ON y.seller_id = o.seller_id
-    LEFT JOIN seg_maincat m ON m.seller_id = o.seller_id
-    LEFT JOIN owner_map n ON n.ud_us_id = o.seller_id
-    GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9),
-seg_full AS (
-    SELECT nip, seller_id, actual_account_status, last_date_account_status, company_history, seller_segment,
-           new_meta, maincat, yesterday, sum_GMV, COALESCE(avg_GMV, 0) AS avg_GMV,
-           COALESCE(avg_count_deals, 0) AS avg_count_deals, COALESCE(avg_count_offers, 0) AS avg_count_offers,
-           min_date, COALESCE(count_month_sales, 0) AS count_month_sales,
-           COALESCE(count_month_offers, 0) AS count_month_offers
-    FROM seg_profile),
-seg_rollup AS (
-    SELECT nip, seller_segment, new_meta, SUM(avg_GMV) AS avg_GMV, SUM(avg_count_deals) AS avg_count_deals,
-           AVG(avg_count_offers) AS avg_count_offers
-    FROM seg_full
-    WHERE actual_account_status IN ('company', 'ver')
-      AND nip IS NOT NULL AND seller_segment IS NOT NULL AND new_meta IS NOT NULL
-    GROUP BY 1, 2, 3),
-seg_thresholds AS (
-    SELECT new_meta,
-           {", ".join(f"quantile_cont(CAST(avg_GMV AS DOUBLE), {S.quantile}) FILTER (WHERE seller_segment = '{s}' AND avg_count_deals >= {_LIM[s]}) AS {s}" for s in ("small", "medium", "large", "VIP"))}
-    FROM seg_rollup GROUP BY new_meta),
-seg_categories AS (
-    SELECT seller_id, COUNT(DISTINCT new_meta) AS category_count
-    FROM seg_profile WHERE new_meta IS DISTINCT FROM 'Total' AND {_SEG_STATUS_UNVERIFIED}
-    GROUP BY seller_id),
-seg_assigned AS (
-    SELECT f.seller_id, f.actual_account_status, f.last_date_account_status, f.company_history, f.new_meta,
-           f.maincat, f.sum_GMV, f.min_date,
-           round_even(f.avg_GMV, 0) AS avg_GMV, round_even(f.avg_count_deals, 0) AS avg_count_deals,
-           round_even(f.avg_count_offers, 0) AS avg_count_offers,
-           f.yesterday, f.count_month_sales, f.count_month_offers,
-           CASE WHEN f.avg_GMV >= t.VIP AND f.avg_count_deals >= {_LIM['VIP']} THEN 'VIP'
-                WHEN f.avg_GMV >= t.large AND f.avg_count_deals >= {_LIM['large']} THEN 'large'
-                WHEN f.avg_GMV >= t.medium AND f.avg_count_deals >= {_LIM['medium']} THEN 'medium'
-                WHEN f.avg_GMV >= t.small AND f.avg_count_deals >= {_LIM['small']} THEN 'small'
-                ELSE 'lack' END AS new_segment,
-           c.category_count
-    FROM seg_full f
-    LEFT JOIN seg_thresholds t ON t.new_meta = f.new_meta
-    LEFT JOIN seg_categories c ON c.seller_id = f.seller_id
-    WHERE {_SEG_STATUS_UNVERIFIED.replace('actual_account_status', 'f.actual_account_status')})
+offer_line AS (
+    SELECT f.day, f.seller_id, part.new_meta, f.offers,
+           if(EXISTS (FROM verified_sellers AS v WHERE v.account_id = f.seller_id AND v.day = f.day),
+              ({_LABELS})[m.segment], NULL) AS seller_segment
+    FROM offers_by_category AS f
+    LEFT JOIN category_tree AS part ON part.ca_id_leaf = f.category_leaf
+    LEFT JOIN segment_monthly AS m ON m.us_id = f.seller_id AND m.month_ = year(f.day) * 100 + month(f.day)
+    WHERE f.day {_SW}),
+offer_day AS ({_with_total("day, seller_id, seller_segment", "sum(offers) AS n", "offer_line")}),
+offer_month AS (
+    SELECT strftime(day, '%Y%m') AS year_month, seller_id, new_meta, seller_segment, round(avg(n), 0) AS offers, min(day) AS min_date
+    FROM offer_day GROUP BY ALL),
+deal AS (
+    SELECT strftime(li.day, '%Y%m') AS year_month, li.seller_id, part.new_meta, li.price
+    FROM sales AS li LEFT JOIN category_tree AS part ON part.ca_id_leaf = li.category_id
+    WHERE li.day {_SW} AND li.seller_id NOT IN (SELECT us_id FROM test_users)),
+deal_month AS ({_with_total("year_month, seller_id", "sum(price) AS GMV, count(*) AS count_deals", "deal")}),
+favourite AS (
+    SELECT seller_id, new_meta AS maincat FROM deal GROUP BY seller_id, new_meta
+    QUALIFY rank() OVER (PARTITION BY seller_id ORDER BY sum(price) DESC, new_meta) = 1),
+account_now AS (
+    SELECT cis_user_id, cis_status, cis_from_date, ever AS company
+    FROM (SELECT *, CAST(bool_or(coalesce(cis_status = 'company', FALSE)) OVER (PARTITION BY cis_user_id) AS INTEGER) AS ever
+          FROM account_status_history)
+    WHERE cis_historical = 'N'),
+profile AS (
+    SELECT nip, seller_id, account_now.cis_status AS actual_account_status, account_now.cis_from_date AS last_date_account_status,
+           account_now.company AS company_history, seller_segment, new_meta, maincat,
+           CAST(seller_id IN (SELECT seller_id FROM offers_by_category WHERE day = {_d(S.yesterday)}) AS INTEGER) AS yesterday,
+           sum(GMV) AS sum_GMV, {avg_dec('GMV')} AS avg_GMV, avg(count_deals) AS avg_count_deals, avg(offers) AS avg_count_offers,
+           min(min_date) AS min_date, count(DISTINCT if(GMV IS NULL, NULL, year_month)) AS count_month_sales,
+           count(DISTINCT year_month) AS count_month_offers
+    FROM offer_month
+    LEFT JOIN deal_month USING (seller_id, new_meta, year_month)
+    LEFT JOIN favourite USING (seller_id)
+    LEFT JOIN account_now ON account_now.cis_user_id = seller_id
+    LEFT JOIN owner_map ON owner_map.ud_us_id = seller_id
+    GROUP BY ALL),
+filled AS (
+    SELECT * REPLACE (coalesce(avg_GMV, 0) AS avg_GMV, coalesce(avg_count_deals, 0) AS avg_count_deals,
+                      coalesce(avg_count_offers, 0) AS avg_count_offers),
+           coalesce(actual_account_status IN ('company', 'ver'), FALSE) AS is_verified
+    FROM profile),
+owner_cell AS (
+    SELECT nip, seller_segment, new_meta, sum(avg_GMV) AS avg_GMV, sum(avg_count_deals) AS avg_count_deals,
+           avg(avg_count_offers) AS avg_count_offers
+    FROM filled WHERE is_verified AND nip IS NOT NULL AND seller_segment IS NOT NULL AND new_meta IS NOT NULL GROUP BY ALL),
+cut AS (
+    SELECT new_meta, {", ".join(f"quantile_cont(CAST(avg_GMV AS DOUBLE), {S.quantile}) FILTER (seller_segment = '{x}' AND avg_count_deals >= {_LIM[x]}) AS {x}" for x in _SEGMENTS)}
+    FROM owner_cell GROUP BY new_meta),
+assigned AS (
+    SELECT p.* REPLACE (round_even(p.avg_GMV, 0) AS avg_GMV, round_even(p.avg_count_deals, 0) AS avg_count_deals,
+                        round_even(p.avg_count_offers, 0) AS avg_count_offers),
+           CASE {_LADDER} ELSE 'lack' END AS new_segment,
+           (SELECT nullif(count(DISTINCT o.new_meta), -1) FROM filled AS o
+            WHERE o.seller_id = p.seller_id AND NOT o.is_verified AND o.new_meta IS DISTINCT FROM 'Total') AS category_count
+    FROM filled AS p LEFT JOIN cut ON cut.new_meta = p.new_meta
+    WHERE NOT p.is_verified)
 """
 SEG_VIEWS = ("offers_by_category", "category_tree", "verified_sellers", "segment_monthly", "sales", "test_users",
              "account_status_history", "owner_map")
@@ -431,24 +360,24 @@ def seg(body: str) -> str:
 _PROFILE_COLS = """nip, seller_id, actual_account_status, last_date_account_status,
     CAST(company_history AS BIGINT) AS company_history, seller_segment, new_meta, maincat,
     CAST(yesterday AS BIGINT) AS yesterday, CAST(sum_GMV AS DOUBLE) AS sum_GMV,
-    CAST(avg_GMV AS DOUBLE) AS avg_GMV, CAST(ROUND(CAST(avg_count_deals AS DECIMAL(38,6)), 4) AS DOUBLE) AS avg_count_deals,
-    CAST(ROUND(CAST(avg_count_offers AS DECIMAL(38,6)), 4) AS DOUBLE) AS avg_count_offers, min_date, count_month_sales, count_month_offers"""
+    CAST(avg_GMV AS DOUBLE) AS avg_GMV, CAST(ROUND(CAST(avg_count_deals AS DECIMAL(38,10)), 4) AS DOUBLE) AS avg_count_deals,
+    CAST(ROUND(CAST(avg_count_offers AS DECIMAL(38,10)), 4) AS DOUBLE) AS avg_count_offers, min_date, count_month_sales, count_month_offers"""
 
 ORACLE.update({
-    "monthly_offer_panel": seg("SELECT year_month, seller_id, new_meta, seller_segment, offers, min_date FROM seg_offers"),
+    "monthly_offer_panel": seg("SELECT year_month, seller_id, new_meta, seller_segment, offers, min_date FROM offer_month"),
     "monthly_sales_panel": seg("SELECT year_month, seller_id, new_meta, CAST(GMV AS DOUBLE) AS GMV, count_deals "
-                               "FROM seg_orders"),
-    "main_category": seg("SELECT seller_id, maincat FROM seg_maincat"),
+                               "FROM deal_month"),
+    "main_category": seg("SELECT seller_id, maincat FROM favourite"),
     "current_account_status": seg("SELECT cis_user_id, cis_status, cis_from_date, CAST(company AS BIGINT) AS company "
-                                  "FROM seg_status"),
-    "seller_profile": seg(f"SELECT {_PROFILE_COLS} FROM seg_profile"),
-    "profile_with_total": seg(f"SELECT {_PROFILE_COLS} FROM seg_full"),
+                                  "FROM account_now"),
+    "seller_profile": seg(f"SELECT {_PROFILE_COLS} FROM profile"),
+    "profile_with_total": seg(f"SELECT {_PROFILE_COLS} FROM filled"),
     "verified_owner_rollup": seg("SELECT nip, seller_segment, new_meta, CAST(avg_GMV AS DOUBLE) AS avg_GMV, "
-                                 "CAST(ROUND(CAST(avg_count_deals AS DECIMAL(38,6)), 4) AS DOUBLE) AS avg_count_deals, "
-                                 "CAST(ROUND(CAST(avg_count_offers AS DECIMAL(38,6)), 4) AS DOUBLE) AS avg_count_offers FROM seg_rollup"),
-    "segment_thresholds": seg("SELECT new_meta, CAST(ROUND(CAST(small AS DECIMAL(38,6)), 4) AS DOUBLE) AS small, CAST(ROUND(CAST(medium AS DECIMAL(38,6)), 4) AS DOUBLE) AS medium, "
-                              "CAST(ROUND(CAST(large AS DECIMAL(38,6)), 4) AS DOUBLE) AS large, CAST(ROUND(CAST(VIP AS DECIMAL(38,6)), 4) AS DOUBLE) AS VIP FROM seg_thresholds"),
-    "thresholds_long": seg("SELECT new_meta, segment, CAST(ROUND(CAST(quartile AS DECIMAL(38,6)), 4) AS DOUBLE) AS quartile FROM seg_thresholds "
+                                 "CAST(ROUND(CAST(avg_count_deals AS DECIMAL(38,10)), 4) AS DOUBLE) AS avg_count_deals, "
+                                 "CAST(ROUND(CAST(avg_count_offers AS DECIMAL(38,10)), 4) AS DOUBLE) AS avg_count_offers FROM owner_cell"),
+    "segment_thresholds": seg("SELECT new_meta, CAST(ROUND(CAST(small AS DECIMAL(38,10)), 4) AS DOUBLE) AS small, CAST(ROUND(CAST(medium AS DECIMAL(38,10)), 4) AS DOUBLE) AS medium, "
+                              "CAST(ROUND(CAST(large AS DECIMAL(38,10)), 4) AS DOUBLE) AS large, CAST(ROUND(CAST(VIP AS DECIMAL(38,10)), 4) AS DOUBLE) AS VIP FROM cut"),
+    "thresholds_long": seg("SELECT new_meta, segment, CAST(ROUND(CAST(quartile AS DECIMAL(38,10)), 4) AS DOUBLE) AS quartile FROM cut "
                            "UNPIVOT INCLUDE NULLS (quartile FOR segment IN (small, medium, large, VIP))"),
     "assign_segment": seg("""
         SELECT seller_id, actual_account_status, last_date_account_status,
@@ -457,7 +386,7 @@ ORACLE.update({
                CAST(avg_count_deals AS DOUBLE) AS avg_count_deals, CAST(avg_count_offers AS DOUBLE) AS avg_count_offers,
                CAST(yesterday AS BIGINT) AS yesterday, count_month_sales, count_month_offers, new_segment,
                category_count
-        FROM seg_assigned"""),
+        FROM assigned"""),
 })
 
 
@@ -465,41 +394,29 @@ ORACLE.update({
 ST = P.status
 _STW = f"BETWEEN {_d(ST.date_from)} AND {_d(ST.date_to)}"
 STATUS_CTES = f"""
-st_offers AS (
-    SELECT seller_id, year(day) AS year, SUM(offers) AS sum_of_offers,
-           SUM(offers_no_classifieds) AS sum_of_offers_no_clasifieds
-    FROM offers_total WHERE day {_STW} GROUP BY 1, 2),
-st_verified AS (
-    SELECT account_id, year(day) AS year FROM verified_sellers WHERE day {_STW} GROUP BY 1, 2),
-st_yearly AS (
-    SELECT seller_id, year, verified,
-           verified - LAG(verified) OVER (PARTITION BY seller_id ORDER BY seller_id, year) AS verified_status,
-           sum_of_offers, sum_of_offers_no_clasifieds
-    FROM (SELECT o.seller_id, o.year, o.sum_of_offers, o.sum_of_offers_no_clasifieds,
-                 CASE WHEN v.account_id IS NULL THEN 0 ELSE 1 END AS verified,
-                 CASE WHEN tu.us_id IS NULL THEN 0 ELSE 1 END AS test_account
-          FROM st_offers o
-          LEFT JOIN st_verified v ON v.account_id = o.seller_id AND v.year = o.year
-          LEFT JOIN test_users tu ON tu.us_id = o.seller_id)
-    WHERE test_account = 0),
-st_prep AS (
-    SELECT seller_id, year, verified, COALESCE(verified_status, 0) AS verified_status,
-           COALESCE(sum_of_offers, 0) AS sum_of_offers,
-           COALESCE(sum_of_offers_no_clasifieds, 0) AS sum_of_offers_no_clasifieds,
-           CASE WHEN sum_of_offers > 0 AND sum_of_offers_no_clasifieds = 0 THEN 1 ELSE 0 END AS only_clasifieds
-    FROM st_yearly),
-st_summary AS (
-    SELECT year, verified_status, only_clasifieds, SUM(sum_of_offers) AS sum_of_offers,
-           SUM(sum_of_offers_no_clasifieds) AS sum_of_offers_no_clasifieds, COUNT(seller_id) AS count_seller_id,
-           CASE WHEN verified_status = 1 THEN 'regular -> company' WHEN verified_status = 0 THEN 'no change'
-                ELSE 'company -> regular' END AS verified_status_desc,
-           CASE WHEN only_clasifieds = 1 THEN 'yes' ELSE 'no' END AS only_clasifieds_desc
-    FROM st_prep GROUP BY 1, 2, 3),
-st_share AS (
-    SELECT year, verified_status, verified_status_desc, n AS count_seller_id,
-           n / SUM(n) OVER (PARTITION BY year) AS share
-    FROM (SELECT year, verified_status, verified_status_desc, SUM(count_seller_id) AS n
-          FROM st_summary GROUP BY 1, 2, 3))
+-- one row a seller and year with an offer; test accounts are out before years are compared
+seller_year AS (
+    SELECT seller_id, year(day) AS year, sum(offers) AS sum_of_offers, sum(offers_no_classifieds) AS sum_of_offers_no_clasifieds,
+           CAST((seller_id, year(day)) IN (SELECT (account_id, year(day)) FROM verified_sellers WHERE day {_STW}) AS INTEGER) AS verified
+    FROM offers_total WHERE day {_STW} AND seller_id NOT IN (SELECT us_id FROM test_users)
+    GROUP BY ALL),
+yearly AS (
+    SELECT cur.*, cur.verified - prev.verified AS verified_status
+    FROM seller_year AS cur ASOF LEFT JOIN seller_year AS prev ON prev.seller_id = cur.seller_id AND cur.year > prev.year),
+marked AS (
+    SELECT * REPLACE (coalesce(verified_status, 0) AS verified_status),
+           CAST(sum_of_offers > 0 AND sum_of_offers_no_clasifieds = 0 AS INTEGER) AS only_clasifieds
+    FROM yearly),
+change AS (
+    SELECT year, verified_status, only_clasifieds, sum(sum_of_offers) AS sum_of_offers,
+           sum(sum_of_offers_no_clasifieds) AS sum_of_offers_no_clasifieds, count(*) AS count_seller_id,
+           (['company -> regular', 'no change', 'regular -> company'])[verified_status + 2] AS verified_status_desc,
+           if(only_clasifieds = 1, 'yes', 'no') AS only_clasifieds_desc
+    FROM marked GROUP BY ALL),
+change_share AS (
+    SELECT a.year, a.verified_status, a.verified_status_desc, a.n AS count_seller_id,
+           a.n / (SELECT count(*) FROM marked AS m WHERE m.year = a.year) AS share
+    FROM (SELECT year, verified_status, verified_status_desc, sum(count_seller_id) AS n FROM change GROUP BY ALL) AS a)
 """
 
 
@@ -512,24 +429,24 @@ _YEARLY_COLS = ("seller_id, year, CAST(verified AS BIGINT) AS verified, CAST(ver
                 "CAST(sum_of_offers_no_clasifieds AS BIGINT) AS sum_of_offers_no_clasifieds")
 
 ORACLE.update({
-    "yearly_status_change": status(f"SELECT {_YEARLY_COLS} FROM st_yearly"),
+    "yearly_status_change": status(f"SELECT {_YEARLY_COLS} FROM yearly"),
     "status_change_summary": status("""
         SELECT year, CAST(verified_status AS BIGINT) AS verified_status, CAST(only_clasifieds AS BIGINT) AS only_clasifieds,
                CAST(sum_of_offers AS BIGINT) AS sum_of_offers,
                CAST(sum_of_offers_no_clasifieds AS BIGINT) AS sum_of_offers_no_clasifieds,
                count_seller_id, verified_status_desc, only_clasifieds_desc
-        FROM st_summary"""),
+        FROM change"""),
     "status_change_share": status(f"""
         SELECT year, CAST(verified_status AS BIGINT) AS verified_status, verified_status_desc,
                CAST(count_seller_id AS BIGINT) AS count_seller_id, {r4('share')} AS share
-        FROM st_share"""),
-    "status_head_sample": status(f"SELECT {_YEARLY_COLS} FROM st_yearly ORDER BY seller_id, year LIMIT 1000"),
+        FROM change_share"""),
+    "status_head_sample": status(f"SELECT {_YEARLY_COLS} FROM yearly ORDER BY seller_id, year LIMIT 1000"),
     "only_classified_sellers": status("""
         SELECT seller_id, year, CAST(verified AS BIGINT) AS verified, CAST(verified_status AS BIGINT) AS verified_status,
                CAST(sum_of_offers AS BIGINT) AS sum_of_offers,
                CAST(sum_of_offers_no_clasifieds AS BIGINT) AS sum_of_offers_no_clasifieds,
                CAST(only_clasifieds AS BIGINT) AS only_clasifieds
-        FROM st_prep WHERE only_clasifieds = 1 AND year = 2001"""),
+        FROM marked WHERE only_clasifieds = 1 AND year = 2001"""),
 })
 
 
@@ -615,8 +532,9 @@ ll AS (
           FROM verified_accounts v
           LEFT JOIN owner_map n ON n.ud_us_id = v.account_id
           LEFT JOIN test_users tu ON tu.us_id = v.account_id
-          LEFT JOIN last_logins l ON l.account_id = v.account_id
-          LEFT JOIN (SELECT DISTINCT seller_id FROM offers_total) o ON o.seller_id = v.account_id
+          LEFT JOIN (SELECT user_id AS account_id, max(ts) AS success_login_timestamp FROM events
+                     WHERE CAST(ts AS DATE) <= {_d(A.events_yesterday)} GROUP BY user_id) l ON l.account_id = v.account_id
+          LEFT JOIN (SELECT DISTINCT seller_id FROM offers_total WHERE day <= {_d(A.sales_yesterday)}) o ON o.seller_id = v.account_id
           WHERE v.day = {_d(A.events_yesterday)})
     WHERE test_account = 0
     GROUP BY nip, ever_offer)
@@ -700,7 +618,7 @@ fc_dates AS (
     FROM (SELECT unnest(generate_series({_d(FU.forecast_start)}, {_d(FU.forecast_stop)}, INTERVAL 1 MONTH)) AS d)),
 fc_grid AS (SELECT l.nip, d.month FROM owner_list l CROSS JOIN fc_dates d),
 fc_offers AS (
-    SELECT strftime(date, '%Y%m') AS month, nip, CAST(ROUND(CAST(AVG(offers) AS DECIMAL(38,6)), 2) AS DOUBLE) AS offers
+    SELECT strftime(date, '%Y%m') AS month, nip, CAST(ROUND(CAST(AVG(offers) AS DECIMAL(38,10)), 2) AS DOUBLE) AS offers
     FROM (SELECT o.day AS date, v.nip, SUM(o.offers) AS offers
           FROM offers_total o JOIN fu_vips v ON v.id = o.seller_id
           WHERE o.day BETWEEN {_d(FU.forecast_start)} AND {_d(FU.forecast_stop)}
@@ -858,26 +776,8 @@ ORACLE.update({
 
 ORACLE["join_full_outer_net"] = ORACLE["net_gmv_monthly"]
 
-ORACLE["status_head_summary"] = status("""
-    SELECT year, CAST(verified_status AS BIGINT) AS verified_status, CAST(only_clasifieds AS BIGINT) AS only_clasifieds,
-           CAST(s_offers AS BIGINT) AS sum_of_offers, CAST(s_no_clas AS BIGINT) AS sum_of_offers_no_clasifieds,
-           count_seller_id,
-           CASE WHEN verified_status = 1 THEN 'regular -> company' WHEN verified_status = 0 THEN 'no change'
-                ELSE 'company -> regular' END AS verified_status_desc,
-           CASE WHEN only_clasifieds = 1 THEN 'yes' ELSE 'no' END AS only_clasifieds_desc
-    FROM (SELECT year, verified_status, only_clasifieds, SUM(sum_of_offers) AS s_offers,
-                 SUM(sum_of_offers_no_clasifieds) AS s_no_clas, COUNT(seller_id) AS count_seller_id
-          FROM (SELECT seller_id, year, COALESCE(verified_status, 0) AS verified_status,
-                       COALESCE(sum_of_offers, 0) AS sum_of_offers,
-                       COALESCE(sum_of_offers_no_clasifieds, 0) AS sum_of_offers_no_clasifieds,
-                       CASE WHEN sum_of_offers > 0 AND sum_of_offers_no_clasifieds = 0 THEN 1 ELSE 0 END
-                           AS only_clasifieds
-                FROM (SELECT * FROM st_yearly ORDER BY seller_id, year LIMIT 1000))
-          GROUP BY year, verified_status, only_clasifieds)""")
-
-
-# The follow-ups for the owners qualified by the top-owner report (the list handed over).
-_QUALIFIED_FOLLOW = TOP_CTES.rstrip().rstrip(",") + ",\nqualified_list AS (SELECT nip FROM nipy),\n" + \
+
+_QUALIFIED_FOLLOW = TOP_CTES.rstrip().rstrip(",") + ",\nqualified_list AS (SELECT nip FROM steady),\n" + \
     FOLLOW_CTES.replace("FROM owner_list l", "FROM qualified_list l")
 
 

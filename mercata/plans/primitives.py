@@ -114,7 +114,8 @@ def safe_ratio_daily(t: Tables) -> DataFrame:
 def scan_open_range(t: Tables) -> DataFrame:
     """Net GMV since a date (open-ended range), per account."""
     g = scans.open_range(V.net_gmv_daily(t), "dt", P.acct.gmv_open_from)
-    return g.groupBy("account_id").agg(F.count_distinct("dt").alias("days"), F.sum("GMV_ref").alias("gmv"))
+    daily = g.groupBy("account_id", "dt").agg(F.sum("GMV_ref").alias("gmv"))
+    return daily.groupBy("account_id").agg(F.count("dt").alias("days"), F.sum("gmv").alias("gmv"))
 
 
 def scan_trailing_30d(t: Tables) -> DataFrame:

@@ -85,9 +85,8 @@ def seller_profile(t: Tables, p: SegmentationParams) -> DataFrame:
     """Per owner, seller, status, segment, category (| Total): GMV sums / means over months,
     mean deals and offers, first day, active yesterday, months with sales / offers."""
     offers = monthly_offer_panel(t, p)
-    # The sales panel feeds the join and the main-category ranking; it is a small aggregate, so it
-    # is materialised once instead of scanning the window's lines a second time.
-    sales = monthly_sales_panel(t, p).checkpoint(eager=True)
+    # feeds the join and the main-category ranking; the adaptive plan reuses its exchange
+    sales = monthly_sales_panel(t, p)
     orders = sales.withColumn("sales_month", F.col("year_month"))
     j = offers.join(orders, ["seller_id", "new_meta", "year_month"], "left")
     status = current_account_status(t).select(
@@ -106,8 +105,9 @@ def seller_profile(t: Tables, p: SegmentationParams) -> DataFrame:
         F.avg("count_deals").alias("avg_count_deals"),
         F.avg("offers").alias("avg_count_offers"),
         F.min("min_date").alias("min_date"),
-        F.count_distinct("sales_month").alias("count_month_sales"),
-        F.count_distinct("year_month").alias("count_month_offers"),
+        # the panel has one row a month and group
+        F.count("sales_month").alias("count_month_sales"),
+        F.count("year_month").alias("count_month_offers"),
     )
 
 
@@ -138,8 +138,6 @@ def verified_owner_rollup(full: DataFrame) -> DataFrame:
 def segment_thresholds(rollup: DataFrame, p: SegmentationParams) -> DataFrame:
     """Category x segment matrix: lower quartile of owner GMV among owners whose deal count
     reaches the segment's limit (exact, linearly interpolated quantile; empty cell = NULL)."""
-    # The rollup (owners x segment x category) feeds the quantile and the category list.
-    rollup = rollup.checkpoint(eager=True)
     limit = decode(F.col("seller_segment"), p.limits)
     cells = rollup.where(F.col("avg_count_deals") >= limit)
     q = exact_quantile(cells, ["new_meta", "seller_segment"], "avg_GMV", p.quantile, "q")
@@ -161,9 +159,8 @@ def _ladder(p: SegmentationParams):
 
 def assign_segment(t: Tables, p: SegmentationParams) -> DataFrame:
     """New segment of unverified sellers (NULL status counts as unverified) from the thresholds."""
-    # The profile feeds three branches (thresholds, unverified rows, category counts); it is
-    # materialised once so the panels behind it are not recomputed per branch.
-    profile = seller_profile(t, p).checkpoint(eager=True)
+    # feeds three branches (thresholds, unverified rows, category counts)
+    profile = seller_profile(t, p)
     full = profile_with_total(profile)
     thresholds = segment_thresholds(verified_owner_rollup(full), p)
     unverified = full.where(~_is_verified() | F.col("actual_account_status").isNull())

@@ -5,14 +5,14 @@ category x order type (B2B when the buyer is a company account).
 
 Scale notes
 -----------
-* Order lines are reduced to (seller, month, leaf, order type) before the owner map and the
-  category tree are joined: both are one row per key, so summing first is exact and the
+* Order lines are reduced to (seller, leaf, order month, refund month, order type) before the owner
+  map and the category tree are joined: both are one row per key, so summing first is exact and the
   dimension joins see the reduced cells instead of every line.
-* Gross and refund cells come from one scan of the window's lines and are netted per cell by
-  presence flags (no self join); ``net_gmv_full_outer`` keeps the literal full outer join form.
+* The order day is the header's on both sides.  Gross and refund cells come from one scan of the
+  lines and are netted per cell by presence flags (no self join); ``net_gmv_full_outer`` keeps the
+  literal full outer join form.
 * The flagship reads the hub five times (qualification, two rankings, one wide per-owner
-  aggregate for the annual total and all pivots); ``top_owner_report`` materialises it once with
-  ``checkpoint()`` into ``spark.checkpoint.dir`` (lineage cut, survives executor loss).
+  aggregate for the annual total and all pivots); equal exchanges are reused by the adaptive plan.
 * The three rating measures of the flagship come from one scan of the ratings window.
 """
 
@@ -46,60 +46,72 @@ def _order_type() -> F.Column:
     return F.when(F.col("account_type") == COMPANY_ACCOUNT, b2b).otherwise(b2c)
 
 
-def _to_cells(lines: DataFrame, t: Tables, amount: str, out: str, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(seller, day, leaf, order_type, amount, *extra) lines -> owner cells (+ extra keys)."""
-    reduced = lines.groupBy("seller_id", month_key("day").alias("month"), "category_id", "order_type", *extra) \
-        .agg(F.sum(amount).alias(out))
-    cells = reduced.join(owners(t), reduced.seller_id == F.col("ud_us_id"))
+def _to_cells(cells: DataFrame, t: Tables, out: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(seller, month, leaf, order_type, out, *extra) sums -> owner cells (+ extra keys)."""
+    cells = cells.join(owners(t), cells.seller_id == F.col("ud_us_id"))
     tree = V.category_tree(t)
     cells = cells.join(tree, cells.category_id == tree.ca_id_leaf, "left")
     return cells.groupBy(*CELL, *extra).agg(F.sum(out).alias(out))
 
 
+def _window_orders(t: Tables, p: TopOwnerParams) -> DataFrame:
+    """Headers of the orders whose order day lies in the window (the bound reaches the scan)."""
+    return V.order_headers(t, p.date_start, p.date_stop).select(
+        F.col("order_offer_id").alias("deal_id"), "buyer_id", F.col("day").alias("order_day"))
+
+
+def _lines(t: Tables, p: TopOwnerParams) -> DataFrame:
+    """Sums of the window's lines by (seller, leaf, order month, refund month, order type).
+
+    A line is an order of the window if its order day lies in it (``order_month``), and a refund of the
+    window if it was returned and its refund was recorded in it (``refund_month``).  Buyer type and
+    leaf category come from the order, so a refund of an order outside the window has neither.
+    Each line is read and joined once; both sides are split only after this aggregation.
+    """
+    s = V.sales(t).join(_window_orders(t, p), "deal_id", "left")
+    refunded = F.col("returned") & F.col("day").between(F.lit(p.date_start), F.lit(p.date_stop))
+    s = s.where(F.col("order_day").isNotNull() | refunded).join(_buyer_type(t), "buyer_id", "left")
+    ordered = F.col("order_day").isNotNull()
+    return s.groupBy(
+        "seller_id", F.when(ordered, F.col("category_id")).alias("category_id"), month_key("order_day").alias("order_month"),
+        F.when(refunded, month_key("day")).alias("refund_month"),
+        F.when(ordered, _order_type()).otherwise(ORDER_TYPES[1]).alias("order_type")).agg(F.sum("price").alias("amount"))
+
+
 def gross_by_cell(t: Tables, p: TopOwnerParams) -> DataFrame:
-    """Sum of order prices per owner cell (month of the order day)."""
-    s = V.sales(t, p.date_start, p.date_stop, with_buyer=True)
-    # The buyer snapshot of the order day: the supplied accounts have one state, so the
-    # same-day condition reduces to the account key.
-    s = s.join(_buyer_type(t), "buyer_id", "left")
-    s = s.withColumn("order_type", _order_type())
-    return _to_cells(s, t, "price", "gmv")
+    """Sum of order prices per owner cell (month of the order day).
+
+    The supplied accounts have one state, so the buyer snapshot of the order day is the account row.
+    """
+    s = V.sales(t).join(_window_orders(t, p), "deal_id").join(_buyer_type(t), "buyer_id", "left")
+    cells = s.groupBy("seller_id", month_key("order_day").alias("month"), "category_id", _order_type().alias("order_type")) \
+        .agg(F.sum("price").alias("gmv"))
+    return _to_cells(cells, t, "gmv")
 
 
 def refund_by_cell(t: Tables, p: TopOwnerParams) -> DataFrame:
-    """Refunded amount per owner cell, by refund month; buyer type taken from the refunded order.
+    """Refunded amount per owner cell, by refund month; category and buyer type of the refunded order.
 
-    The order must lie in the window too (a right-side predicate of a left join, so refunds of
-    older orders stay, as B2C with the buyer unknown).
+    The order must lie in the window too (a right-side predicate of a left join): refunds of older
+    orders stay, as B2C with the category unknown, so they are never netted against a cell.
     """
     r = V.refunds(t, p.date_start, p.date_stop)
-    hdr = V.order_headers(t, p.date_start, p.date_stop).select("order_offer_id", "buyer_id")
-    r = r.join(hdr, "order_offer_id", "left").join(_buyer_type(t), "buyer_id", "left")
-    r = r.withColumn("order_type", _order_type())
-    return _to_cells(r, t, "refunded_gmv", "ref_gmv")
+    hdr = _window_orders(t, p).withColumnRenamed("deal_id", "order_id")
+    r = r.join(hdr, "order_id", "left").join(_buyer_type(t), "buyer_id", "left")
+    ordered = F.col("order_day").isNotNull()
+    cells = r.groupBy("seller_id", month_key("day").alias("month"), F.when(ordered, F.col("category_id")).alias("category_id"),
+                      F.when(ordered, _order_type()).otherwise(ORDER_TYPES[1]).alias("order_type")) \
+        .agg(F.sum("refunded_gmv").alias("ref_gmv"))
+    return _to_cells(cells, t, "ref_gmv")
 
 
 def _side_cells(t: Tables, p: TopOwnerParams) -> DataFrame:
-    """Gross and refund cells from one scan of the window's order lines.
-
-    Refunds are the returned lines of the same window, so one pass over the lines and one join to
-    the order headers serve both sides: every line contributes its price to the order side (buyer
-    type of its order), a returned line also to the refund side, whose buyer counts only when the
-    order itself lies in the window (else B2C, as with the separate refund query).
-    """
-    s = V.sales(t, p.date_start, p.date_stop)
-    hdr = t.orders.select(F.col("o_orderkey").alias("deal_id"), F.col("o_custkey").alias("buyer_id"),
-                          F.to_date("o_orderdate").alias("order_day"))
-    s = s.join(hdr, "deal_id", "left").join(_buyer_type(t), "buyer_id", "left")
-    in_window = F.col("order_day").between(F.lit(p.date_start), F.lit(p.date_stop))
-    sale = F.when(F.col("order_day").isNotNull(), F.struct(F.lit("o").alias("side"), _order_type().alias("t")))
-    refund = F.when(F.col("returned"), F.struct(
-        F.lit("r").alias("side"), F.when(in_window, _order_type()).otherwise(ORDER_TYPES[1]).alias("t")))
-    parts = s.select("seller_id", "day", "category_id", "price",
-                     F.explode(F.filter(F.array(sale, refund), lambda x: x.isNotNull())).alias("c"))
-    parts = parts.select("seller_id", "day", "category_id", "price",
-                         F.col("c.side").alias("side"), F.col("c.t").alias("order_type"))
-    return _to_cells(parts, t, "price", "amount", ("side",))
+    """Order ('o') and refund ('r') cells from one pass over the lines (see ``_lines``)."""
+    sale = F.when(F.col("order_month").isNotNull(), F.struct(F.lit("o").alias("side"), F.col("order_month").alias("month")))
+    refund = F.when(F.col("refund_month").isNotNull(), F.struct(F.lit("r").alias("side"), F.col("refund_month").alias("month")))
+    sides = F.explode(F.filter(F.array(sale, refund), lambda x: x.isNotNull())).alias("c")
+    cells = _lines(t, p).select("seller_id", "category_id", "order_type", "amount", sides)
+    return _to_cells(cells.select("seller_id", "category_id", "order_type", "amount", "c.side", "c.month"), t, "amount", ("side",))
 
 
 def net_gmv_monthly(t: Tables, p: TopOwnerParams) -> DataFrame:
@@ -162,9 +174,7 @@ def net_gmv_annual(gmv_monthly: DataFrame, p: TopOwnerParams) -> DataFrame:
 
 def gmv_pivot_recent(spark, gmv_monthly: DataFrame, p: TopOwnerParams) -> DataFrame:
     """Last three full months, B2B / B2C columns (suffix ``_3m``)."""
-    months = p.recent_months
-    spine = joins.bounded_broadcast(reshape.month_spine(spark, p.start_of_3_month_period, p.last_day_of_month),
-                                    len(months))
+    spine = reshape.month_spine(spark, p.start_of_3_month_period, p.last_day_of_month)
     g = gmv_monthly.join(spine, "month").groupBy("nip", "order_type") \
         .agg(round_half_up(F.sum("gmv"), 2).alias("gmv"))
     return reshape.named_pivot(g, ["nip"], "order_type", ORDER_TYPES, F.sum("gmv"), "gmv_", "_3m")
@@ -288,11 +298,9 @@ def top_categories(gmv_monthly: DataFrame, p: TopOwnerParams) -> DataFrame:
     return best.join(best1, "nip").join(second, "nip", "left")
 
 
-def top_owner_report(spark, t: Tables, p: TopOwnerParams, materialize: bool = True) -> DataFrame:
+def top_owner_report(t: Tables, p: TopOwnerParams) -> DataFrame:
     """Flagship: qualified owners with ratings, annual GMV, ranks and three pivots."""
     hub = net_gmv_monthly(t, p)
-    if materialize:
-        hub = hub.checkpoint(eager=True)
     ratings = owner_ratings(t, p)
     rated = ratings.where(F.col("weighted_share") >= p.min_rating_share)
     nipy = gmv_qualified(hub, rated, p).select("nip")

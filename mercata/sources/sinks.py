@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     w = df.write.mode(mode)
     if partition_by:
-        df.sparkSession.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        w = w.partitionBy(*partition_by)
+        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)  # this writer only
     w.parquet(path)
 
 

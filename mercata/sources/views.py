@@ -11,7 +11,7 @@ Binding (one account-id space: customers; sellers are the customers that appear
 view                         derived from
 ===========================  =====================================================================
 sales (orders fact)          lineitem [+ orders for the buyer]; day = ship date, price = line price
-order_headers                orders; the order grain a refund points to (buyer, order day)
+order_headers                orders: buyer and order day (the day both sides of the net-GMV hub go by)
 refunds                      the returned lines of sales (flag 'R'); refund day = ship date
 offers_by_category           lineitem: listed lines per (day, seller, leaf category = part)
 offers_total                 lineitem: listed lines per (day, seller) + non-classified lines
@@ -69,7 +69,7 @@ def _between(c: Column, start, stop) -> Column:
 
 
 def sales(t: Tables, start=None, stop=None, with_buyer: bool = False) -> DataFrame:
-    """Order lines.  ``with_buyer`` adds the buyer through the order header (an extra join)."""
+    """Order lines by ship day.  ``with_buyer`` adds the buyer through the order header (an extra join)."""
     li = t.lineitem
     df = li.select(
         day_of("l_shipdate").alias("day"),
@@ -133,12 +133,15 @@ def offers_by_category(t: Tables, start=None, stop=None) -> DataFrame:
     return li.groupBy("day", "seller_id", "category_leaf").agg(F.count(F.lit(1)).alias("offers"))
 
 
-def offers_total(t: Tables, start=None, stop=None) -> DataFrame:
+def offers_total(t: Tables, start=None, stop=None, until=None) -> DataFrame:
+    """Daily offer totals of a date range, or of all days up to ``until``."""
     li = t.lineitem.select(day_of("l_shipdate").alias("day"),
                            F.col("l_suppkey").alias("seller_id"),
                            F.col("l_quantity"))
     if start is not None:
         li = li.where(_between(F.col("day"), start, stop))
+    if until is not None:
+        li = li.where(F.col("day") <= F.lit(until))
     non_classified = ((F.col("seller_id") + F.year("day")) % 5 != 0) & (F.col("l_quantity") >= 25)
     return li.groupBy("day", "seller_id").agg(
         F.count(F.lit(1)).alias("offers"),
@@ -210,8 +213,10 @@ def account_status_history(t: Tables) -> DataFrame:
     return rows.select("cis_user_id", "h.cis_status", "h.cis_from_date", "h.cis_historical")
 
 
-def last_logins(t: Tables) -> DataFrame:
-    return t.events.groupBy(F.col("user_id").alias("account_id")).agg(
+def last_logins(t: Tables, until=None) -> DataFrame:
+    """Last event of each account; ``until`` is the snapshot's day (events of later days are unknown to it)."""
+    ev = t.events if until is None else t.events.where(day_of("ts") <= F.lit(until))
+    return ev.groupBy(F.col("user_id").alias("account_id")).agg(
         F.max("ts").alias("success_login_timestamp"))
 
 

@@ -23,13 +23,54 @@ def test_refund_only_cell_and_null_category_not_netted(make_tables):
                                                   F.col("gmv").cast("double")).collect()),
                  key=lambda r: tuple((x is None, str(x)) for x in r))
     assert got == [
-        ("5", "200101", "B2B", "A", "B1", 250.0),     # sale of a company buyer
         ("5", "200101", "B2C", None, "B2", 80.0),     # NULL category never nets its refund
-        (None, None, "B2C", "A", "B1", None),         # refund of an order outside the window: refund-only cell
         (None, None, "B2C", None, "B2", None),
+        (None, None, "B2C", None, None, None),        # refund of an order before the window: no category, no type
     ]
 
 
+def test_refund_is_netted_only_through_an_order_of_the_window(make_tables):
+    customer = [(1, "c1", 5, 10.0, "AUTOMOBILE"), (2, "c2", 7, 10.0, "BUILDING")]
+    part = [(10, "p10", "B1", "A", 1, 1.0)]
+
+    def hub(order_day):
+        t = make_tables(
+            customer=customer, part=part,
+            orders=[(100, 2, "O", 0.0, order_day, "x"), (101, 2, "O", 0.0, TS(2001, 1, 2), "x")],
+            lineitem=[(100, 10, 1, 1, 1.0, 30.0, 0.0, 0.0, "R", "F", TS(2001, 1, 20)),
+                      (101, 10, 1, 1, 1.0, 100.0, 0.0, 0.0, "N", "F", TS(2001, 3, 5))])
+        p = TopOwnerParams()
+        rows = top_owners.net_gmv_monthly(t, p)
+        literal = top_owners.net_gmv_full_outer(top_owners.gross_by_cell(t, p), top_owners.refund_by_cell(t, p))
+        cells = [sorted(((r.nip, r.month, r.order_type, r.new_meta, r.gmv and float(r.gmv)) for r in d.collect()), key=str)
+                 for d in (rows, literal)]
+        assert cells[0] == cells[1]
+        return cells[0]
+
+    # the sale counts in the month of its order; the refund of the same month and cell comes off
+    assert hub(TS(2001, 1, 10)) == [("5", "200101", "B2B", "A", 100.0)]
+    # an order before the window: its refund has no category and no buyer type and comes off nothing
+    assert hub(TS(1990, 1, 10)) == [("5", "200101", "B2B", "A", 100.0), (None, None, "B2C", None, None)]
+
+
+def test_last_login_and_offers_know_nothing_after_their_day(make_tables):
+    day = dt.date(2024, 1, 10)
+    t = make_tables(
+        customer=[(3, "c3", 9, 1.0, "MACHINERY")],
+        events=[(1, TS(2024, 1, 10, 8), 3, "signup", 1.0, "{}"), (2, TS(2024, 1, 30, 23), 3, "view", 1.0, "{}")],
+        lineitem=[(100, 10, 3, 1, 1.0, 30.0, 0.0, 0.0, "N", "F", TS(2001, 9, 20))])
+    p = AccountParams(events_yesterday=day, sales_yesterday=dt.date(2001, 8, 30))
+    (r,) = accounts.owner_last_login(t, p).collect()
+    assert (r.nip, r.max_log, r.ever_offer, r.accounts) == ("9", TS(2024, 1, 10, 8), 0, 1)
+    (r,) = accounts.owner_last_login(t, AccountParams(events_yesterday=day, sales_yesterday=dt.date(2001, 9, 20))).collect()
+    assert r.ever_offer == 1
+
+
+def test_head_sample_cuts(spark):
+    yearly = spark.createDataFrame([(s, y) for s in (2, 1, 3) for y in (2000, 1999)], "seller_id long, year int")
+    assert [tuple(r) for r in status.head_sample(yearly, 3).collect()] == [(1, 1999), (1, 2000), (2, 1999)]
+
+
 def test_rank_tie_gives_two_first_rows(spark):
     p = TopOwnerParams()
     hub = spark.createDataFrame(
