@@ -7,7 +7,8 @@ vectors of the node).  Every row of the table is then put into one leaf of each
 
 A query walks all trees through one priority queue.  A node's priority is the sum of the squared margins
 by which its path leaves the query's own side, a lower bound of the way to that cell, and the
-``PROBES`` leaves that come out first, of whichever trees, are its candidates.  The number of leaves does
+``PROBES`` filled leaves that come out first, of whichever trees, are its candidates (with the empty ones on
+the way; filled: by the sample).  The number of leaves does
 not depend on the input, so a fixed number of probes reads a fixed share of the rows.
 
 Rows and queries meet per leaf (sorted and streamed, in blocks, no group held whole); tasks keep the best
@@ -46,8 +47,8 @@ def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return good.select("id", F.transform(v, lambda x: x.cast("double") + F.lit(0.0)).alias("v")).distinct()
 
 
-def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per tree: directions and thresholds of the inner nodes, level by level."""
+def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per tree: directions and thresholds of the inner nodes, level by level, and which leaves the sample fills."""
     forest, rng = [], np.random.default_rng(seed)
     for _ in range(trees):
         w = np.zeros((2 ** depth - 1, sample.shape[1]), np.float32)
@@ -67,7 +68,7 @@ def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int = 7) -> lis
                 side = sample[rows] @ w[node]
                 b[node] = np.median(side) if len(rows) else 0
                 leaf[rows] = 2 * k + (side > b[node])
-        forest.append((w, b))
+        forest.append((w, b, np.isin(np.arange(2 ** depth), leaf)))
     return forest
 
 
@@ -80,10 +81,11 @@ def leaf_of(x: np.ndarray, w: np.ndarray, b: np.ndarray, depth: int) -> np.ndarr
 
 
 def probe(q: np.ndarray, forest, depth: int, probes: int) -> list[int]:
-    """Leaf numbers (tree * 2**depth + leaf) in the order in which the shared queue yields them."""
-    margins = [(w @ q - b).tolist() for w, b in forest]
-    queue, found = [(0.0, t, 0, 0) for t in range(len(forest))], []
-    while queue and len(found) < probes:
+    """Leaf numbers (tree * 2**depth + leaf) in the order in which the shared queue yields them, until
+    ``probes`` of them are leaves that the sample fills."""
+    margins = [(w @ q - b).tolist() for w, b, _ in forest]
+    queue, found, full = [(0.0, t, 0, 0) for t in range(len(forest))], [], 0
+    while queue and full < probes:
         far, t, level, k = heapq.heappop(queue)
         while level < depth:
             m = margins[t][2 ** level - 1 + k]
@@ -91,6 +93,7 @@ def probe(q: np.ndarray, forest, depth: int, probes: int) -> list[int]:
             heapq.heappush(queue, (far + m * m, t, level + 1, near ^ 1))
             level, k = level + 1, near
         found.append((t << depth) + k)
+        full += int(forest[t][2][k])
     return found
 
 
@@ -111,7 +114,7 @@ def _place(forest, depth: int, probes: int, queries: bool):
                     leaf = np.concatenate([np.array(x) for x in at])
                     row = np.repeat(np.arange(len(part)), [len(x) for x in at])
                 else:
-                    leaf = np.concatenate([(t << depth) + leaf_of(part, w, c, depth) for t, (w, c) in enumerate(forest)])
+                    leaf = np.concatenate([(t << depth) + leaf_of(part, w, c, depth) for t, (w, c, _) in enumerate(forest)])
                     row = np.tile(np.arange(len(part)), len(forest))
                 packed = [x.tobytes() for x in v[i:i + 512]]
                 for s in range(0, len(leaf), 8192):

@@ -224,10 +224,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """docs with one row of each component, the one with the smallest (id, hash of the text); all columns."""
-    row = F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"))
-    keyed = docs.withColumn("_row", row)
-    found = simhash_components(keyed, "_row", text_col, words, max_bits)
-    keep = found.where(F.col("_row").eqNullSafe(F.col("component_id"))).select(
-        F.col("_row")["i"].alias("_i"), F.col("_row")["h"].alias("_h")).distinct()
-    kept = keyed.join(keep, keyed["_row"]["i"].eqNullSafe(keep["_i"]) & (keyed["_row"]["h"] == keep["_h"]))
-    return kept.dropDuplicates(["_i", "_h"]).select(*docs.columns)
+    src = docs.select(F.struct("*").alias("row"), F.struct(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h")).alias("k"),
+                      F.col(text_col).alias("text"))
+    found = simhash_components(src, "k", "text", words, max_bits)
+    keep = found.where(F.col("k").eqNullSafe(F.col("component_id"))).select(F.col("k")["i"].alias("i"), F.col("k")["h"].alias("h")).distinct()
+    kept = src.select("row", F.col("k")["i"].alias("ki"), F.col("k")["h"].alias("kh"))
+    kept = kept.join(keep, kept["ki"].eqNullSafe(keep["i"]) & (kept["kh"] == keep["h"]))
+    return kept.dropDuplicates(["ki", "kh"]).select("row.*")

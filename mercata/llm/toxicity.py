@@ -174,5 +174,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The rows of docs that score below ``least``; all columns."""
-    scored = score(docs, fit(docs, labels, "toxic", id_col, text_col), text_col, "_toxicity")
-    return scored.where(F.col("_toxicity") < least).select(*docs.columns)
+    feature, weight, bias = fit(docs, labels, "toxic", id_col, text_col)
+
+    def run(batches):
+        maybe = np.zeros(1 << 20, bool)
+        maybe[feature & 0xFFFFF] = True
+        for b in batches:
+            yield b.filter(pa.array(score_texts(b.column(text_col), feature, weight, bias, maybe) < least))
+
+    return docs.mapInArrow(run, docs.schema)
