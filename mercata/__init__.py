@@ -6,7 +6,6 @@ sources    raw parquet tables and the canonical views built on them, CSV/parquet
 functions  column-level helpers (month keys, CASE ladders, rounding modes, safe ratios)
 operators  reusable DataFrame operators (scans, joins, aggregates, windows, reshapes, sets)
 plans      the composed jobs (segmentation, status change, accounts, ledger, top owners, follow-ups)
-streaming  nothing: the analyses are batch only (see its docstring)
 """
 
 from mercata.params import Params

@@ -15,7 +15,7 @@ def group_dropna(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(keys))
 
 
-def with_total(df: DataFrame, keys: Sequence[str], cat: str, label: str = TOTAL_LABEL) -> DataFrame:
+def with_total(df: DataFrame, cat: str, label: str = TOTAL_LABEL) -> DataFrame:
     """Attach a second copy of every row whose ``cat`` is known, labelled ``label``.
 
     Feeding the result to one ``groupBy(*keys, cat)`` aggregates the per-category grain and the
@@ -28,13 +28,6 @@ def with_total(df: DataFrame, keys: Sequence[str], cat: str, label: str = TOTAL_
          .otherwise(F.array(F.col(cat), F.lit(label)))))
 
 
-def positive_share(flag_col: str) -> Column:
-    """Share of TRUE among non-NULL values of a nullable boolean (``IS TRUE`` / count(col))."""
-    c = F.col(flag_col)
-    return F.try_divide(F.sum(F.when(c.eqNullSafe(True), 1).otherwise(0)).cast("double"),
-                        F.count(c).cast("double"))
-
-
 def count_periods_at_least(value: Column, limit) -> Column:
     """Number of rows (periods) of the group whose value reaches ``limit``."""
     return F.count_if(value >= F.lit(limit))

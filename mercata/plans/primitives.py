@@ -68,7 +68,7 @@ def _window_sales_by_meta(t: Tables) -> DataFrame:
 
 def grouping_total(t: Tables) -> DataFrame:
     """Monthly GMV per meta category and for all categories ('Total') in one aggregation."""
-    s = with_total(_window_sales_by_meta(t), ["day"], "new_meta")
+    s = with_total(_window_sales_by_meta(t), "new_meta")
     return s.groupBy(month_key("day").alias("month"), "new_meta").agg(
         F.sum("price").alias("gmv"), F.count(F.lit(1)).alias("lines"))
 

@@ -47,7 +47,7 @@ def monthly_offer_panel(t: Tables, p: SegmentationParams) -> DataFrame:
     o = o.withColumn("month_", month_number("day")).join(seg, ["seller_id", "month_"], "left")
     label = F.when(F.col("verified"), decode(F.col("segment"), SEGMENT_CODES))
     o = o.withColumn("seller_segment", label)
-    daily = with_total(o, ["day", "seller_id", "seller_segment"], "new_meta", TOTAL) \
+    daily = with_total(o, "new_meta", TOTAL) \
         .groupBy("day", "seller_id", "new_meta", "seller_segment").agg(F.sum("offers").alias("offers"))
     return daily.groupBy(month_key("day").alias("year_month"), "seller_id", "new_meta", "seller_segment").agg(
         F.round(F.avg("offers"), 0).alias("offers"), F.min("day").alias("min_date"))
@@ -61,7 +61,7 @@ def monthly_sales_panel(t: Tables, p: SegmentationParams) -> DataFrame:
         F.sum("price").alias("GMV"), F.count("offer_id").alias("count_deals"))
     tree = V.category_tree(t).select("ca_id_leaf", "new_meta")
     s = s.join(tree, s.category_id == tree.ca_id_leaf, "left")
-    s = with_total(s, ["seller_id"], "new_meta", TOTAL)
+    s = with_total(s, "new_meta", TOTAL)
     return s.groupBy("year_month", "seller_id", "new_meta").agg(
         F.sum("GMV").alias("GMV"), F.sum("count_deals").alias("count_deals"))
 

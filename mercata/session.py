@@ -24,7 +24,8 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     On a cluster, master, executor sizing, ``spark.sql.shuffle.partitions`` (or AQE's
     ``initialPartitionNum``) and ``spark.checkpoint.dir`` come from spark-submit; only unset
     settings are filled in.  An explicitly local session also gets the UI switched off and its
-    checkpoint files cleaned when no longer referenced.
+    checkpoint files cleaned when no longer referenced (on a cluster, set
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` beside the folder).
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -40,12 +41,13 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
             spark.conf.set(key, value)
     if shuffle_partitions:
         spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only a bare local session gets a scratch one."""
+    """Use the cluster's ``spark.checkpoint.dir``; only a bare local session gets a scratch one.
+
+    Called where a checkpoint is taken; jobs without one need no folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     try:
         sc = spark.sparkContext

@@ -24,6 +24,17 @@ def test_every_query_has_oracle_sql():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_building_a_query_starts_no_job(spark):
+    sc = spark.sparkContext
+    sc.setJobGroup("plan-only", "plans only")
+    try:
+        for key in catalog.REGISTRY:
+            entry.queries()[key](spark, SF)
+        assert list(sc.statusTracker().getJobIdsForGroup("plan-only")) == []
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()

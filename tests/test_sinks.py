@@ -25,6 +25,16 @@ def test_parquet_and_csv_round_trip(spark, tmp_path):
     assert sorted((r.nip, r.month, r.offers, r.gmv) for r in csv.collect()) == expected
 
 
+def test_partitioned_overwrite_leaves_the_session_alone(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "v int, month string")
+    write_parquet(df, path, partition_by=["month"])
+    write_parquet(df.where("month = 'b'").withColumn("v", df.v + 10), path, partition_by=["month"])
+    assert sorted(tuple(r) for r in spark.read.parquet(path).select("v", "month").collect()) == [(1, "a"), (12, "b")]
+    df.where("month = 'b'").write.mode("overwrite").partitionBy("month").parquet(path)  # a plain overwrite replaces all
+    assert [tuple(r) for r in spark.read.parquet(path).select("v", "month").collect()] == [(2, "b")]
+
+
 def test_csv_source_parses_dates(spark, tmp_path):
     p = tmp_path / "in.csv"
     p.write_text("seller_id,last_date_account_status\n1,2021-03-04\n2,\n")
