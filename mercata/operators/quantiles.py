@@ -5,11 +5,10 @@ buffer, and a window over a group runs the group in one task; a group holding a
 the rows would sit on a single executor.  Here:
 
 1. rows are counted per (group, value), so any number of ties is one row;
-2. a bounded sketch (``percentile_approx`` over the distinct values) gives each group ``BUCKETS`` - 1 cut
-   points; every distinct value gets the number of cut points below it as its bucket.  The
-   sketch only balances the buckets, the result does not depend on its accuracy;
-3. a running sum over the row counts of a group's buckets (at most BUCKETS rows) gives each bucket's offset,
-   and only the buckets that hold ranks floor(p) and ceil(p), p = (n - 1) * q, are kept;
+2. every distinct value falls into a bucket that is a monotone function of the value alone (sign and
+   log scale, ``PER_OCTAVE`` buckets for a factor of two), so a group spreads over many tasks;
+3. a running sum over the row counts of a group's buckets (a few ten thousand at most) gives each bucket's
+   offset, and only the buckets that hold ranks floor(p) and ceil(p), p = (n - 1) * q, are kept;
 4. within those a running sum of counts in value order gives each value its range of ranks, and the
    two values are interpolated.
 
@@ -24,28 +23,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 128
+PER_OCTAVE = 1024
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Mapping[str, float]) -> DataFrame:
     """One row per group with at least one non-NULL value: ``keys..., <name> for name in qs``."""
     keys = list(keys)
-    counted = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")) \
-        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    marks = [i / BUCKETS for i in range(1, BUCKETS)]
-    groups = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"), F.percentile_approx("_v", marks, 1000).alias("_cuts"))
-
-    def on_keys(left: DataFrame, right: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-        """Null-safe inner join on the keys (and ``extra``), right key columns dropped."""
-        cols = [*keys, *extra]
-        right = right.select(*[F.col(k).alias(f"_r_{k}") for k in cols], *[c for c in right.columns if c not in cols])
-        return left.join(right, [left[k].eqNullSafe(right[f"_r_{k}"]) for k in cols]).drop(*[f"_r_{k}" for k in cols])
-
-    below = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    values = on_keys(counted, groups).select(*keys, "_v", "_c", "_n", below.alias("_b"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = values.groupBy(*keys, "_b").agg(F.sum("_c").alias("_in"), F.max("_n").alias("_n")) \
-        .withColumn("_offset", F.coalesce(F.sum("_in").over(before), F.lit(0)))
+    v = F.col("_v")
+    bucket = (F.signum(v) * F.floor(F.log2(F.abs(v) + 1) * PER_OCTAVE)).cast("long")
+    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")) \
+        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_b", bucket)
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = values.groupBy(*keys, "_b").agg(F.sum("_c").alias("_in")) \
+        .withColumn("_n", F.sum("_in").over(group)).withColumn("_offset", F.coalesce(F.sum("_in").over(before), F.lit(0)))
     wanted = F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("_n") - 1) * F.lit(float(q))).alias("p"))
                        for name, q in qs.items()])
 
@@ -56,7 +47,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Mapping[
                                              | holds(F.col("_offset"), F.col("_in"), F.ceil(w["p"])))) \
         .where(F.size("_w") > 0).select(*keys, "_b", "_offset", "_w")
     inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = on_keys(values.select(*keys, "_b", "_v", "_c"), held, ["_b"]) \
+    right = held.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_b").alias("_r_b"), "_offset", "_w")
+    ranked = values.join(right, [values[k].eqNullSafe(right[f"_r_{k}"]) for k in keys] + [values["_b"] == right["_r_b"]]) \
         .withColumn("_first", F.col("_offset") + F.coalesce(F.sum("_c").over(inside), F.lit(0)))
     hit = ranked.select(*keys, "_v", "_c", "_first", F.explode("_w").alias("_w")).select(
         *keys, F.col("_w.name").alias("_name"), F.col("_w.p").alias("_p"),

@@ -344,7 +344,7 @@ assigned AS (
     SELECT p.* REPLACE (round_even(p.avg_GMV, 0) AS avg_GMV, round_even(p.avg_count_deals, 0) AS avg_count_deals,
                         round_even(p.avg_count_offers, 0) AS avg_count_offers),
            CASE {_LADDER} ELSE 'lack' END AS new_segment,
-           (SELECT nullif(count(DISTINCT o.new_meta), -1) FROM filled AS o
+           (SELECT nullif(count(DISTINCT o.new_meta), 0) FROM filled AS o
             WHERE o.seller_id = p.seller_id AND NOT o.is_verified AND o.new_meta IS DISTINCT FROM 'Total') AS category_count
     FROM filled AS p LEFT JOIN cut ON cut.new_meta = p.new_meta
     WHERE NOT p.is_verified)

@@ -10,7 +10,7 @@ NULL status counts as unverified, group keys with NULL are dropped, ``round(0)``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercata.functions.cases import case_ladder, decode
@@ -135,15 +135,17 @@ def verified_owner_rollup(full: DataFrame) -> DataFrame:
     )
 
 
-def segment_thresholds(rollup: DataFrame, p: SegmentationParams) -> DataFrame:
+def segment_thresholds(rollup: DataFrame, p: SegmentationParams, every_category: bool = True) -> DataFrame:
     """Category x segment matrix: lower quartile of owner GMV among owners whose deal count
-    reaches the segment's limit (exact, linearly interpolated quantile; empty cell = NULL)."""
+    reaches the segment's limit (exact, linearly interpolated quantile; empty cell = NULL).
+    Without ``every_category``, categories with empty cells only are left out."""
     limit = decode(F.col("seller_segment"), p.limits)
     cells = rollup.where(F.col("avg_count_deals") >= limit)
     q = exact_quantile(cells, ["new_meta", "seller_segment"], "avg_GMV", p.quantile, "q")
-    categories = rollup.select("new_meta").distinct()
     matrix = q.groupBy("new_meta").pivot("seller_segment", list(SEGMENTS)).agg(F.first("q"))
-    return categories.join(matrix, "new_meta", "left")
+    if not every_category:
+        return matrix
+    return rollup.select("new_meta").distinct().join(matrix, "new_meta", "left")
 
 
 def thresholds_long(matrix: DataFrame) -> DataFrame:
@@ -159,20 +161,18 @@ def _ladder(p: SegmentationParams):
 
 def assign_segment(t: Tables, p: SegmentationParams) -> DataFrame:
     """New segment of unverified sellers (NULL status counts as unverified) from the thresholds."""
-    # feeds three branches (thresholds, unverified rows, category counts)
-    profile = seller_profile(t, p)
-    full = profile_with_total(profile)
-    thresholds = segment_thresholds(verified_owner_rollup(full), p)
+    full = profile_with_total(seller_profile(t, p))
+    thresholds = segment_thresholds(verified_owner_rollup(full), p, every_category=False)
     unverified = full.where(~_is_verified() | F.col("actual_account_status").isNull())
     j = unverified.join(thresholds, "new_meta", "left").withColumn("new_segment", _ladder(p))
-    categories = profile.where(_not_total() & (~_is_verified() | F.col("actual_account_status").isNull())) \
-        .groupBy("seller_id").agg(F.count_distinct("new_meta").alias("category_count"))
-    out = j.select(
+    # a seller's rows are its categories by segment, a bounded window
+    names = F.size(F.collect_set(F.when(_not_total(), F.col("new_meta"))).over(Window.partitionBy("seller_id")))
+    j = j.withColumn("category_count", F.when(names > 0, names.cast("long")))
+    return j.select(
         "seller_id", "actual_account_status", "last_date_account_status", "company_history", "new_meta",
         "maincat", "sum_GMV", "min_date",
         half_even("avg_GMV", 0).alias("avg_GMV"),
         half_even("avg_count_deals", 0).alias("avg_count_deals"),
         half_even("avg_count_offers", 0).alias("avg_count_offers"),
-        "yesterday", "count_month_sales", "count_month_offers", "new_segment",
+        "yesterday", "count_month_sales", "count_month_offers", "new_segment", "category_count",
     )
-    return out.join(categories, "seller_id", "left")
