@@ -47,6 +47,13 @@ def text_blocks(column: pa.Array, size: int = BLOCK_BYTES):
         i = j
 
 
+def small_batches(batches, rows: int = 512):
+    """The same rows in batches of at most ``rows``, so that a task holds little at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def lut(chars: bytes) -> np.ndarray:
     out = np.zeros(256, bool)
     out[list(chars)] = True
