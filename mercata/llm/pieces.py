@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercata.llm.common import checkpoint
+from mercata.llm.common import checkpoint, small_batches
 
 SPACE = "▁"
 FREQUENT, LEAST_COUNT, LONGEST = 1 << 18, 4, 32
@@ -241,23 +241,36 @@ def frequent_table(texts: DataFrame, text_col: str, model: Model, limit: int = F
     return paths.column("segment").to_pylist(), paths.column("path").combine_chunks()
 
 
-def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    """docs plus ``out_col``, the piece ids of each text."""
+def shown_text(ids: list[int], shown: list[bytes]) -> str:
+    """The text of piece ids."""
+    raw = b"".join([shown[i] for i in ids])
+    return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+
+
+def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "ids",
+           check_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
+    """docs plus ``out_col`` (in place of a column of that name), the piece ids of each text.
+
+    ``check_col`` adds whether decoding the ids gives the text back (null: true); ``keep`` names the columns
+    of docs to return, all if None.
+    """
+    docs = docs.drop(out_col, *([check_col] if check_col else []))
+    names = docs.columns if keep is None else keep
     model = Model(model_path)
     segments, paths = frequent_table(docs, text_col, model)
     shared = docs.sparkSession.sparkContext.broadcast((model, segments, np.asarray(paths.flatten()), np.asarray(paths.offsets)))
-    schema = T.StructType([*docs.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*(docs.schema[n] for n in names), T.StructField(out_col, T.ArrayType(T.IntegerType())),
+                           *([T.StructField(check_col, T.BooleanType())] if check_col else [])])
 
     def run(batches):
         model, segments, flat, at = shared.value
-        flat, at = flat.tolist(), at.tolist()
         known = {}
-        for i, s in enumerate(segments):
-            path = flat[at[i]:at[i + 1]]
-            known[s] = path if min(path) >= 0 else [x for p in path for x in ([p] if p >= 0 else model.spell(s[-1 - p]))]
+        for s, i, j in zip(segments, at[:-1].tolist(), at[1:].tolist()):
+            path = flat[i:j].tolist()
+            known[s] = tuple(path if min(path) >= 0 else [x for p in path for x in ([p] if p >= 0 else model.spell(s[-1 - p]))])
         find, spelt, rare = re.compile(model.cut).findall, model.spell(SPACE), {}
-        for b in batches:
-            column, done, offsets, null = b.column(text_col), [], [0], []
+        for b in small_batches(batches):
+            column, done, offsets, null, same = b.column(text_col), [], [0], [], []
             total = 0
             for text in column.to_pylist():
                 null.append(text is None)
@@ -270,34 +283,37 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
                             path = known.get(s) or rare.get(s)
                             if path is None:
                                 path = model.path(s)
-                                if len(rare) < 200_000 and len(s) <= LONGEST:
+                                if len(rare) < 100_000 and len(s) <= LONGEST:
                                     rare[s] = path
                             ids += path
+                if check_col:
+                    same.append(shown_text(ids, model.shown) == (text or ""))
                 done.append(np.array(ids, np.int32))
                 total += len(ids)
                 offsets.append(total)
             values = pa.array(np.concatenate(done) if done else np.zeros(0, np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), values,
                                              mask=pa.array(np.array(null, bool)) if any(null) else None)
-            yield pa.RecordBatch.from_arrays([*b.columns, lists], names=[*b.schema.names, out_col])
+            checks = [pa.array(same, pa.bool_())] if check_col else []
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), lists, *checks], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """rows plus ``out_col``, the text of the piece ids."""
+    """rows plus ``out_col`` (in place of a column of that name), the text of the piece ids."""
+    rows = rows.drop(out_col)
     shown = Model(model_path).shown
     schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.StringType())])
 
     def run(batches):
-        for b in batches:
+        for b in small_batches(batches):
             out = []
             for ids in b.column(ids_col):
                 if not ids.is_valid:
                     out.append(None)
                     continue
-                raw = b"".join([shown[i] for i in ids.values.to_numpy().tolist()])
-                out.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
+                out.append(shown_text(ids.values.to_numpy().tolist(), shown))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, out_col])
 
     return rows.mapInArrow(run, schema)
