@@ -33,6 +33,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +45,9 @@ from mercata.llm.common import checkpoint, small_batches
 
 SPACE = "▁"
 FREQUENT, LEAST_COUNT, LONGEST = 1 << 18, 4, 32
+INF = float("inf")
 #: Segments: spaces, then a run of letters or a run of others; or spaces, then all up to the next space.
-FINE = rf"{SPACE}*(?:[^\W\d_¹²³]+|(?:(?![^\W\d_¹²³])[^{SPACE}])+)|{SPACE}+"
+FINE = rf"{SPACE}*(?:[^\W\d_¹²³]+|(?:[^\w{SPACE}]|[\d_¹²³])+)|{SPACE}+"
 COARSE = rf"{SPACE}*[^{SPACE}]+|{SPACE}+"
 
 
@@ -71,6 +73,7 @@ class Model:
             else:
                 self.piece[name] = (i, sp.get_score(i))
                 self.shown.append(name.replace(SPACE, " ").encode("utf-8"))
+        self.cost = {p: -s for p, (_, s) in self.piece.items()}
         self.longest = max(map(len, self.piece))
         self.unknown = min(s for _, s in self.piece.values()) - 10
         fine = re.compile(FINE)
@@ -84,7 +87,26 @@ class Model:
         return self.merge(segment) if self.merges else self.viterbi(segment)
 
     def merge(self, segment: str) -> list[int]:
-        """Best-scored merges first, leftmost on ties; a queue of pairs over a linked list of pieces."""
+        """Best-scored merges first, leftmost on ties."""
+        if len(segment) > 64:
+            return self.merge_long(segment)
+        cost, parts = self.cost.get, list(segment)
+        pairs = [cost(a + b, INF) for a, b in zip(parts, parts[1:])]
+        while pairs and (best := min(pairs)) < INF:
+            i = pairs.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = cost(parts[i - 1] + parts[i], INF)
+            if i < len(pairs):
+                pairs[i] = cost(parts[i] + parts[i + 1], INF)
+        out = []
+        for p in parts:
+            out += [self.piece[p][0]] if p in self.piece else self.spell(p)
+        return out
+
+    def merge_long(self, segment: str) -> list[int]:
+        """The same by a queue of pairs over a linked list of pieces."""
         n, piece = len(segment), self.piece
         after, before, end, queue = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1)), []
 
@@ -241,6 +263,24 @@ def frequent_table(texts: DataFrame, text_col: str, model: Model, limit: int = F
     return paths.column("segment").to_pylist(), paths.column("path").combine_chunks()
 
 
+class Paths:
+    """Ids of numbered segments, as one array and its offsets."""
+
+    def __init__(self, paths: list[tuple[int, ...]], shown: list[bytes]):
+        self.raw = [b"".join([shown[x] for x in p]) for p in paths]
+        self.size = np.array([len(p) for p in paths], np.int64)
+        self.first = np.concatenate(([0], np.cumsum(self.size)))[:-1]
+        self.flat = np.array([x for p in paths for x in p], np.int32)
+
+    def gather(self, numbers: np.ndarray, extra: "Paths") -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the segments in order, end of each in them, from 0); numbers beyond are those of ``extra``."""
+        size = np.concatenate((self.size, extra.size))[numbers]
+        first = np.concatenate((self.first, extra.first + len(self.flat)))[numbers]
+        ends = np.concatenate(([0], np.cumsum(size)))
+        place = np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)
+        return np.concatenate((self.flat, extra.flat))[place], ends
+
+
 def shown_text(ids: list[int], shown: list[bytes]) -> str:
     """The text of piece ids."""
     raw = b"".join([shown[i] for i in ids])
@@ -264,38 +304,51 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
 
     def run(batches):
         model, segments, flat, at = shared.value
-        known = {}
-        for s, i, j in zip(segments, at[:-1].tolist(), at[1:].tolist()):
-            path = flat[i:j].tolist()
-            known[s] = tuple(path if min(path) >= 0 else [x for p in path for x in ([p] if p >= 0 else model.spell(s[-1 - p]))])
-        find, spelt, rare = re.compile(model.cut).findall, model.spell(SPACE), {}
+        flat, at = flat.tolist(), at.tolist()
+        paths = [tuple(flat[i:j]) for i, j in zip(at[:-1], at[1:])]
+        paths = [p if min(p) >= 0 else tuple(x for y in p for x in ([y] if y >= 0 else model.spell(s[-1 - y]))) for s, p in zip(segments, paths)]
+        known = {s: i for i, s in enumerate(segments)}
+        known[""] = len(paths)  # stands for U+2581 of the text itself
+        paths.append(tuple(model.spell(SPACE)))
+        common = Paths(paths, model.shown)
+        find, rare = re.compile(model.cut).findall, {}
         for b in small_batches(batches):
-            column, done, offsets, null, same = b.column(text_col), [], [0], [], []
-            total = 0
-            for text in column.to_pylist():
-                null.append(text is None)
-                ids = []
+            texts, segs, cut = b.column(text_col).to_pylist(), [], [0]
+            for text in texts:
                 if text:
                     for k, part in enumerate(_parts(text)):
                         if k:
-                            ids += spelt
-                        for s in find(part):
-                            path = known.get(s) or rare.get(s)
-                            if path is None:
-                                path = model.path(s)
-                                if len(rare) < 100_000 and len(s) <= LONGEST:
-                                    rare[s] = path
-                            ids += path
-                if check_col:
-                    same.append(shown_text(ids, model.shown) == (text or ""))
-                done.append(np.array(ids, np.int32))
-                total += len(ids)
-                offsets.append(total)
-            values = pa.array(np.concatenate(done) if done else np.zeros(0, np.int32))
-            lists = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32)), values,
-                                             mask=pa.array(np.array(null, bool)) if any(null) else None)
-            checks = [pa.array(same, pa.bool_())] if check_col else []
+                            segs.append("")
+                        segs += find(part)
+                cut.append(len(segs))
+            at = np.array(list(map(known.get, segs, repeat(-1))), np.int64)
+            here, extra = {}, []
+            for i in np.flatnonzero(at < 0).tolist():
+                s = segs[i]
+                n = here.get(s)
+                if n is None:
+                    n = here[s] = len(paths) + len(extra)
+                    path = rare.get(s)
+                    if path is None:
+                        path = tuple(model.path(s))
+                        if len(s) <= LONGEST:
+                            rare[s] = path
+                    extra.append(path)
+                at[i] = n
+            more = Paths(extra, model.shown)
+            ids, ends = common.gather(at, more)
+            offsets = ends[cut]
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids),
+                                             mask=pa.array([t is None for t in texts]) if None in texts else None)
+            checks = []
+            if check_col:
+                raw = common.raw + more.raw
+                which = at.tolist()
+                shown = [b"".join([raw[x] for x in which[i:j]])[1:] for i, j in zip(cut[:-1], cut[1:])]
+                checks = [pa.array([s == (t or "").encode() for s, t in zip(shown, texts)], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), lists, *checks], names=schema.names)
+            if len(rare) > 200_000:
+                rare = {}
 
     return docs.mapInArrow(run, schema)
 
