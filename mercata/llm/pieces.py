@@ -310,7 +310,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
         known = {s: i for i, s in enumerate(segments)}
         known[""] = len(paths)  # stands for U+2581 of the text itself
         paths.append(tuple(model.spell(SPACE)))
-        common = Paths(paths, model.shown)
+        common, base = Paths(paths, model.shown), len(paths)
+        del paths, flat, at, segments
         find, rare = re.compile(model.cut).findall, {}
         for b in small_batches(batches):
             texts, segs, cut = b.column(text_col).to_pylist(), [], [0]
@@ -327,7 +328,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
                 s = segs[i]
                 n = here.get(s)
                 if n is None:
-                    n = here[s] = len(paths) + len(extra)
+                    n = here[s] = base + len(extra)
                     path = rare.get(s)
                     if path is None:
                         path = tuple(model.path(s))
@@ -347,7 +348,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", out_col: st
                 shown = [b"".join([raw[x] for x in which[i:j]])[1:] for i, j in zip(cut[:-1], cut[1:])]
                 checks = [pa.array([s == (t or "").encode() for s, t in zip(shown, texts)], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), lists, *checks], names=schema.names)
-            if len(rare) > 200_000:
+            if len(rare) > 150_000:
                 rare = {}
 
     return docs.mapInArrow(run, schema)
