@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mercata.llm import ann, chat, decontaminate, fixity, langid, passages, pieces, quality, simhash, toxicity
+from mercata.llm import alignment, ann, chat, decontaminate, fixity, langid, passages, pieces, quality, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -132,3 +132,14 @@ FROM placed JOIN hurt USING (file)
 def op8_quality(spark, sf_dir):
     """Co-trained quality score of every document."""
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op11_alignment(spark, sf_dir):
+    """Groups and links of the tokens of every document under two tokenizers."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    files = alignment.default_files()
+    counts = alignment.link_counts(docs, files)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    rows = alignment.aligned(docs, files, counts).withColumn("groups_sha256", digest).drop("groups")
+    return alignment.with_counts(rows, counts).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
