@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mercata.llm import alignment, ann, chat, decontaminate, fixity, langid, passages, pieces, quality, simhash, toxicity
+from mercata.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,8 +139,8 @@ def op8_quality(spark, sf_dir):
 def op11_alignment(spark, sf_dir):
     """Groups and links of the tokens of every document under two tokenizers."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    files = alignment.default_files()
-    counts = alignment.link_counts(docs, files)
     digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    rows = alignment.aligned(docs, files, counts).withColumn("groups_sha256", digest).drop("groups")
-    return alignment.with_counts(rows, counts).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    rows = alignment.aligned(docs, alignment.default_files()).withColumn("groups_sha256", digest).drop("groups")
+    rows = written(rows, "alignment")
+    out = alignment.with_counts(rows, alignment.link_counts(rows))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

@@ -6,10 +6,11 @@ from collections import Counter
 import pytest
 
 from mercata.llm import alignment, queries
+from mercata.llm.common import written
 
 SF = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "  ", "a ", " a", "\n", "a\n b\n\nc  d\t e", "don't  'll", "</s> <s> <unk> <0x0A> <|endoftext|>", "x ▁ y", "▁", "日本語 テキスト、 。", "👩‍👩‍👧 family",
-       "ü ñ é ﬁ", "  a b   c", "\x00 z", "a" * 500, "ab " * 700, "१२३ हिन्दी", "1234567 89", "\r\n \r\n", "᠎ b ﻿ c", "a ​ b"]
+       "ü ñ é ﬁ", "  a b   c", "\x00 z", "a" * 500, "ab " * 700, "१२३ हिन्दी", "1234567 89", "\r\n \r\n", "it's 'tis o'clock's (a)b-c_d `e` f\ng\n\nh\n i", "naïve œuvre, Straße! ő.a ’s x’s", "-a- --b 1a a1 a.b.c \tq", "ab\nÉcole\nőr", "᠎ b ﻿ c", "a ​ b"]
 
 
 def plain(texts, encoders):
@@ -19,7 +20,7 @@ def plain(texts, encoders):
         if not text:
             out.append(None)
             continue
-        a, b = encoders.a.encode(" " + text, add_special_tokens=False).ids, encoders.b.encode(text)
+        a, b = encoders.a.encode(" " + text, add_special_tokens=False).ids, encoders.whole.encode(text)
         if not encoders.gives_back(" " + text, a, b):
             out.append(None)
             continue
@@ -56,7 +57,11 @@ def expected(ids, texts, encoders):
 
 @pytest.fixture(scope="module")
 def encoders():
-    return alignment.Encoders(*alignment.default_files())
+    import sentencepiece
+
+    out = alignment.Encoders(*alignment.default_files())
+    out.whole = sentencepiece.SentencePieceProcessor(model_proto=alignment.default_files()[1])  # as the file says
+    return out
 
 
 def test_query_equals_whole_text_encoding(spark, encoders):
@@ -75,17 +80,17 @@ def test_counts_odd_texts_repeats_and_clashing_names(spark, encoders, table):
     some = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000").limit(25).collect()]
     texts = ODD + some + some[:3]
     ids = [None if i == 4 else i // 2 for i in range(len(texts))]  # null and repeated ids
-    docs = spark.createDataFrame(list(zip(ids, texts, range(len(texts)))), "doc_id long, text string, code long").repartition(3)
+    docs = spark.createDataFrame(list(zip(ids, texts, range(len(texts)))), "doc_id long, text string, _row long").repartition(3)
     files = alignment.default_files()
-    counts = alignment.link_counts(docs, files)
-    rows = alignment.aligned(docs, files, counts, keep=["doc_id"], table=table)
-    rows = alignment.with_counts(rows.withColumn("sha", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups"), counts)
+    rows = alignment.aligned(docs, files, keep=["doc_id"])
+    rows = written(rows.withColumn("sha", F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))).drop("groups"), "test")
+    rows = alignment.with_counts(rows, alignment.link_counts(rows), table)
     got = rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "sha").collect()
     assert sorted((tuple(r) for r in got), key=str) == expected(ids, texts, encoders)
-    kept = alignment.aligned(docs, files, counts)  # other columns stay, clash or not with inner names
-    assert kept.columns[:2] == ["doc_id", "code"] and kept.count() == len(texts)
+    kept = alignment.aligned(docs, files)  # other columns stay, clash or not with inner names
+    assert kept.columns[:2] == ["doc_id", "_row"] and kept.count() == len(texts)
     with pytest.raises(ValueError):
-        alignment.aligned(docs.withColumn("groups", F.lit(1)), files, counts)
+        alignment.aligned(docs.withColumn("groups", F.lit(1)), files)
 
 
 def test_memo_and_portions_start_over(spark, encoders, monkeypatch):
@@ -94,6 +99,7 @@ def test_memo_and_portions_start_over(spark, encoders, monkeypatch):
     monkeypatch.setattr(alignment, "PORTION", 20)
     monkeypatch.setattr(alignment, "HELD", 5)
     assert [s for p in encoders.stretches(texts[0]) for s in p] == ["" + s for s in __import__("re").findall(alignment.STRETCH, " " + texts[0])]
+    monkeypatch.setattr(alignment, "BLOCK", 3)
     memo = alignment.Memo(encoders)
     at, ends = memo.numbers(texts)
     sizes = memo.per_text(memo.sizes, at, ends)
@@ -102,7 +108,5 @@ def test_memo_and_portions_start_over(spark, encoders, monkeypatch):
 
 
 def test_empty_table(spark):
-    docs = spark.createDataFrame([], "doc_id long, text string")
-    files = alignment.default_files()
-    counts = alignment.link_counts(docs, files)
-    assert alignment.with_counts(alignment.aligned(docs, files, counts), counts).count() == 0
+    rows = alignment.aligned(spark.createDataFrame([], "doc_id long, text string"), alignment.default_files())
+    assert alignment.with_counts(rows, alignment.link_counts(rows)).count() == 0
