@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mercata.llm import alignment, ann, chat, decontaminate, fixity, langid, passages, pieces, quality, simhash, toxicity
+from mercata.llm import alignment, ann, chat, decontaminate, fixity, langid, manifest, passages, pieces, quality, simhash, toxicity
 from mercata.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,3 +144,64 @@ def op11_alignment(spark, sf_dir):
     rows = written(rows, "alignment")
     out = alignment.with_counts(rows, alignment.link_counts(rows))
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@register
+def op13_manifest(spark, sf_dir):
+    """Merkle manifest of all documents, every proof, and an audit after known tampering."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "n_chars", "text")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    hurt = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    made = manifest.manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id",
+                             now={"text": F.when(hurt, lower).otherwise(F.col("text"))})
+    return manifest.audit(made)
+
+
+ORACLE["op13_manifest"] = r"""
+WITH RECURSIVE
+said AS (
+  SELECT doc_id, lang, text, concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+           coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head
+  FROM documents),
+hashed AS (
+  SELECT doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+         sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS hurt,
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+           lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)) AS crc
+  FROM said),
+leaves AS (
+  SELECT *, CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN hurt ELSE leaf END AS now,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n
+  FROM hashed),
+node AS (
+  SELECT lang, 0 AS level, pos, n, leaf AS h FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY lang, level, pos // 8, n),
+sub AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, pos, n, subroot AS h FROM sub
+  UNION ALL
+  SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos)) FROM upper WHERE n > 1 GROUP BY level, pos // 8, n),
+beside AS (
+  SELECT *, coalesce(string_agg(h, '') OVER (PARTITION BY lang, level, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (PARTITION BY lang, level, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM node WHERE n > 1),
+upper_beside AS (
+  SELECT *, coalesce(string_agg(h, '') OVER (PARTITION BY level, pos // 8 ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+         coalesce(string_agg(h, '') OVER (PARTITION BY level, pos // 8 ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM upper WHERE n > 1),
+walk AS (
+  SELECT doc_id, lang, leaf, pos AS own, 0 AS level, pos, n, now AS h, '' AS proof FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.leaf, w.own, w.level + 1, w.pos // 8, (w.n + 7) // 8, sha256(b.l || w.h || b.r), w.proof || b.l || b.r
+  FROM walk w JOIN beside b ON b.lang IS NOT DISTINCT FROM w.lang AND b.level = w.level AND b.pos = w.pos WHERE w.n > 1),
+walk_on AS (
+  SELECT w.doc_id, w.leaf, w.own, s.subroot, 0 AS level, s.pos, s.n, w.h, w.proof
+  FROM walk w JOIN sub s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.n = 1
+  UNION ALL
+  SELECT w.doc_id, w.leaf, w.own, w.subroot, w.level + 1, w.pos // 8, (w.n + 7) // 8, sha256(b.l || w.h || b.r), w.proof || b.l || b.r
+  FROM walk_on w JOIN upper_beside b ON b.level = w.level AND b.pos = w.pos WHERE w.n > 1)
+SELECT doc_id, leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, w.h AS folded_root, w.h = u.h AS verified
+FROM walk_on w JOIN upper u ON u.n = 1 WHERE w.n = 1
+"""
