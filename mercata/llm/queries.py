@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mercata.llm import alignment, ann, chat, decontaminate, fixity, langid, manifest, passages, pieces, quality, simhash, toxicity
+from mercata.llm import alignment, ann, chat, decontaminate, fixity, langid, manifest, passages, pieces, quality, simhash, toxicity, vafile
 from mercata.llm.common import written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -205,3 +205,21 @@ walk_on AS (
 SELECT doc_id, leaf, subroot, u.h AS root, sha256(proof) AS proof_sha256, w.h AS folded_root, w.h = u.h AS verified
 FROM walk_on w JOIN upper u ON u.n = 1 WHERE w.n = 1
 """
+
+
+@register
+def op12_vafile(spark, sf_dir):
+    """5 highest integer inner products of every vector whose id is divisible by 50."""
+    return vafile.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
+
+
+ORACLE["op12_vafile"] = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM pair)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
