@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercata.functions.cases import any_flag, decode, flag
+from mercata.functions.dates import month_key
 from mercata.functions.numeric import round_half_up
-from mercata.operators import joins, scans
+from mercata.operators import joins, keysets, scans
 from mercata.operators.aggregates import counted, ordered_list
 from mercata.params import SEGMENTS, AccountParams
 from mercata.sources import views as V
@@ -124,15 +125,25 @@ def active_owner_count(flags: DataFrame) -> DataFrame:
     return flags.where(F.col("active_yesterday") == 1).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def owner_last_login(t: Tables, p: AccountParams) -> DataFrame:
+def offer_key_sets(t: Tables, p: AccountParams) -> DataFrame:
+    """Sellers with an offer, by month up to yesterday, as mergeable bitmaps."""
+    return keysets.monthly_key_sets(V.offers_total(t, until=p.sales_yesterday), "seller_id", month_key("day"))
+
+
+def owner_last_login(t: Tables, p: AccountParams, offer_sets: DataFrame | None = None) -> DataFrame:
     """Accounts verified yesterday (no test accounts) per owner and 'ever had an offer' up to yesterday:
-    last successful login up to yesterday and number of accounts."""
+    last successful login up to yesterday and number of accounts.
+
+    With ``offer_sets`` (``offer_key_sets``, kept by month) the offers of all history are not read."""
     v = scans.snapshot(V.verified_accounts(t), "day", p.events_yesterday).select("account_id")
     v = _not_test(v, t, "account_id")
     v = v.join(V.owner_map(t).select(F.col("ud_us_id").alias("account_id"), "nip"), "account_id", "left")
     v = v.join(V.last_logins(t, p.events_yesterday), "account_id", "left")
-    ever = scans.distinct_keys(V.offers_total(t, until=p.sales_yesterday), "seller_id")
-    v = joins.existence_flag(v, ever, "account_id", "seller_id", name="ever_offer")
+    if offer_sets is not None:
+        v = keysets.existence_flag(v, offer_sets, "account_id", "ever_offer")
+    else:
+        ever = scans.distinct_keys(V.offers_total(t, until=p.sales_yesterday), "seller_id")
+        v = joins.existence_flag(v, ever, "account_id", "seller_id", name="ever_offer")
     return v.groupBy("nip", "ever_offer").agg(
         F.max("success_login_timestamp").alias("max_log"),
         F.count("account_id").alias("accounts"))

@@ -258,6 +258,12 @@ def _last_login(spark, t):
     return acct.owner_last_login(t, P.acct)
 
 
+@register("owner_last_login_by_key_sets")
+def _last_login_sets(spark, t):
+    """The same report with the sellers of all history as monthly bitmaps."""
+    return acct.owner_last_login(t, P.acct, acct.offer_key_sets(t, P.acct))
+
+
 @register("login_recency_summary")
 def _login_summary(spark, t):
     return acct.login_recency_summary(acct.owner_last_login(t, P.acct), P.acct)

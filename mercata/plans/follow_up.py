@@ -38,12 +38,14 @@ def forecast_panel(t: Tables, p: FollowUpParams, owner_list: DataFrame | None =
     """Owner x month from start to stop: mean daily offers and net GMV, gaps as 0.  Amounts are
     summed per account before the owner join.
 
+    Both measures of an owner become maps from month to value in one aggregation, and the months are read from
+    them along a sequence, so there is no grid to join.
+
     As in the report, GMV is attached through the offers row of the month, so a month without
     offers shows GMV 0; ``join_gmv_on_spine`` attaches it to the grid instead.
     """
     lst = owner_list if owner_list is not None else V.owner_list(t)
-    acc = _owner_accounts(t, lst)
-    grid = reshape.with_months(lst.select("nip"), p.forecast_start, p.forecast_stop, "month")
+    acc = _owner_accounts(t, lst.distinct())
     o = V.offers_total(t, p.forecast_start, p.forecast_stop)
     daily = o.join(acc, o.seller_id == acc.id).groupBy("day", "nip").agg(F.sum("offers").alias("offers"))
     offers = daily.groupBy(month_key("day").alias("month"), "nip") \
@@ -51,12 +53,7 @@ def forecast_panel(t: Tables, p: FollowUpParams, owner_list: DataFrame | None =
     g = scans.date_range(V.net_gmv_daily(t), "dt", p.forecast_start, p.forecast_stop) \
         .groupBy("account_id", month_key("dt").alias("month")).agg(F.sum("GMV_ref").alias("gmv"))
     gmv = g.join(acc, g.account_id == acc.id).groupBy("month", "nip").agg(F.sum("gmv").alias("gmv"))
-    out = grid.join(offers.withColumn("o_month", F.col("month")).withColumn("o_nip", F.col("nip")),
-                    ["month", "nip"], "left")
-    if join_gmv_on_spine:
-        out = out.join(gmv, ["month", "nip"], "left")
-    else:
-        gm = gmv.select(F.col("month").alias("o_month"), F.col("nip").alias("o_nip"), "gmv")
-        out = out.join(gm, ["o_month", "o_nip"], "left")
-    return out.select("nip", "month", F.coalesce("offers", F.lit(0.0)).alias("offers"),
-                      F.coalesce("gmv", F.lit(0)).alias("gmv"))
+    filled = reshape.fill_months(lst, {"offers": offers, "gmv": gmv}, ["nip"], p.forecast_start, p.forecast_stop)
+    shown = F.lit(True) if join_gmv_on_spine else F.col("offers").isNotNull()
+    return filled.select("nip", "month", F.coalesce("offers", F.lit(0.0)).alias("offers"),
+                         F.coalesce(F.when(shown, F.col("gmv")), F.lit(0)).alias("gmv"))

@@ -791,3 +791,7 @@ ORACLE.update({
     "forecast_panel_qualified": follow_qualified(
         "SELECT nip, month, CAST(offers AS DOUBLE) AS offers, CAST(gmv AS DOUBLE) AS gmv FROM forecast"),
 })
+
+# the same answers through another plan
+ORACLE["join_day_in_interval"] = ORACLE["join_same_day"]
+ORACLE["owner_last_login_by_key_sets"] = ORACLE["owner_last_login"]

@@ -149,6 +149,17 @@ def join_same_day(t: Tables) -> DataFrame:
         F.sum(F.when(F.col("verified_day") == 1, F.col("offers")).otherwise(0)).alias("verified_offers"))
 
 
+def join_day_in_interval(t: Tables) -> DataFrame:
+    """``join_same_day`` against interval-coded states (one row per run of verified days), dealt by month."""
+    o = V.offers_total(t, P.seg.date_from, P.seg.date_to)
+    v = V.verified_sellers(t, P.seg.date_from, P.seg.date_to) \
+        .select(F.col("account_id").alias("seller_id"), "day", F.lit(1).alias("verified_day"))
+    j = joins.valid_on(o, joins.state_intervals(v, ["seller_id"]), ["seller_id"], "day", by_month=(P.seg.date_from, P.seg.date_to))
+    return j.groupBy(month_key("day").alias("month")).agg(
+        F.sum("offers").alias("offers"),
+        F.sum(F.when(F.col("verified_day") == 1, F.col("offers")).otherwise(0)).alias("verified_offers"))
+
+
 def join_month_key(t: Tables) -> DataFrame:
     """Offers by the seller's segment of the month (derived yyyymm joined to the stored month)."""
     o = V.offers_total(t, P.seg.date_from, P.seg.date_to).withColumn("month_", month_number("day"))
@@ -242,6 +253,7 @@ QUERIES = {
     "filter_in_list": filter_in_list,
     "filter_multi": filter_multi,
     "join_same_day": join_same_day,
+    "join_day_in_interval": join_day_in_interval,
     "join_month_key": join_month_key,
     "exclude_test_accounts": exclude_test_accounts,
     "left_join_filtered_right": left_join_filtered_right,

@@ -5,12 +5,12 @@ category x order type (B2B when the buyer is a company account).
 
 Scale notes
 -----------
-* Order lines are reduced to (seller, leaf, order month, refund month, order type) before the owner
-  map and the category tree are joined: both are one row per key, so summing first is exact and the
-  dimension joins see the reduced cells instead of every line.
-* The order day is the header's on both sides.  Gross and refund cells come from one scan of the
-  lines and are netted per cell by presence flags (no self join); ``net_gmv_full_outer`` keeps the
-  literal full outer join form.
+* Order lines are reduced to (seller, leaf, month, order type) before the owner map and the category
+  tree are joined: both are one row per key, so summing first is exact and the dimension joins see
+  the reduced cells instead of every line.
+* The order day is the header's on both sides.  Gross and refund lines are two scans: the gross side is an
+  inner join with the window's orders, the refund side reads the lines of its dates only.  They are
+  netted per cell by presence flags (no self join); ``net_gmv_full_outer`` keeps the literal full outer join form.
 * The flagship reads the hub five times (qualification, two rankings, one wide per-owner
   aggregate for the annual total and all pivots); equal exchanges are reused by the adaptive plan.
 * The three rating measures of the flagship come from one scan of the ratings window.
@@ -37,13 +37,13 @@ def owners(t: Tables) -> DataFrame:
     return V.owner_map(t).where(F.col("nip").isNotNull())
 
 
-def _buyer_type(t: Tables) -> DataFrame:
-    return V.users(t).select(F.col("account_id").alias("buyer_id"), "account_type")
-
-
-def _order_type() -> F.Column:
+def _with_order_type(lines: DataFrame, t: Tables, history: DataFrame | None) -> DataFrame:
+    """lines (buyer_id, order_day, ...) plus ``order_type``, by the buyer's account type on the order day.  A line
+    without an order of the window is B2C."""
     b2b, b2c = ORDER_TYPES
-    return F.when(F.col("account_type") == COMPANY_ACCOUNT, b2b).otherwise(b2c)
+    states = V.account_type_history(t) if history is None else history
+    lines = joins.valid_on(lines, states.withColumnRenamed("account_id", "buyer_id"), ["buyer_id"], "order_day")
+    return lines.withColumn("order_type", F.when(F.col("account_type") == COMPANY_ACCOUNT, b2b).otherwise(b2c))
 
 
 def _to_cells(cells: DataFrame, t: Tables, out: str, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -60,72 +60,57 @@ def _window_orders(t: Tables, p: TopOwnerParams) -> DataFrame:
         F.col("order_offer_id").alias("deal_id"), "buyer_id", F.col("day").alias("order_day"))
 
 
-def _lines(t: Tables, p: TopOwnerParams) -> DataFrame:
-    """Sums of the window's lines by (seller, leaf, order month, refund month, order type).
-
-    A line is an order of the window if its order day lies in it (``order_month``), and a refund of the
-    window if it was returned and its refund was recorded in it (``refund_month``).  Buyer type and
-    leaf category come from the order, so a refund of an order outside the window has neither.
-    Each line is read and joined once; both sides are split only after this aggregation.
-    """
-    s = V.sales(t).join(_window_orders(t, p), "deal_id", "left")
-    refunded = F.col("returned") & F.col("day").between(F.lit(p.date_start), F.lit(p.date_stop))
-    s = s.where(F.col("order_day").isNotNull() | refunded).join(_buyer_type(t), "buyer_id", "left")
-    ordered = F.col("order_day").isNotNull()
-    return s.groupBy(
-        "seller_id", F.when(ordered, F.col("category_id")).alias("category_id"), month_key("order_day").alias("order_month"),
-        F.when(refunded, month_key("day")).alias("refund_month"),
-        F.when(ordered, _order_type()).otherwise(ORDER_TYPES[1]).alias("order_type")).agg(F.sum("price").alias("amount"))
-
+def gross_lines(t: Tables, p: TopOwnerParams, history: DataFrame | None = None) -> DataFrame:
+    """Sums of the window's orders by (seller, month of the order day, leaf, order type).
 
-def gross_by_cell(t: Tables, p: TopOwnerParams) -> DataFrame:
-    """Sum of order prices per owner cell (month of the order day).
+    Order day and ship day are unrelated, so the lines have no date bound; the inner join lets Spark test them
+    against a runtime Bloom filter of the window's order keys before they are shuffled (``session.DEFAULTS``)."""
+    s = _with_order_type(V.sales(t).join(_window_orders(t, p), "deal_id"), t, history)
+    return s.groupBy("seller_id", month_key("order_day").alias("month"), "category_id", "order_type").agg(F.sum("price").alias("amount"))
 
-    The supplied accounts have one state, so the buyer snapshot of the order day is the account row.
-    """
-    s = V.sales(t).join(_window_orders(t, p), "deal_id").join(_buyer_type(t), "buyer_id", "left")
-    cells = s.groupBy("seller_id", month_key("order_day").alias("month"), "category_id", _order_type().alias("order_type")) \
-        .agg(F.sum("price").alias("gmv"))
-    return _to_cells(cells, t, "gmv")
 
-
-def refund_by_cell(t: Tables, p: TopOwnerParams) -> DataFrame:
-    """Refunded amount per owner cell, by refund month; category and buyer type of the refunded order.
+def refund_lines(t: Tables, p: TopOwnerParams, history: DataFrame | None = None) -> DataFrame:
+    """Sums of the refunds recorded in the window (the bound reaches the scan of the lines) by (seller, refund month,
+    leaf, order type).
 
     The order must lie in the window too (a right-side predicate of a left join): refunds of older
     orders stay, as B2C with the category unknown, so they are never netted against a cell.
     """
     r = V.refunds(t, p.date_start, p.date_stop)
-    hdr = _window_orders(t, p).withColumnRenamed("deal_id", "order_id")
-    r = r.join(hdr, "order_id", "left").join(_buyer_type(t), "buyer_id", "left")
-    ordered = F.col("order_day").isNotNull()
-    cells = r.groupBy("seller_id", month_key("day").alias("month"), F.when(ordered, F.col("category_id")).alias("category_id"),
-                      F.when(ordered, _order_type()).otherwise(ORDER_TYPES[1]).alias("order_type")) \
-        .agg(F.sum("refunded_gmv").alias("ref_gmv"))
-    return _to_cells(cells, t, "ref_gmv")
+    r = _with_order_type(r.join(_window_orders(t, p).withColumnRenamed("deal_id", "order_id"), "order_id", "left"), t, history)
+    known = F.when(F.col("order_day").isNotNull(), F.col("category_id")).alias("category_id")
+    return r.groupBy("seller_id", month_key("day").alias("month"), known, "order_type").agg(F.sum("refunded_gmv").alias("amount"))
+
+
+def gross_by_cell(t: Tables, p: TopOwnerParams, history: DataFrame | None = None) -> DataFrame:
+    """Sum of order prices per owner cell (month of the order day)."""
+    return _to_cells(gross_lines(t, p, history).withColumnRenamed("amount", "gmv"), t, "gmv")
+
+
+def refund_by_cell(t: Tables, p: TopOwnerParams, history: DataFrame | None = None) -> DataFrame:
+    """Refunded amount per owner cell, by refund month; category and buyer type of the refunded order."""
+    return _to_cells(refund_lines(t, p, history).withColumnRenamed("amount", "ref_gmv"), t, "ref_gmv")
 
 
-def _side_cells(t: Tables, p: TopOwnerParams) -> DataFrame:
-    """Order ('o') and refund ('r') cells from one pass over the lines (see ``_lines``)."""
-    sale = F.when(F.col("order_month").isNotNull(), F.struct(F.lit("o").alias("side"), F.col("order_month").alias("month")))
-    refund = F.when(F.col("refund_month").isNotNull(), F.struct(F.lit("r").alias("side"), F.col("refund_month").alias("month")))
-    sides = F.explode(F.filter(F.array(sale, refund), lambda x: x.isNotNull())).alias("c")
-    cells = _lines(t, p).select("seller_id", "category_id", "order_type", "amount", sides)
-    return _to_cells(cells.select("seller_id", "category_id", "order_type", "amount", "c.side", "c.month"), t, "amount", ("side",))
+def _side_cells(t: Tables, p: TopOwnerParams, history: DataFrame | None = None) -> DataFrame:
+    """Order ('o') and refund ('r') cells: both branches are summed per leaf before they meet the dimensions."""
+    sides = gross_lines(t, p, history).withColumn("side", F.lit("o")).unionByName(
+        refund_lines(t, p, history).withColumn("side", F.lit("r")))
+    return _to_cells(sides, t, "amount", ("side",))
 
 
-def net_gmv_monthly(t: Tables, p: TopOwnerParams) -> DataFrame:
+def net_gmv_monthly(t: Tables, p: TopOwnerParams, history: DataFrame | None = None) -> DataFrame:
     """Gross minus refunds per cell, with the report's full-outer-join semantics.
 
     Owner and month come from the order side only, so refund-only cells end in one NULL
     owner/month row per (type, category, level-1) with a NULL amount, and a NULL category never
-    matches a NULL category.  Both sides come from one pass (``_side_cells``) and are combined per
-    cell by presence flags instead of a self join, so the line scan and its joins run once:
+    matches a NULL category.  Both sides (``_side_cells``) are combined per cell by presence flags
+    instead of a self join.  ``history`` gives the buyers' account types by day (``views.account_type_history``):
 
     * order side present: the cell, amount = gmv - refunds if all keys are known else gmv;
     * refund side present without a matching order side (absent, or a NULL key): a refund-only row.
     """
-    return net_cells(_side_cells(t, p))
+    return net_cells(_side_cells(t, p, history))
 
 
 def net_cells(cells: DataFrame) -> DataFrame:
@@ -303,10 +288,10 @@ def top_owner_report(t: Tables, p: TopOwnerParams) -> DataFrame:
     hub = net_gmv_monthly(t, p)
     ratings = owner_ratings(t, p)
     rated = ratings.where(F.col("weighted_share") >= p.min_rating_share)
-    nipy = gmv_qualified(hub, rated, p).select("nip")
+    chosen = gmv_qualified(hub, rated, p).select("nip")
     q = ratings.select("nip", report_round("share").alias("rating_share"),
                        report_round("share_3m").alias("rating_share_3m"))
-    out = (nipy.join(q, "nip")
+    out = (chosen.join(q, "nip")
            .join(top_categories(hub, p), "nip")
            .join(owner_wide(hub, p), "nip", "left"))
     first = ["nip", "rating_share", "rating_share_3m", "gmv12m", "new_meta", "gmv", "new_ca_name_1", "gmv1",

@@ -14,6 +14,10 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",       # split hot keys of inner / left joins
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # a large fact is tested against a Bloom filter of the selected keys of the other side before its shuffle; the
+    # filter is bounded by Spark's maxNumBits, so the side it is made from may be larger than the 10 MB default
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10g",
 }
 
 

@@ -24,6 +24,7 @@ owner_map                    customer: account -> owner tax id (its nation key)
 test_users                   customers with a negative balance (internal / test accounts)
 account_status_history       customer: current row ('N') + an older 'company' row for id % 3 = 0
 users                        customer + last login (max event time)
+account_type_history         customer: account type with its days (one open interval an account)
 consents                     events 'signup' / 'click' as marketing / testing-invite consents
 net_gmv_daily                lineitem lines not returned, per seller and ship day
 ratings                      events: 'view' = no opinion, 'error' = negative, else positive
@@ -235,6 +236,12 @@ def users(t: Tables, with_login: bool = False) -> DataFrame:
     return df
 
 
+def account_type_history(t: Tables) -> DataFrame:
+    """Account types by day as intervals (both ends included, a null end is open).  The supplied accounts have one
+    state each, so there is one open interval an account."""
+    return users(t).select("account_id", "account_type", F.lit(None).cast("date").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+
+
 def consents(t: Tables) -> DataFrame:
     ev = t.events.where(F.col("event_type").isin("signup", "click"))
     return ev.select(

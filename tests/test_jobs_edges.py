@@ -53,6 +53,43 @@ def test_refund_is_netted_only_through_an_order_of_the_window(make_tables):
     assert hub(TS(1990, 1, 10)) == [("5", "200101", "B2B", "A", 100.0), (None, None, "B2C", None, None)]
 
 
+def test_buyer_type_is_that_of_the_order_day(spark, make_tables):
+    """A buyer who became a company on 10 January 2001: orders and refunds follow the day of the order."""
+    t = make_tables(
+        customer=[(1, "c1", 5, 10.0, "AUTOMOBILE"), (2, "c2", 7, 10.0, "AUTOMOBILE")], part=[(10, "p10", "B1", "A", 1, 1.0)],
+        orders=[(100, 2, "O", 0.0, TS(2001, 1, 9), "x"), (101, 2, "O", 0.0, TS(2001, 1, 10), "x"), (102, 9, "O", 0.0, TS(2001, 1, 11), "x")],
+        lineitem=[(100, 10, 1, 1, 1.0, 30.0, 0.0, 0.0, "R", "F", TS(2001, 1, 20)), (101, 10, 1, 1, 1.0, 100.0, 0.0, 0.0, "N", "F", TS(2001, 3, 5)),
+                  (101, 10, 1, 1, 1.0, 7.0, 0.0, 0.0, "R", "F", TS(2001, 1, 30)), (102, 10, 1, 1, 1.0, 5.0, 0.0, 0.0, "N", "F", TS(2001, 3, 5))])
+    day = dt.date
+    history = spark.createDataFrame([(2, "private", None, day(2001, 1, 9)), (2, "company", day(2001, 1, 10), None)],
+                                    "account_id long, account_type string, valid_from date, valid_to date")
+    p = TopOwnerParams()
+    cells = lambda df, c: sorted((r.month, r.order_type, float(r[c])) for r in df.collect())
+    assert cells(top_owners.gross_by_cell(t, p, history), "gmv") == [("200101", "B2B", 107.0), ("200101", "B2C", 35.0)]
+    assert cells(top_owners.refund_by_cell(t, p, history), "ref_gmv") == [("200101", "B2B", 7.0), ("200101", "B2C", 30.0)]
+    assert cells(top_owners.net_gmv_monthly(t, p, history), "gmv") == [("200101", "B2B", 100.0), ("200101", "B2C", 5.0)]
+    assert cells(top_owners.gross_by_cell(t, p), "gmv") == [("200101", "B2C", 142.0)]  # the supplied single state
+
+
+def test_hub_scans_refunds_by_date_and_filters_lines_by_order_keys(spark):
+    from mercata.sources.tables import Tables
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false",
+            "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0",
+            "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "10g"}
+    saved = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        t = Tables(spark, "/root/testdata/sf0.01")
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        lines = [x for x in plan(top_owners.refund_lines(t, TopOwnerParams())).splitlines() if "l_returnflag" in x and "PushedFilters" in x]
+        assert lines and all("GreaterThanOrEqual(l_shipdate,2000-08-01" in x for x in lines)
+        assert "might_contain" in plan(top_owners.gross_lines(t, TopOwnerParams()))
+    finally:
+        for k, v in saved.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_last_login_and_offers_know_nothing_after_their_day(make_tables):
     day = dt.date(2024, 1, 10)
     t = make_tables(

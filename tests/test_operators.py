@@ -182,3 +182,80 @@ def test_ordered_list_repeats_counted_values_and_skips_nulls(spark):
     out = aggregates.counted(df, ["k"], "t").groupBy("k").agg(aggregates.ordered_list("t").alias("l"),
                                                               F.sum("_n").alias("n"))
     assert rows(out, "k", "l", "n") == [(1, "a, b, b", 4), (2, "z", 1)]
+
+
+def _brute_quantile(values, q):
+    v = sorted(values)
+    at = (len(v) - 1) * q
+    lo = int(at)
+    return v[lo] + (v[min(lo + 1, len(v) - 1)] - v[lo]) * (at - lo)
+
+
+def test_ordered_code_is_the_order_of_doubles(spark):
+    import math
+    import random
+    import struct
+
+    from mercata.operators.quantiles import ordered_code
+    rng = random.Random(5)
+    vals = [0.0, -0.0, float("inf"), float("-inf"), 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308]
+    vals += [struct.unpack("d", struct.pack("Q", rng.getrandbits(64)))[0] for _ in range(3000)]
+    vals += [x for k in range(-1070, 1023, 7) for x in (2.0 ** k, math.nextafter(2.0 ** k, 0), -(2.0 ** k))]
+    vals = [v for v in vals if v == v]
+    rows = spark.createDataFrame([(v,) for v in vals], "v double").withColumn("c", ordered_code(F.col("v"))).collect()
+    bits = lambda v: struct.unpack("q", struct.pack("d", abs(v)))[0] * (-1 if v < 0 else 1)
+    assert [r.c for r in rows] == [bits(r.v) for r in rows]
+
+
+def test_quantile_of_close_values_is_spread(spark):
+    """Values within 0.05 %, and values next to zero: every refining level splits them."""
+    from mercata.operators.quantiles import _SHIFTS, exact_quantiles, ordered_code
+    n = 60_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, "zero").otherwise("close").alias("g"),
+                               F.when(F.col("id") % 3 == 0, F.pow(F.lit(10.0), -(F.col("id") % 3000) / 10)).otherwise(100_000 + F.col("id") * 0.0008).alias("v"))
+    got = {r.g: (r.a, r.b) for r in exact_quantiles(df, ["g"], "v", {"a": 0.25, "b": 0.9}).collect()}
+    vals = {}
+    for r in df.collect():
+        vals.setdefault(r.g, []).append(r.v)
+    assert got == {g: (_brute_quantile(v, 0.25), _brute_quantile(v, 0.9)) for g, v in vals.items()}
+    code = ordered_code(F.col("v"))
+    for above, shift in zip(_SHIFTS, [*_SHIFTS[1:], 0]):  # rows of the largest window of each refining level
+        most = df.groupBy("g", F.shiftright(code, above)).agg(F.count_distinct(F.shiftright(code, shift)).alias("n")).agg(F.max("n")).first()[0]
+        assert most <= 1 << 14
+    # a hot group's first level has far more than one bucket, its last window a small share of the 40,000 values
+    last = df.where("g = 'close'").groupBy(F.shiftright(code, _SHIFTS[-1])).count().agg(F.max("count")).first()[0]
+    assert last < 40
+
+
+def test_day_in_interval_equals_same_day_join(spark):
+    import datetime as dt
+    import random
+    rng, day0 = random.Random(7), dt.date(2020, 1, 1)
+    snap = sorted({(k, day0 + dt.timedelta(days=d)): (rng.choice(["a", "a", "b", None])) for k in range(12) for d in range(120) if rng.random() < 0.8}.items())
+    snap = spark.createDataFrame([(k, d, s) for (k, d), s in snap], "k long, day date, state string")
+    fact = spark.createDataFrame([(rng.choice([*range(14), None]), rng.choice([None, *(day0 + dt.timedelta(days=d) for d in range(-5, 130))]), i)
+                                  for i in range(800)], "k long, day date, n long")
+    want = sorted((tuple(r) for r in joins.same_day_join(fact, snap, ["k"]).select("k", "day", "n", "state").collect()), key=str)
+    states = joins.state_intervals(snap.union(snap.limit(40)), ["k"])
+    assert states.count() < snap.count()
+    for by_month in (None, (dt.date(2019, 12, 1), dt.date(2020, 6, 1))):
+        got = joins.valid_on(fact, states, ["k"], by_month=by_month)
+        assert got.columns == ["k", "day", "n", "state"]
+        assert sorted((tuple(r) for r in got.collect()), key=str) == want
+
+
+def test_key_sets_merge_months_and_replace_one(spark, tmp_path):
+    from mercata.operators import keysets
+    from mercata.sources.sinks import write_parquet
+    keys = [0, 1, 7, 32767, 32768, 32769, 65536, 10 ** 15, -5, None]
+    rows = spark.createDataFrame([(k, "202001" if i % 2 else "202002") for i, k in enumerate(keys * 3)], "id long, m string")
+    path = str(tmp_path / "sets")
+    write_parquet(keysets.monthly_key_sets(rows, "id", F.col("m")), path, ["month"])
+    asked = spark.createDataFrame([(k,) for k in [*keys, 2, 32770, 10 ** 15 + 1, -6, 99999, 0]], "id long")
+    flags = lambda: [(r.id, r.seen) for r in keysets.existence_flag(asked, spark.read.parquet(path), "id", "seen").collect()]
+    have = {k for k in keys if k is not None}
+    assert sorted(flags(), key=str) == sorted(((r.id, int(r.id in have)) for r in asked.collect()), key=str)
+    again = spark.createDataFrame([(99999, "202002")], "id long, m string")  # the running month is written anew
+    write_parquet(keysets.monthly_key_sets(again, "id", F.col("m")), path, ["month"])
+    kept = {k for i, k in enumerate(keys * 3) if i % 2 and k is not None} | {99999}
+    assert sorted(flags(), key=str) == sorted(((r.id, int(r.id in kept)) for r in asked.collect()), key=str)

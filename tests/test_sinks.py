@@ -2,8 +2,11 @@
 
 import datetime as dt
 
+import pytest
+from pyspark.sql import functions as F
+
 from mercata.plans import follow_up
-from mercata.sources.files import read_csv
+from mercata.sources.files import read_csv, read_csv_checked
 from mercata.sources.sinks import write_csv, write_parquet
 from mercata.sources.tables import Tables
 from mercata.params import FollowUpParams
@@ -51,3 +54,36 @@ def test_cli_writes_a_job_partitioned_by_month(spark, tmp_path):
     back = spark.read.parquet(str(out))
     assert {p.name for p in out.iterdir() if p.name.startswith("month=")} == {"month=202401"}
     assert back.count() > 0 and "amount" in back.columns
+
+
+@pytest.mark.parametrize("kind", ["parquet", "csv"])
+def test_a_failed_run_leaves_every_month_and_a_rerun_replaces_one(spark, tmp_path, kind):
+    write = {"parquet": write_parquet, "csv": write_csv}[kind]
+    path = str(tmp_path / kind)
+
+    def held():
+        df = spark.read.parquet(path) if kind == "parquet" else read_csv(spark, path, "v int, month string")
+        return sorted(tuple(r) for r in df.select("v", "month").collect())
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b")], "v int, month string")
+    write(df, path, partition_by=["month"])
+    fails = df.withColumn("v", F.when(F.col("v") == 3, F.raise_error(F.lit("broken"))).otherwise(F.col("v") + 10))
+    with pytest.raises(Exception, match="broken"):
+        write(fails.repartition(3), path, partition_by=["month"])
+    assert held() == [(1, "a"), (2, "b"), (3, "b")]
+    write(df.where("v = 2").withColumn("v", F.col("v") + 10), path, partition_by=["month"])
+    assert held() == [(1, "a"), (12, "b")]
+
+
+def test_csv_quarantine_takes_bad_rows_and_keeps_the_others(spark, tmp_path):
+    p = tmp_path / "in.csv"
+    p.write_text('id,name,day\n1,"a, b",2021-03-04\nx,c,2021-03-04\n2,d,04.03.2021\n3,e\n4,f,2021-03-05,more\n,g,2021-03-06\n5,,\n')
+    good, bad = read_csv_checked(spark, str(p), "id bigint, name string, day string", date_columns={"day": "yyyy-MM-dd"}, required=["id"])
+    assert sorted(tuple(r) for r in good.collect()) == [(1, "a, b", dt.date(2021, 3, 4)), (5, None, None)]
+    rows = {r.row: r.reason for r in bad.collect()}
+    assert rows == {"x,c,2021-03-04": "malformed", "2,d,04.03.2021": "day is no date yyyy-MM-dd", "3,e": "malformed",
+                    "4,f,2021-03-05,more": "malformed", ',g,2021-03-06': "id is missing"}
+    assert all(r.file.endswith("in.csv") for r in bad.collect())
+    assert good.count() + bad.count() == 7
+    write_csv(bad, str(tmp_path / "quarantine"))
+    assert read_csv(spark, str(tmp_path / "quarantine"), "file string, row string, reason string").count() == 5

@@ -26,6 +26,7 @@ EXPECTED = {
     "account_status_history": "cis_user_id:bigint,cis_status:string,cis_from_date:date,cis_historical:string",
     "users": "account_id:bigint,login:string,account_status:string,account_type:string,account_create_date:date,"
              "success_login_timestamp:timestamp_ntz",
+    "account_type_history": "account_id:bigint,account_type:string,valid_from:date,valid_to:date",
     "consents": "day:date,userid:bigint,consentname:string,channel:string,approved:boolean",
     "net_gmv_daily": "dt:date,account_id:bigint,GMV_ref:decimal(18,2)",
     "ratings": "opponent_id:bigint,recommend:boolean,create_date:timestamp_ntz",
