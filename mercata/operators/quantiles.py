@@ -21,34 +21,38 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 FIRST, DIGIT = 22, 14
 _SHIFTS = list(range(64 - FIRST, 0, -DIGIT))  # bits below each level's bucket
 
 
-def ordered_code(v: Column) -> Column:
-    """A BIGINT that orders doubles as their values do; equal codes only for equal values (0.0 and -0.0 are equal)."""
-    a = F.abs(v)
-    e = F.greatest(F.lit(-1022), F.least(F.lit(1023), F.floor(F.log2(a))))
+def with_ordered_code(df: DataFrame, value: str, name: str = "_code") -> DataFrame:
+    """df plus a BIGINT that orders doubles as their values do; equal codes only for equal values (0.0 and -0.0
+    are equal).  Built in steps, so that each part is computed once."""
+    v, a, e, m = (F.col(c) for c in (value, "_abs", "_exp", "_man"))
+    df = df.withColumn("_abs", F.abs(v))
+    df = df.withColumn("_exp", F.greatest(F.lit(-1022), F.least(F.lit(1023), F.floor(F.log2(a)))))
     half = F.floor(e / 2)
-    m = a * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - e)  # both factors are exact
+    df = df.withColumn("_man", a * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - e))  # both factors are exact
     # the logarithm may be off by one next to a power of two
-    low, high = (m < 1) & (e > -1022), m >= 2
-    m = F.when(low, m * 2).when(high, m / 2).otherwise(m)
-    e = F.when(low, e - 1).when(high, e + 1).otherwise(e)
+    off = F.when((m < 1) & (e > -1022), -1).when(m >= 2, 1).otherwise(0)
+    df = df.withColumn("_off", off)
+    df = df.withColumn("_man", F.when(F.col("_off") < 0, m * 2).when(F.col("_off") > 0, m / 2).otherwise(m)).withColumn("_exp", e + F.col("_off"))
     one = F.lit(2.0 ** 52)
-    size = F.when(m < 1, (m * one).cast("long")).otherwise((e + 1023) * F.lit(1 << 52) + ((m - 1) * one).cast("long"))
-    size = F.when(F.isnan(v), F.lit(2048 * (1 << 52) - 1)).when(a == float("inf"), F.lit(2047 * (1 << 52))).otherwise(size)
-    return F.when(v == 0, F.lit(0).cast("long")).when((v < 0) & ~F.isnan(v), -size).otherwise(size)
+    size = F.when(F.isnan(v), F.lit(2048 * (1 << 52) - 1)).when(a == float("inf"), F.lit(2047 * (1 << 52))).when(
+        m < 1, (m * one).cast("long")).otherwise((e + 1023) * F.lit(1 << 52) + ((m - 1) * one).cast("long"))
+    df = df.withColumn("_size", size)
+    code = F.when(v == 0, F.lit(0).cast("long")).when((v < 0) & ~F.isnan(v), -F.col("_size")).otherwise(F.col("_size"))
+    return df.withColumn(name, code).drop("_abs", "_exp", "_man", "_off", "_size")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Mapping[str, float]) -> DataFrame:
     """One row per group with at least one non-NULL value: ``keys..., <name> for name in qs``."""
     keys = list(keys)
-    values = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")) \
-        .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_code", ordered_code(F.col("_v")))
+    values = with_ordered_code(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+                               .groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")), "_v")
 
     def holds(first, size, rank):
         return (rank >= first) & (rank < first + size)
@@ -61,7 +65,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, qs: Mapping[
     def inside(held, shift):
         """Values of the held buckets (few rows: Spark broadcasts them where they are small)."""
         right = held.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.col("_b").alias("_r_b"), "_offset", "_w")
-        same = [values[k].eqNullSafe(right[f"_r_{k}"]) for k in keys] + [F.shiftright(values["_code"], shift) == right["_r_b"]]
+        # null-safe, so that no filter on the code is inferred below the counting and its exchange is reused
+        same = [values[k].eqNullSafe(right[f"_r_{k}"]) for k in keys] + [F.shiftright(values["_code"], shift).eqNullSafe(right["_r_b"])]
         return values.join(right, same).select(*keys, "_v", "_c", "_code", F.col("_r_b").alias("_b"), "_offset", "_w")
 
     group = Window.partitionBy(*keys)

@@ -196,20 +196,20 @@ def test_ordered_code_is_the_order_of_doubles(spark):
     import random
     import struct
 
-    from mercata.operators.quantiles import ordered_code
+    from mercata.operators.quantiles import with_ordered_code
     rng = random.Random(5)
     vals = [0.0, -0.0, float("inf"), float("-inf"), 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308]
     vals += [struct.unpack("d", struct.pack("Q", rng.getrandbits(64)))[0] for _ in range(3000)]
     vals += [x for k in range(-1070, 1023, 7) for x in (2.0 ** k, math.nextafter(2.0 ** k, 0), -(2.0 ** k))]
     vals = [v for v in vals if v == v]
-    rows = spark.createDataFrame([(v,) for v in vals], "v double").withColumn("c", ordered_code(F.col("v"))).collect()
+    rows = with_ordered_code(spark.createDataFrame([(v,) for v in vals], "v double"), "v", "c").collect()
     bits = lambda v: struct.unpack("q", struct.pack("d", abs(v)))[0] * (-1 if v < 0 else 1)
     assert [r.c for r in rows] == [bits(r.v) for r in rows]
 
 
 def test_quantile_of_close_values_is_spread(spark):
     """Values within 0.05 %, and values next to zero: every refining level splits them."""
-    from mercata.operators.quantiles import _SHIFTS, exact_quantiles, ordered_code
+    from mercata.operators.quantiles import _SHIFTS, exact_quantiles, with_ordered_code
     n = 60_000
     df = spark.range(n).select(F.when(F.col("id") % 3 == 0, "zero").otherwise("close").alias("g"),
                                F.when(F.col("id") % 3 == 0, F.pow(F.lit(10.0), -(F.col("id") % 3000) / 10)).otherwise(100_000 + F.col("id") * 0.0008).alias("v"))
@@ -218,12 +218,12 @@ def test_quantile_of_close_values_is_spread(spark):
     for r in df.collect():
         vals.setdefault(r.g, []).append(r.v)
     assert got == {g: (_brute_quantile(v, 0.25), _brute_quantile(v, 0.9)) for g, v in vals.items()}
-    code = ordered_code(F.col("v"))
+    coded, code = with_ordered_code(df, "v"), F.col("_code")
     for above, shift in zip(_SHIFTS, [*_SHIFTS[1:], 0]):  # rows of the largest window of each refining level
-        most = df.groupBy("g", F.shiftright(code, above)).agg(F.count_distinct(F.shiftright(code, shift)).alias("n")).agg(F.max("n")).first()[0]
+        most = coded.groupBy("g", F.shiftright(code, above)).agg(F.count_distinct(F.shiftright(code, shift)).alias("n")).agg(F.max("n")).first()[0]
         assert most <= 1 << 14
     # a hot group's first level has far more than one bucket, its last window a small share of the 40,000 values
-    last = df.where("g = 'close'").groupBy(F.shiftright(code, _SHIFTS[-1])).count().agg(F.max("count")).first()[0]
+    last = coded.where("g = 'close'").groupBy(F.shiftright(code, _SHIFTS[-1])).count().agg(F.max("count")).first()[0]
     assert last < 40
 
 
