@@ -110,8 +110,8 @@ def op7_warc(spark, sf_dir):
 
 
 ORACLE["op7_warc"] = r"""
-WITH page AS (SELECT page_id AS number, min({'u': coalesce(url, ''), 'h': coalesce(html, '')}) AS p
-              FROM pages WHERE page_id IS NOT NULL GROUP BY page_id),
+WITH page AS (SELECT DISTINCT page_id AS number, {'u': coalesce(url, ''), 'h': coalesce(html, '')} AS p
+              FROM pages WHERE page_id IS NOT NULL),
 made AS (SELECT number, number // 4096 AS file,
            encode('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
              || 'WARC-Record-ID: <urn:record:' || number || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || p.u
@@ -119,13 +119,13 @@ made AS (SELECT number, number // 4096 AS file,
              || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(p.h))
              || chr(13) || chr(10) || chr(13) || chr(10) || p.h || chr(13) || chr(10) || chr(13) || chr(10)) AS r
          FROM page),
-placed AS (SELECT *, octet_length(r)::BIGINT AS length,
-             coalesce(sum(octet_length(r)) OVER (PARTITION BY file ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
-           FROM made),
-hurt AS (SELECT file, count(*) FILTER (number % 997 IN (0, 1, 2)) AS bad FROM placed GROUP BY file)
-SELECT file, number AS page_id, "offset", length, sha256(length || ':' || sha256(r)) AS digest, bad = 0 AS file_intact,
+parted AS (SELECT *, octet_length(r)::BIGINT AS length, row_number() OVER (PARTITION BY number ORDER BY sha256(r)) - 1 AS part FROM made),
+placed AS (SELECT *, coalesce(sum(length) OVER (PARTITION BY file, part ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+           FROM parted),
+hurt AS (SELECT file, part, count(*) FILTER (number % 997 IN (0, 1, 2)) AS bad FROM placed GROUP BY file, part)
+SELECT file, part, number AS page_id, "offset", length, sha256(length || ':' || sha256(r)) AS digest, bad = 0 AS file_intact,
        CASE WHEN number % 997 = 2 THEN 'missing' WHEN number % 997 IN (0, 1) THEN 'corrupt' END AS fault
-FROM placed JOIN hurt USING (file)
+FROM placed JOIN hurt USING (file, part)
 """
 
 
