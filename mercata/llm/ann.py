@@ -11,14 +11,17 @@ by which its path leaves the query's own side, a lower bound of the way to that
 the way; filled: by the sample).  The number of leaves does
 not depend on the input, so a fixed number of probes reads a fixed share of the rows.
 
-Rows and queries meet per leaf (sorted and streamed, in blocks, no group held whole); tasks keep the best
-``k`` of each query so far and the final top-k compares exact double-precision inner products of the
+Rows and queries meet per chunk of a leaf (sorted; a chunk's rows are held, its queries streamed). A leaf has as many
+chunks as keep them at ``CHUNK_ROWS`` rows on average, each gets all queries of the leaf, so no task holds a
+share of the input.  The price of a probe stays that share: at 288 probes of 1/256 of the rows a query meets each
+row 1.1 times on average over the trees, some rows often and a third of them never.  Tasks keep the best ``k`` of each query so far and the final top-k compares exact double-precision inner products of the
 original vectors.  Equal vectors are one candidate that carries its k + 1 smallest ids: ties go to the
 smaller id, so no further copy can be in an answer.
 
 Defined cases: vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part, as query or candidate; a repeated (id, vector) row counts once; a row with the
-query's own id is never its neighbour; fewer than k candidates give fewer rows; an empty table gives none.
+components take no part, as query or candidate; a repeated (id, vector) row counts once; rows of one id with different
+vectors are different candidates (such an id may stand more than once in an answer) and one query, whose answer is the
+best k pairs of any of its vectors with any candidate; a row with the query's own id is never its neighbour; fewer than k candidates give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ from mercata.llm.common import checkpoint
 SAMPLE_ROWS, TREES, DEPTH, PROBES = 16_384, 16, 8, 288
 #: Rows of a leaf compared with queries at once, and candidates a task holds before it prunes.
 BLOCK, HELD = 2048, 1 << 20
+#: Rows of a leaf that a group holds on average; larger leaves are split into chunks that each get the leaf's queries.
+CHUNK_ROWS = 16_384
 
 
 def usable(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -102,8 +107,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _place(forest, depth: int, probes: int, queries: bool):
-    """Rows -> (leaf, query, number, vector): one row per tree, or per probed leaf for queries."""
+def _place(forest, depth: int, probes: int, chunks: int, queries: bool):
+    """Rows -> (leaf, query, number, vector): one row per tree, or per chunk of a probed leaf for queries;
+    leaf is leaf number * chunks + chunk."""
     def run(batches):
         for b in batches:
             v, no = _matrix(b.column("v")), b.column("no").to_numpy(zero_copy_only=False)
@@ -112,10 +118,14 @@ def _place(forest, depth: int, probes: int, queries: bool):
                 if queries:
                     at = [probe(q, forest, depth, probes) for q in part]
                     leaf = np.concatenate([np.array(x) for x in at])
-                    row = np.repeat(np.arange(len(part)), [len(x) for x in at])
+                    row = np.repeat(np.arange(len(part)), [len(x) * chunks for x in at])
+                    leaf = (leaf[:, None] * chunks + np.arange(chunks)).ravel()
                 else:
                     leaf = np.concatenate([(t << depth) + leaf_of(part, w, c, depth) for t, (w, c, _) in enumerate(forest)])
                     row = np.tile(np.arange(len(part)), len(forest))
+                    # numbers follow partitions and the order of ids: multiplied by an odd constant, the top bits deal them out
+                    mixed = (no[i:i + 512].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+                    leaf = leaf * chunks + (mixed % np.uint64(chunks)).astype(np.int64)[row]
                 packed = [x.tobytes() for x in v[i:i + 512]]
                 for s in range(0, len(leaf), 8192):
                     r = row[s:s + 8192]
@@ -148,12 +158,14 @@ def _search(k: int):
                 for i in range(0, len(mn), BLOCK):
                     s = qv @ mv[i:i + BLOCK].T
                     keep = min(k, s.shape[1])
-                    top = np.argpartition(-s, keep - 1, axis=1)[:, :keep]
+                    kth = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
+                    # all that may tie with the kth go on: the tie rule needs exact scores and numbers
+                    slack = 1e-12 * np.linalg.norm(qv, axis=1) * np.linalg.norm(mv[i:i + BLOCK], axis=1).max()
+                    row, col = np.nonzero(s >= (kth - slack)[:, None])
                     # an exact sum in a fixed order, so that equal pairs score alike in every leaf
-                    for j in range(0, len(qn), 64):
-                        t = top[j:j + 64]
-                        exact = (mv[i + t] * qv[j:j + 64, None, :]).sum(axis=2)
-                        yield np.repeat(qn[j:j + 64], keep), mn[i + t].ravel(), exact.ravel()
+                    for j in range(0, len(row), 4096):
+                        r, c = row[j:j + 4096], i + col[j:j + 4096]
+                        yield qn[r], mn[c], (mv[c] * qv[r]).sum(axis=1)
 
     def run(batches):
         held, size, at, members, queries = [], 0, None, [], []
@@ -186,7 +198,7 @@ def _search(k: int):
 
 
 def nearest(table: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
-            trees: int = TREES, depth: int = DEPTH, probes: int = PROBES) -> DataFrame:
+            trees: int = TREES, depth: int = DEPTH, probes: int = PROBES, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(query_id, rank, <id_col>, score): the k nearest found of each row that satisfies ``is_query``
     (a condition on ``id``), by inner product, nearest first, ties to the smaller id."""
     spark = table.sparkSession
@@ -207,8 +219,9 @@ def nearest(table: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec
     asked = checkpoint(asked)
     seekers = classes.select("v", "no").join(asked.select(F.col("q").alias("no")).distinct(), "no", "left_semi")
     place = "leaf long, query boolean, no long, v binary"
-    met = classes.select("v", "no").mapInArrow(_place(forest, depth, probes, False), place).union(
-        seekers.mapInArrow(_place(forest, depth, probes, True), place))
+    chunks = -(-width["n"] // (chunk_rows << depth))
+    met = classes.select("v", "no").mapInArrow(_place(forest, depth, probes, chunks, False), place).union(
+        seekers.mapInArrow(_place(forest, depth, probes, chunks, True), place))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     met = met.repartition(parts, "leaf").sortWithinPartitions("leaf", "query")
     best = met.mapInArrow(_search(k + 1), "q long, c long, score double").distinct()

@@ -47,3 +47,19 @@ def test_odd_vectors_ties_and_repeats(spark):
     assert sorted(r.vec_id for r in few) == [2, 3]
     assert ann.nearest(df.limit(0), F.col("id") == 1).count() == 0
     assert ann.nearest(df.where("vec_id >= 100 AND vec_id < 106"), F.col("id") > 0).count() == 0
+
+
+@pytest.mark.parametrize("chunk_rows", [1 << 14, 1000])
+def test_many_tied_vectors_go_to_the_smaller_ids(spark, chunk_rows):
+    # all vectors but the query's score the same; both leaves are probed, so every row is compared
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [1.0, float(i), float(-i * i)]) for i in range(1, 7316)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("id") == 0, 20, trees=1, depth=1, probes=2, chunk_rows=chunk_rows).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(i, 1.0) for i in range(1, 21)]
+
+
+def test_an_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [3.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("id") == 1, 20).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 3.0), (2, 2.0), (3, 1.0)]
