@@ -22,6 +22,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,12 +38,14 @@ _TABLE: dict[str, np.ndarray] = {}
 
 
 def _folds() -> np.ndarray:
-    """Per code point of the first planes: 0 for a separator, else its lower case."""
+    """Per code point of planes 0 and 1: 0 for a separator, else its lower case.  Letters, numbers and marks of
+    any script are no separators."""
     if "fold" not in _TABLE:
-        fold = np.zeros(0x3000, np.uint32)
-        for c in range(0x3000):
-            low = chr(c).lower()
-            if chr(c).isalnum() or 0x300 <= c < 0x370:
+        fold = np.zeros(0x20000, np.uint32)
+        for c in range(len(fold)):
+            char = chr(c)
+            if char.isalnum() or unicodedata.category(char)[0] == "M":
+                low = char.lower()
                 fold[c] = ord(low) if len(low) == 1 else c
         _TABLE["fold"] = fold
     return _TABLE["fold"]
@@ -55,7 +59,8 @@ def normalise(data: np.ndarray, offsets: np.ndarray):
     if len(chars) != at[-1]:  # not valid UTF-8: every byte is a character
         chars, at = data.astype(np.uint32), offsets
     fold = _folds()
-    low = np.where(chars < len(fold), fold[np.minimum(chars, len(fold) - 1)], chars)
+    # planes 2 and 3 hold ideographs, all letters; nothing above them is text
+    low = np.where(chars < len(fold), fold[np.minimum(chars, len(fold) - 1)], np.where(chars < 0x40000, chars, 0))
     word = low > 0
     keep = word.copy()
     keep[1:] |= word[:-1] & ~word[1:]
@@ -166,16 +171,18 @@ def regions(chars: np.ndarray, offsets: np.ndarray, key: np.ndarray, valid: np.n
     bands = ((len(chars) + 2 * items.size) >> items.shift) + 3
     base = np.concatenate(([0], np.cumsum(bands)))
     band = base[item] + (diagonal >> items.shift[item]) + 1
-    for_each = np.bincount(np.concatenate([band, band - 1]), minlength=base[-1])
-    full = np.flatnonzero(for_each >= np.repeat(items.bound, bands))
-    if not len(full):
+    # only bands that are hit are counted, so memory follows the hits and not items x text length
+    hit, hits = np.unique(np.concatenate([band, band - 1]), return_counts=True)
+    owner = np.searchsorted(base, hit, "right") - 1
+    full = hits >= items.bound[owner]
+    hit, owner = hit[full], owner[full]
+    if not len(hit):
         return
-    owner = np.searchsorted(base, full, "right") - 1
-    cut = np.flatnonzero((np.diff(full) > 1) | (np.diff(owner) > 0)) + 1
-    for lo, hi in zip([0, *cut], [*cut, len(full)]):
+    cut = np.flatnonzero((np.diff(hit) > 1) | (np.diff(owner) > 0)) + 1
+    for lo, hi in zip([0, *cut], [*cut, len(hit)]):
         i = owner[lo]
         w, d = 1 << items.shift[i], base[i] + 1
-        yield i, int((full[lo] - d) * w - items.size[i]), int((full[hi - 1] - d + 2) * w - 1 - items.size[i])
+        yield i, int((hit[lo] - d) * w - items.size[i]), int((hit[hi - 1] - d + 2) * w - 1 - items.size[i])
 
 
 def occurrences(column: pa.Array, blocks: list[Items], maybes: list[np.ndarray], q: int) -> list[tuple]:

@@ -1,6 +1,7 @@
 """Decontamination: alignment against brute force, no occurrence within the budget is missed."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow.dataset as ds
@@ -79,6 +80,33 @@ def test_every_occurrence_within_the_budget_is_found(spark):
     assert dc.decontaminate(df, bench.limit(0)).count() == df.count()
 
 
+def plain(text):
+    raw = np.frombuffer(text.encode("utf-8"), np.uint8)
+    return "".join(map(chr, dc.normalise(raw, np.array([0, len(raw)]))[0]))
+
+
+def test_letters_numbers_and_marks_of_any_script():
+    assert plain("你好。世界，𠀀！") == "你好 世界 𠀀 "
+    assert plain("A😀😀b\U000e0041c") == "a b c"
+    assert plain("हिन्दी भाषा।") == "हिन्दी भाषा "
+    assert plain("Über-Straße 12½") == "über straße 12½"
+
+
+def test_memory_follows_the_hits_and_not_the_length():
+    rng = np.random.default_rng(4)
+    texts = ["".join(map(chr, rng.integers(97, 123, 200))) for _ in range(512)]
+    items = dc.Items(list(range(512)), texts, dc.Q, dc.RATE)
+    long = rng.integers(97, 123, 2_000_000).astype(np.uint32)
+    long[1_000_000:1_000_200] = [ord(c) for c in texts[77]]
+    key = dc.grams(long)
+    tracemalloc.start()
+    found = list(dc.regions(long, np.array([0, len(long)]), key, np.ones(len(key), bool), items, items.maybe()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [i for i, _, _ in found] == [77] and found[0][1] <= 1_000_000 <= found[0][2]
+    assert peak < 40_000_000
+
+
 def test_query_finds_every_exact_passage(spark):
     t = ds.dataset(f"{SF}/documents.parquet").to_table(columns=["doc_id", "text"]).to_pydict()
     b = ds.dataset(f"{SF}/benchmark.parquet").to_table().to_pydict()
