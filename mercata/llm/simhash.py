@@ -186,8 +186,9 @@ def _compare(max_bits: int):
 
 
 def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(a, b) links among distinct fingerprints (column fp) that connect all pairs within max_bits."""
-    near = distinct.mapInArrow(_replicate(max_bits // 2), "anchor long, fp long")
+    """(a, b) links among distinct fingerprints (column fp) that connect all pairs within max_bits; of an odd
+    distance the midpoint is half a bit further from one of the two."""
+    near = distinct.mapInArrow(_replicate((max_bits + 1) // 2), "anchor long, fp long")
     hot = near.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
     hot = checkpoint(hot)
     if hot.isEmpty():

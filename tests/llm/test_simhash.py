@@ -50,6 +50,18 @@ def test_pairs_within_four_bits_share_an_anchor():
     assert 40 < len(rx) / 300 < 90
 
 
+def test_odd_thresholds_lose_no_link(spark):
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 1 << 62, 60, dtype=np.int64)
+    for bits in (1, 3):
+        y = x.copy()
+        for i in range(60):
+            for b in rng.choice(62, bits, replace=False):
+                y[i] ^= 1 << int(b)
+        links = simhash.fingerprint_links(spark.createDataFrame([(int(f),) for f in np.concatenate([x, y])], "fp long"), bits)
+        assert {tuple(sorted(r)) for r in links.collect()} == {tuple(sorted((int(a), int(b)))) for a, b in zip(x, y)}
+
+
 def test_spanning_links_connect_what_pairs_connect():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 62, 6, dtype=np.uint64)
