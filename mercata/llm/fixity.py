@@ -93,26 +93,28 @@ def audit(ours: DataFrame, theirs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots: (file, part, ours, theirs, intact); faults: (file, part, slot, digest, kind) of the records that differ, kind
     ``corrupt``, ``missing`` (only in ours), ``extra`` (only in theirs) or ``moved``.
     """
-    a, b = tree(ours), tree(theirs)
+    def both_sides(x, y):
+        return x.withColumn("own", F.lit(True)).unionByName(y.withColumn("own", F.lit(False)))
 
-    def compared(x, y):
-        return x.select("file", "part", "slot", F.col("digest").alias("ours")).join(
-            y.select("file", "part", "slot", F.col("digest").alias("theirs")), ["file", "part", "slot"], "full")
+    def compared(nodes):
+        return nodes.groupBy("file", "part", "slot").agg(F.max(F.when(F.col("own"), F.col("digest"))).alias("ours"),
+                                                         F.max(F.when(~F.col("own"), F.col("digest"))).alias("theirs"))
 
-    roots = checkpoint(compared(a[-1], b[-1]).select("file", "part", "ours", "theirs", F.col("ours").eqNullSafe(F.col("theirs")).alias("intact")))
+    levels = [both_sides(x, y) for x, y in zip(reversed(tree(ours)), reversed(tree(theirs)))]
+    roots = checkpoint(compared(levels[0]).select("file", "part", "ours", "theirs", F.col("ours").eqNullSafe(F.col("theirs")).alias("intact")))
     broken = roots.where(~F.col("intact")).select("file", "part")
     bad = broken.withColumn("slot", F.lit(0))
-    for x, y in zip(reversed(a[:-1]), reversed(b[:-1])):
+    for nodes in levels[1:]:  # the mismatching nodes stand once in each plan, so it grows by one join a level
         up = bad.select("file", "part", F.col("slot").alias("up"))
-        inside = lambda d: d.withColumn("up", F.floor(F.col("slot") / FANOUT).cast("int")).join(up, ["file", "part", "up"], "left_semi")
-        bad = compared(inside(x), inside(y)).where(~F.col("ours").eqNullSafe(F.col("theirs"))).select("file", "part", "slot")
-    bad = bad.select("file", "slot").distinct()
+        inside = nodes.withColumn("up", F.floor(F.col("slot") / FANOUT).cast("int")).join(up, ["file", "part", "up"], "left_semi")
+        bad = compared(inside).where(~F.col("ours").eqNullSafe(F.col("theirs"))).select("file", "part", "slot")
 
     # a lost record shifts the parts of the number's others, so the records of a number are matched by digest
     key = ["file", "slot", "digest"]
-    mine, other = (d.select(*key, "part").join(bad, ["file", "slot"], "left_semi") for d in (ours, theirs))
-    lone = mine.join(other, key, "left_anti").withColumn("own", F.lit(True)).union(
-        other.join(mine, key, "left_anti").withColumn("own", F.lit(False)))
+    leaf = [d.select(*key, "part") for d in (ours, theirs)]
+    lone = checkpoint(both_sides(*leaf).join(bad.select("file", "slot").distinct(), ["file", "slot"], "left_semi")
+                      .groupBy(*key).agg(F.max("part").alias("part"), F.max("own").alias("own"), F.min("own").alias("all"))
+                      .where("own = all").drop("all"))
     sides = lone.groupBy("file", "slot").agg(F.count_if("own").alias("mine"), F.count_if(~F.col("own")).alias("other"))
     kind = F.when(F.col("own"), F.when(F.col("other") > 0, "corrupt").otherwise("missing")).when(F.col("mine") == 0, "extra")
     faults = lone.join(sides, ["file", "slot"]).select("file", "part", "slot", "digest", kind.alias("kind")).where("kind IS NOT NULL")
