@@ -8,7 +8,8 @@ re-estimated log likelihood less ``PENALTY`` times half the log of the word coun
 
 The trigram models are counted on a bounded sample of the rows outside the held-out fold, about
 ``TRAIN_ROWS`` rows a language, chosen by the hash of the id at a rate computed from the counts of all
-rows; what is collected is bounded by languages times ``BUCKETS``.  Inference reads every whole text
+rows; at most ``LANGUAGES`` languages are learned, those of most rows (ties: smaller name), so a dirty tag column
+cannot grow the model: what is collected is bounded by ``LANGUAGES`` times ``BUCKETS``.  Inference reads every whole text
 once, in vectorised blocks, without a shuffle.
 
 Defined cases: a null text or one without any letter is ``und`` with score 0; a text whose letters no model
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from mercata.llm.common import spans, text_blocks
 from mercata.llm.toxicity import learnable, lower
 
-TRAIN_ROWS, BUCKETS, SMOOTHING = 2_000, 1 << 17, 0.1
+TRAIN_ROWS, LANGUAGES, BUCKETS, SMOOTHING = 2_000, 128, 1 << 17, 0.1
 ROUNDS, SET_ROUNDS, PENALTY, LEAST_SHARE = 10, 2, 4.0, 0.01
 
 
@@ -70,7 +71,7 @@ def _count(batches):
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray]:
     """(languages, log likelihood of each trigram in each)."""
     rows = docs.where(F.col(lang_col).isNotNull() & learnable(id_col))
-    sizes = rows.groupBy(F.col(lang_col).alias("lang")).count().collect()
+    sizes = rows.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return [], np.zeros((0, BUCKETS), np.float32)
     rate = F.lit(0.0)
@@ -79,7 +80,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[lis
     drawn = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < rate * (1 << 30)
     counts = (rows.where(drawn).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
               .mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas())
-    order = counts.groupby("lang")["n"].sum().sort_values(ascending=False, kind="stable").index.tolist()
+    order = counts.groupby("lang")["n"].sum().sort_index().sort_values(ascending=False, kind="stable").index.tolist()
     table = np.full((len(order), BUCKETS), SMOOTHING)
     for k, lang in enumerate(order):
         part = counts[counts.lang == lang]
